@@ -5,25 +5,60 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard
+from . import exact, jaccard, lines, sharding, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 NEAR = dict(n=5, threshold=0.5)
+LINES = dict(window=2, divisor=4, min_lines=2)
+SHARDS = 64
+LISTED_HOSTS = "(^|[.-])(casino|poker|bet|adult|xxx|porn|warez|pills|viagra)([.-]|$)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(spark, table(spark, sf_dir, "documents"), **LINES)
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose URL, in any spelling, is on the list; the list holds the pages of hosts with a listed word."""
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.filter(F.lower(F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1)).rlike(LISTED_HOSTS)).select("url")
+    return urls.filter_urls(spark, pages, listed)
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_jaccard_join(spark, table(spark, sf_dir, "documents"), **NEAR)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_sharding": op2_sharding,
+    "op6_url_filter": op6_url_filter,
+    "op8_exact_dedup": op8_exact_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
+URLS_SQL = f"""
+WITH listed AS (SELECT {urls.canonical_sql("url")} AS key FROM pages WHERE regexp_matches(lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1)), '{LISTED_HOSTS}'))
+SELECT page_id, {urls.canonical_sql("url")} AS canonical_url, coalesce({urls.canonical_sql("url")} IN (SELECT key FROM listed WHERE key IS NOT NULL), false) AS listed FROM pages"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": lines.lines_sql(**LINES),
+    "op2_sharding": sharding.shards_sql(SHARDS),
+    "op6_url_filter": URLS_SQL,
+    "op8_exact_dedup": exact.EXACT_SQL,
     "op10_ngram_jaccard_join": jaccard.ngram_jaccard_sql(**NEAR),
 }
