@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 NEAR = dict(n=5, threshold=0.5)
 LINES = dict(window=2, divisor=4, min_lines=2)
 SHARDS = 64
-LISTED_HOSTS = "(^|[.-])(casino|poker|bet|adult|xxx|porn|warez|pills|viagra)([.-]|$)"
+LISTED_HOSTS = "(^|[.-])(casino|poker|bets?|adult|xxx|porn|warez|pills|viagra|spam|ads)([.-]|$)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -56,9 +56,9 @@ def shards_sql(shards: int) -> str:
     return f"""
 WITH RECURSIVE keys AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS UBIGINT)::HUGEINT AS key FROM documents),
 jumps AS (
-  SELECT doc_id, key, -1::BIGINT AS shard, 0::BIGINT AS at FROM keys
+  SELECT doc_id, key, -1::BIGINT AS shard, 0::BIGINT AS goes FROM keys
   UNION ALL
-  SELECT doc_id, nxt, at, CAST(floor((at + 1) * (2147483648.0::DOUBLE / ((nxt // 8589934592) + 1)::DOUBLE)) AS BIGINT)
-  FROM (SELECT *, {nxt} AS nxt FROM jumps WHERE at < {shards})
+  SELECT doc_id, nxt, goes, CAST(floor((goes + 1) * (2147483648.0::DOUBLE / ((nxt // 8589934592) + 1)::DOUBLE)) AS BIGINT)
+  FROM (SELECT *, {nxt} AS nxt FROM jumps WHERE goes < {shards})
 )
-SELECT doc_id, shard::INTEGER AS shard FROM jumps WHERE at >= {shards}"""
+SELECT doc_id, shard::INTEGER AS shard FROM jumps WHERE goes >= {shards}"""
