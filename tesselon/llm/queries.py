@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, lines, sharding, urls
+from . import classifier, decontaminate, exact, jaccard, lines, sharding, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 NEAR = dict(n=5, threshold=0.5)
 LINES = dict(window=2, divisor=4, min_lines=2)
 SHARDS = 64
+CLASSIFIER = dict(sample=1500)
 LISTED_HOSTS = "(^|[.-])(casino|poker|bets?|adult|xxx|porn|warez|pills|viagra|spam|ads)([.-]|$)"
 
 
@@ -28,6 +29,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), **CLASSIFIER)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose URL, in any spelling, is on the list; the list holds the pages of hosts with a listed word."""
     pages = table(spark, sf_dir, "pages")
@@ -46,6 +55,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
+    "op3_decontamination": op3_decontamination,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_url_filter": op6_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
