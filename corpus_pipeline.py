@@ -4,17 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselon.llm import jaccard
+from tesselon.llm import classifier, decontaminate, jaccard, mixing, sharding
 from tesselon.llm.common import settle
-from tesselon.llm.queries import NEAR
+from tesselon.llm.queries import CLASSIFIER, MIX, NEAR, SHARDS, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return classifier.keep_good(spark, docs, table(spark, sf_dir, "labels"), **CLASSIFIER)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.one_of_each_group(spark, docs, **NEAR)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_leaks(spark, docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(spark, docs, **MIX)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(docs, SHARDS)
+
+
 STAGES = [
+    ("quality_classifier", good_quality),
     ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontaminated),
+    ("source_mixing", mixed),
+    ("sharding", sharded),
 ]
 
 #: The stages fit models and draw samples, which SQL can't express; tests/llm holds them against brute force.

@@ -6,10 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SUMS = 16
+
 
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partitions, the one knob that sizes every exchange here."""
@@ -59,3 +62,27 @@ def unique_docs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     if rows.groupBy("doc").count().filter("count > 1").limit(1).count() == 0:
         return rows
     return rows.groupBy("doc").agg(F.max(F.struct(F.length("text").alias("n"), "text"))["text"].alias("text"))
+
+
+def summed(df: DataFrame, size: int, kind: type) -> np.ndarray:
+    """Sum of the blobs of each part over all partitions, the parts joined. Each part is one exchange target."""
+
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[part] = sums.get(part, 0) + np.frombuffer(blob.as_buffer(), kind)
+        for part, value in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([value.tobytes()], pa.binary())], ["part", "blob"])
+
+    out = np.zeros(size, kind)
+    step = -(-size // SUMS)
+    for row in arrow(df.repartitionById(SUMS, F.col("part")), total, "part int, blob binary").toLocalIterator():
+        out[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(row["blob"], kind)
+    return out
+
+
+def blobs(values: np.ndarray) -> pa.RecordBatch:
+    """An array as SUMS parts, for ``summed``."""
+    step = -(-len(values) // SUMS)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(SUMS, dtype=np.int32)), pa.array([values[k * step : (k + 1) * step].tobytes() for k in range(SUMS)], pa.binary())], ["part", "blob"])

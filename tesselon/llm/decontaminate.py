@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, only
+from .common import arrow, blobs, only, summed
 from .textkit import U, Words, distinct, mix, slices
 
 TERMS = 1 << 15
@@ -30,7 +30,6 @@ SKETCH = 128
 PASSAGE = 32
 STRIDE = 8
 SCALES = (2, 4, 8)
-SUMS = 16
 MOST_ITEMS = 1_000_000
 
 
@@ -38,29 +37,6 @@ def terms(words: Words) -> np.ndarray:
     return (words.hash >> U(49)).astype(np.int64)
 
 
-def _summed(df: DataFrame, size: int, kind: type) -> np.ndarray:
-    """Sum of the blobs of each part over all partitions, the parts joined. Each part is one exchange target."""
-
-    def total(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[part] = sums.get(part, 0) + np.frombuffer(blob.as_buffer(), kind)
-        for part, value in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([value.tobytes()], pa.binary())], ["part", "blob"])
-
-    out = np.zeros(size, kind)
-    step = -(-size // SUMS)
-    for row in arrow(df.repartitionById(SUMS, F.col("part")), total, "part int, blob binary").toLocalIterator():
-        out[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(row["blob"], kind)
-    return out
-
-
-def _blobs(values: np.ndarray) -> pa.RecordBatch:
-    step = -(-len(values) // SUMS)
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(SUMS, dtype=np.int32)), pa.array([values[k * step : (k + 1) * step].tobytes() for k in range(SUMS)], pa.binary())], ["part", "blob"])
-
-
 def block_sums(table: np.ndarray, words: Words, starts: np.ndarray, width: int) -> np.ndarray:
     """Sums of the table's rows over ``width`` words from each start, or to the next start. The table's last row is zero."""
     ids = np.append(terms(words), len(table) - 1)
@@ -111,7 +87,7 @@ def _sketch(batches):
             add(4_000_000)
     add(0)
     if passages:
-        yield _blobs(np.concatenate([signed, df, [passages]]).astype(np.int32))
+        yield blobs(np.concatenate([signed, df, [passages]]).astype(np.int32))
 
 
 def _gram(table: bytes):
@@ -125,14 +101,14 @@ def _gram(table: bytes):
                 if len(starts):
                     y = block_sums(basis, words, starts, PASSAGE)
                     total += (y.T @ y).astype(np.float64)
-        yield _blobs(total.reshape(-1))
+        yield blobs(total.reshape(-1))
 
     return run
 
 
 def latent_space(spark: SparkSession, texts: DataFrame) -> np.ndarray:
     """(TERMS + 1, dimensions) float32: each term's inverse document frequency times its whitened singular directions, and zeros."""
-    sums = _summed(arrow(texts, _sketch, "part int, blob binary"), TERMS * SKETCH + TERMS + 1, np.int32)
+    sums = summed(arrow(texts, _sketch, "part int, blob binary"), TERMS * SKETCH + TERMS + 1, np.int32)
     df, passages = sums[TERMS * SKETCH : -1].astype(np.float64), int(sums[-1])
     if passages == 0:
         return np.zeros((TERMS + 1, 1), np.float32)
@@ -140,7 +116,7 @@ def latent_space(spark: SparkSession, texts: DataFrame) -> np.ndarray:
     basis = np.linalg.qr(sums[: TERMS * SKETCH].reshape(TERMS, SKETCH) * idf[:, None])[0]
     weighted = np.vstack([basis * idf[:, None], np.zeros((1, SKETCH))]).astype(np.float32)
     shared = spark.sparkContext.broadcast(pickle.dumps(weighted))
-    gram = _summed(arrow(texts, _gram(shared), "part int, blob binary"), SKETCH * SKETCH, np.float64).reshape(SKETCH, SKETCH) / passages
+    gram = summed(arrow(texts, _gram(shared), "part int, blob binary"), SKETCH * SKETCH, np.float64).reshape(SKETCH, SKETCH) / passages
     values, vectors = np.linalg.eigh(gram)
     keep = values > 1e-6 * max(values[-1], 1e-12)
     return (weighted @ (vectors[:, keep] / np.sqrt(values[keep]))).astype(np.float32)

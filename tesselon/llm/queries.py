@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import captures, classifier, decontaminate, exact, jaccard, lines, mixing, sharding, urls
+from . import captures, classifier, decontaminate, exact, jaccard, licences, lines, mixing, sharding, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 NEAR = dict(n=5, threshold=0.5)
@@ -60,6 +60,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of documents laid out as files: the table has no paths, so source, language and id give each its place, and every sixteenth is its directory's LICENSE."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 16 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licences.scan_licences(spark, docs.withColumn("path", F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 256).cast("string"), F.floor(F.col("doc_id") / 64).cast("string"), name)))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_jaccard_join(spark, table(spark, sf_dir, "documents"), **NEAR)
 
@@ -73,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op6_url_filter": op6_url_filter,
     "op7_warc_index": op7_warc_index,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_licence_scan": op9_licence_scan,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
