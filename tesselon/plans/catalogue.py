@@ -1,11 +1,473 @@
-"""All registered queries and their SQL."""
+"""All registered queries and their SQL. The SQL states each result plainly, by range joins and windows; the queries use the operators."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codes, grid, ids, text
+from ..operators import audits, observations, profiles, relations, zonal
+from ..sources import mapping
+from .layouts import TILE, layout, with_layouts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with its SQL, which may name the layouts as tables."""
+
+    def register(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = with_layouts(sql)
+        return function
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def longs(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+# Windows of the points, and of the boxes, as SQL: every index that could reach, then the plain test.
+NUMBERS = "numbers AS (SELECT unnest(range(-2, CAST((SELECT 3 + max(p_partkey) / 2000 FROM part) * 20 AS BIGINT))) AS i)"
+WINDOWED = """SELECT p.*, c.i AS col, r.i AS row FROM points p JOIN numbers c ON p.x BETWEEN c.i * 250 - 250 AND c.i * 250 + 250 JOIN numbers r ON p.y BETWEEN r.i * 250 - 250 AND r.i * 250 + 250"""
+WIDE = "wide AS (SELECT unnest(range(-2, CAST((SELECT 3 + max(o_orderkey) / 4000 FROM orders) * 20 AS BIGINT))) AS i)"
+CLIPPED = """SELECT id, col, row, greatest(x0, col * 250 - 250) AS cx0, greatest(y0, row * 250 - 250) AS cy0, least(x1, col * 250 + 250) AS cx1, least(y1, row * 250 + 250) AS cy1, x0, y0, x1, y1
+FROM (SELECT b.*, c.i AS col, r.i AS row FROM boxes b JOIN wide c ON b.x0 < c.i * 250 + 250 AND b.x1 > c.i * 250 - 250 JOIN wide r ON b.y0 < r.i * 250 + 250 AND b.y1 > r.i * 250 - 250)"""
+ROADS = "span AS (SELECT unnest(range(-2, CAST((SELECT 3 + max(c_custkey) / 2000 FROM customer) * 20 AS BIGINT))) AS i)"
+CUT = """SELECT id, from_node, to_node, xa, ya, xb, yb, col, row, greatest(xa, col * 250 - 250)::DOUBLE AS px, greatest(ya, row * 250 - 250)::DOUBLE AS py, least(xb, col * 250 + 250)::DOUBLE AS qx, least(yb, row * 250 + 250)::DOUBLE AS qy
+FROM (SELECT l.*, c.i AS col, r.i AS row FROM links l JOIN span c ON xa <= c.i * 250 + 250 AND xb >= c.i * 250 - 250 JOIN span r ON ya <= r.i * 250 + 250 AND yb >= r.i * 250 - 250)"""
+
+
+@query(f", {NUMBERS}, w AS ({WINDOWED}) SELECT col, row, count(*) AS points, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM w GROUP BY col, row")
+def window_point_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = observations.points_in_windows(layout(spark, sf_dir, "points"))
+    return seen.groupBy("col", "row").agg(F.count("*").alias("points"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
+
+
+@query("SELECT c.i AS col, r.i AS row, c.i * 250 - 250e0 AS xmin, r.i * 250 - 250e0 AS ymin, c.i * 250 + 250e0 AS xmax, r.i * 250 + 250e0 AS ymax FROM (SELECT unnest(range(-50, 50)) AS i) c, (SELECT unnest(range(-50, 50)) AS i) r WHERE c.i * 250 - 250 >= 0 AND c.i * 250 + 250 <= 5000 AND r.i * 250 - 250 >= 0 AND r.i * 250 + 250 <= 5000")
+def window_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.candidate_grid(spark, 0, 0, TILE, TILE)
+
+
+@query(", b AS (SELECT x // 2000 AS block_col, y // 2000 AS block_row, count(*) AS points, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM points GROUP BY ALL) SELECT *, sha256('block|' || block_col || '|' || block_row) AS block_id FROM b")
+def processing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = layout(spark, sf_dir, "points")
+    blocks = points.select("x", "y", *grid.block_of(F.col("x"), F.col("y"))).groupBy("block_col", "block_row")
+    counted = blocks.agg(F.count("*").alias("points"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
+    return counted.withColumn("block_id", ids.observation_hash(F.lit("block"), F.col("block_col"), F.col("block_row")))
+
+
+@query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})), c AS (SELECT col - a.d AS cx, row - b.d AS cy, count(*) AS multiplicity FROM w, (VALUES (0), (1)) a(d), (VALUES (0), (1)) b(d) GROUP BY ALL) SELECT multiplicity, count(*) AS cells FROM c GROUP BY 1")
+def coverage_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = observations.points_in_windows(layout(spark, sf_dir, "points")).select("col", "row").distinct()
+    return observations.coverage_multiplicity(windows)
+
+
+def canonical_sql(*fields: str) -> str:
+    part = lambda f: f"CASE WHEN {f} IS NULL THEN encode('N') ELSE encode('S') || unhex(lpad(to_hex(strlen({f})), 16, '0')) || encode({f}) END"
+    return "sha256(" + " || ".join(part(f) for f in fields) + ")"
+
+
+OPTIONAL = "CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END"
+
+
+@query(f"SELECT p_partkey, {canonical_sql(repr('source_object_id'), repr('poi'), repr('part'), 'CAST(p_partkey AS VARCHAR)')} AS object_id, {canonical_sql(OPTIONAL, 'p_type')} AS attribute_id FROM part")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return part.select("p_partkey", ids.source_object_id(F.lit("poi"), F.lit("part"), F.col("p_partkey")).alias("object_id"), ids.canonical_hash(F.expr(OPTIONAL), F.col("p_type")).alias("attribute_id"))
+
+
+@query("SELECT l_orderkey, l_linenumber, sha256('line|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey) AS observation_id FROM lineitem")
+def observation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [F.lit("line"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")]
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ids.observation_hash(*fields).alias("observation_id"))
+
+
+@query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})) SELECT col, row, {canonical_sql(*(repr(x) for x in ('scene_footprint_id', 'v1', 'EPSG:5186', '0', '0', '500', '250')), 'CAST(col AS VARCHAR)', 'CAST(row AS VARCHAR)')} AS window_id FROM w")
+def window_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = observations.points_in_windows(layout(spark, sf_dir, "points")).select("col", "row").distinct()
+    return windows.withColumn("window_id", ids.window_id("v1", "EPSG:5186", (0, 0), 500, 250.0, F.col("col"), F.col("row")))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey % 10 AS shape, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 10 ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS occurrence FROM lineitem")
+def clip_part_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").withColumn("shape", F.col("l_partkey") % 10)
+    return observations.part_occurrence(lines, ["l_orderkey", "shape"], ["l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "shape", "occurrence")
+
+
+LABEL = "CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN concat(p_brand, ' > ', chr(92), p_name) ELSE p_name END"
+
+
+@query(f"SELECT p_partkey, array_to_string(list_transform([p_brand, p_type, {LABEL}], lambda c: coalesce(replace(replace(c, chr(92), chr(92) || chr(92)), ' > ', chr(92) || ' > '), chr(92) || 'N')), ' > ') AS path FROM part")
+def category_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return part.select("p_partkey", text.category_path(F.col("p_brand"), F.col("p_type"), F.expr(LABEL)).alias("path"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN CAST(l_quantity AS SMALLINT) END AS quantity, l_quantity <> floor(l_quantity) AS quantity_inexact, CASE WHEN l_extendedprice = floor(l_extendedprice) AND l_extendedprice <= 32767 THEN CAST(floor(l_extendedprice) AS SMALLINT) END AS price, l_extendedprice <> floor(l_extendedprice) OR l_extendedprice > 32767 AS price_inexact FROM lineitem")
+def canonical_cast_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a safe cast would refuse is null here and flagged; ``mapping.canonical`` in strict mode fails on it."""
+    lines = table(spark, sf_dir, "lineitem")
+    out = ["l_orderkey", "l_linenumber"]
+    for source, name in (("l_quantity", "quantity"), ("l_extendedprice", "price")):
+        value, inexact = mapping.safe_cast(F.col(source), "double", "smallint")
+        out += [value.alias(name), inexact.alias(f"{name}_inexact")]
+    return lines.select(*out)
+
+
+PROFILED = ["c_name", "c_mktsegment", "c_acctbal", "c_nationkey"]
+
+
+@query(
+    "SELECT \"column\", count(*) AS rows, count(*) - count(v) AS nulls, count(DISTINCT v) AS \"distinct\", count(v) - count(DISTINCT v) AS duplicates, count_if(v = '') AS empty, count_if(v <> trim(v)) AS padded, count_if(upper(trim(v)) IN ('NA', 'N/A', 'NULL', 'NONE', 'NAN', '-', 'UNKNOWN')) AS missing_tokens, "
+    "count_if(regexp_matches(v, '^0[0-9]+$')) AS leading_zeros, coalesce(count_if(TRY_CAST(v AS DOUBLE) < 0), 0) AS negative, coalesce(count_if(TRY_CAST(v AS DOUBLE) = 0), 0) AS zero, count(DISTINCT v) / count(v) >= 0.95 AS id_candidate FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM customer" for c in PROFILED)
+    + ") GROUP BY 1"
+)
+def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.column_profile(table(spark, sf_dir, "customer"), *PROFILED)
+
+
+MEASURED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS n, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, " + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {n}" for n, q in profiles.QUANTILES.items()) + f" FROM lineitem WHERE isfinite({c})"
+        for c in MEASURED
+    )
+)
+def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.numeric_summary(table(spark, sf_dir, "lineitem"), *MEASURED)
+
+
+@query(
+    "l AS (SELECT o_custkey AS k, count(*) AS l FROM orders GROUP BY 1), r AS (SELECT c_custkey AS k, count(*) AS r FROM customer GROUP BY 1), b AS (SELECT l, r FROM l FULL JOIN r USING (k)), s AS (SELECT count(l) AS left_keys, count(r) AS right_keys, count_if(l IS NOT NULL AND r IS NOT NULL) AS common_keys, "
+    "count_if(r IS NULL) AS left_only, count_if(l IS NULL) AS right_only, count_if(l > 1) AS left_duplicates, count_if(r > 1) AS right_duplicates, CAST(sum(l * r) AS BIGINT) AS joined_rows FROM b) SELECT *, CASE WHEN left_duplicates > 0 THEN 'many' ELSE 'one' END || ':' || CASE WHEN right_duplicates > 0 THEN 'many' ELSE 'one' END AS cardinality, "
+    "round(common_keys / left_keys, 6) AS left_match, CASE WHEN common_keys = 0 THEN 'disjoint' WHEN left_only = 0 AND right_only = 0 THEN 'equal' WHEN left_only = 0 THEN 'left within right' WHEN right_only = 0 THEN 'right within left' ELSE 'overlapping' END AS verdict FROM s"
+)
+def join_key_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.join_profile(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "customer"), "c_custkey")
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT l_partkey) AS unique_keys, (SELECT count(*) FROM (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)) AS duplicate_keys, count(*) - count(l_partkey) AS null_keys FROM lineitem")
+def key_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.key_summary(table(spark, sf_dir, "lineitem"), "l_partkey")
+
+
+@query(
+    "a AS (SELECT 'p_type' AS parent, 'p_brand' AS child, p_brand AS v, count(DISTINCT p_type) AS n FROM part GROUP BY 3 UNION ALL SELECT 'p_brand', 'p_name', p_name, count(DISTINCT p_brand) FROM part GROUP BY 3) "
+    "SELECT parent, child, count(*) AS children, count_if(n > 1) AS ambiguous, max(n) AS most_parents FROM a GROUP BY 1, 2"
+)
+def hierarchy_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.hierarchy_ambiguity(table(spark, sf_dir, "part"), "p_type", "p_brand", "p_name")
+
+
+@query("SELECT id AS o_orderkey, x0, y0, x1, y1, o_orderstatus, o_totalprice FROM boxes JOIN orders ON o_orderkey = id")
+def attribute_join_1to1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = layout(spark, sf_dir, "boxes").withColumnRenamed("id", "o_orderkey")
+    return profiles.attribute_join(boxes, table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderkey")
+
+
+@query("(SELECT 2 * o_custkey AS key, 'left' AS side FROM orders EXCEPT SELECT c_custkey, 'left' FROM customer) UNION ALL (SELECT c_custkey, 'right' FROM customer EXCEPT SELECT 2 * o_custkey, 'right' FROM orders)")
+def unmatched_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.unmatched_keys(table(spark, sf_dir, "orders").withColumn("o_custkey", 2 * F.col("o_custkey")), "o_custkey", table(spark, sf_dir, "customer"), "c_custkey")
+
+
+@query(f", {WIDE}, c AS ({CLIPPED}) SELECT id, col, row, cx0, cy0, cx1, cy1, ((x1 - x0) * (y1 - y0))::DOUBLE AS source_area, ((cx1 - cx0) * (cy1 - cy0))::DOUBLE AS area, CASE WHEN cx0 = x0 AND cx1 = x1 AND cy0 = y0 AND cy1 = y1 THEN 'full' ELSE 'clipped' END AS status, (cx0 + cx1) / 2 AS rep_x, (cy0 + cy1) / 2 AS rep_y FROM c")
+def box_clip_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs_of_corners(observations.clip_boxes(layout(spark, sf_dir, "boxes")))
+
+
+def longs_of_corners(clipped: DataFrame) -> DataFrame:
+    return longs(clipped, "cx0", "cy0", "cx1", "cy1")
+
+
+@query(f", {ROADS}, c AS ({CUT}), l AS (SELECT *, hypot_(qx - px, qy - py) AS length FROM c) SELECT id, col, row, px, py, qx, qy, length, row_number() OVER (PARTITION BY col, row ORDER BY length DESC, least(px, qx), least(py, qy), id) - 1 AS part FROM l WHERE length > 0".replace("hypot_(qx - px, qy - py)", "sqrt((qx - px) ** 2 + (qy - py) ** 2)"))
+def segment_clip_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = observations.order_parts(observations.clip_segments(layout(spark, sf_dir, "links")), "col", "row")
+    return parts.select("id", "col", "row", "px", "py", "qx", "qy", "length", "part")
+
+
+MAPPED = """SELECT col, row, district, split, sum(greatest(0, least(col * 250 + 250, (u.i + 1) * 1000) - greatest(col * 250 - 250, u.i * 1000)) * greatest(0, least(row * 250 + 250, (v.i + 1) * 1000) - greatest(row * 250 - 250, v.i * 1000)))::DOUBLE AS area
+FROM w JOIN numbers u ON u.i * 1000 < col * 250 + 250 AND (u.i + 1) * 1000 > col * 250 - 250 JOIN numbers v ON v.i * 1000 < row * 250 + 250 AND (v.i + 1) * 1000 > row * 250 - 250
+JOIN districts d ON d.cx = ((u.i % 5) + 5) % 5 AND d.cy = ((v.i % 5) + 5) % 5 GROUP BY ALL"""
+SPLITS = "SELECT col, row, min(split) AS split FROM m GROUP BY 1, 2 HAVING count(DISTINCT split) = 1"
+
+
+def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = observations.points_in_windows(layout(spark, sf_dir, "points")).select("col", "row").distinct()
+    return observations.district_mapping(windows, layout(spark, sf_dir, "districts"))
+
+
+@query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})), m AS ({MAPPED}) SELECT *, area / 250000 AS fraction, row_number() OVER (PARTITION BY col, row ORDER BY area DESC, district) = 1 AS is_primary FROM m")
+def primary_district(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapped(spark, sf_dir)
+
+
+@query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})), m AS ({MAPPED}) {SPLITS}")
+def eligible_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations.split_of_windows(mapped(spark, sf_dir))
+
+
+EDGES = f"""SELECT *, CASE WHEN px = xa AND py = ya THEN 'n' || from_node WHEN px = xb AND py = yb THEN 'n' || to_node ELSE 'b:' || id || ':' || col || ':' || row || ':start' END AS start_node,
+CASE WHEN qx = xa AND qy = ya THEN 'n' || from_node WHEN qx = xb AND qy = yb THEN 'n' || to_node ELSE 'b:' || id || ':' || col || ':' || row || ':end' END AS end_node FROM ({CUT}) WHERE qx > px OR qy > py"""
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations.road_edges(observations.clip_segments(layout(spark, sf_dir, "links")))
+
+
+@query(f", {ROADS}, e AS ({EDGES}) SELECT col, row, id, start_node, end_node FROM e")
+def road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges(spark, sf_dir).select("col", "row", "id", "start_node", "end_node")
+
+
+@query(f", {ROADS}, e AS ({EDGES}) SELECT DISTINCT col, row, node, x, y, CASE WHEN starts_with(node, 'n') THEN 'source' ELSE 'boundary' END AS kind FROM (SELECT col, row, start_node AS node, px AS x, py AS y FROM e UNION ALL SELECT col, row, end_node, qx, qy FROM e)")
+def road_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations.road_nodes(edges(spark, sf_dir))
+
+
+CONNECTED = """SELECT DISTINCT a.col, a.row, 'CON' AS kind, 'road' AS src_type, a.id AS src, 'road' AS dst_type, b.id AS dst, 0e0 AS distance FROM e a JOIN e b ON a.col = b.col AND a.row = b.row AND a.id <> b.id
+AND (a.start_node IN (b.start_node, b.end_node) OR a.end_node IN (b.start_node, b.end_node))"""
+
+
+@query(f", {ROADS}, e AS ({EDGES}) {CONNECTED}")
+def relation_con(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.connections(edges(spark, sf_dir))
+
+
+@query(
+    "c AS (SELECT a.id AS a, b.id AS b, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d FROM points a JOIN points b ON a.id <> b.id AND abs(a.x - b.x) <= 50 AND abs(a.y - b.y) <= 50 WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2500), "
+    "k AS (SELECT a, b, d FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 8) SELECT DISTINCT 'SN' AS kind, 'poi' AS src_type, src, 'poi' AS dst_type, dst, sqrt(d) AS distance FROM (SELECT a AS src, b AS dst, d FROM k UNION ALL SELECT b, a, d FROM k)".replace("c AS (SELECT a.id", ", c AS (SELECT a.id", 1)
+)
+def relation_sn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = layout(spark, sf_dir, "points").select(F.lit("poi").alias("object_type"), "id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    return relations.nearest(points, {"poi": 50}, {"poi": 8})
+
+
+GAP = "greatest(a.x0 - b.x1, b.x0 - a.x1, 0) ** 2 + greatest(a.y0 - b.y1, b.y0 - a.y1, 0) ** 2"
+
+
+@query(
+    f", o AS (SELECT 'building' AS t, id, x0, y0, x1, y1 FROM boxes UNION ALL SELECT 'road', id, xa, ya, xb, yb FROM links), c AS (SELECT a.t AS ta, a.id AS a, b.t AS tb, b.id AS b, {GAP} AS d FROM o a JOIN o b ON (a.t <> b.t OR a.id <> b.id) AND a.x0 <= b.x1 + 100 AND b.x0 <= a.x1 + 100 AND a.y0 <= b.y1 + 100 AND b.y0 <= a.y1 + 100 WHERE {GAP} <= 10000), "
+    "k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY ta, a ORDER BY d, tb, b) <= 16) SELECT DISTINCT 'SN' AS kind, st AS src_type, s AS src, dt AS dst_type, e AS dst, sqrt(d) AS distance FROM (SELECT ta AS st, a AS s, tb AS dt, b AS e, d FROM k UNION ALL SELECT tb, b, ta, a, d FROM k)"
+)
+def relation_sn_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buildings and roads in one pool of candidates; links run along the axes, so that they are their own boxes."""
+    boxes = layout(spark, sf_dir, "boxes").select(F.lit("building").alias("object_type"), "id", "x0", "y0", "x1", "y1")
+    links = layout(spark, sf_dir, "links").select(F.lit("road").alias("object_type"), "id", F.col("xa").alias("x0"), F.col("ya").alias("y0"), F.col("xb").alias("x1"), F.col("yb").alias("y1"))
+    return relations.nearest(boxes.unionByName(links), {"building": 100, "road": 100}, {"building": 16, "road": 16})
+
+
+CONTAINED = "SELECT c.col, c.row, c.id AS a, p.id AS b FROM c JOIN w p ON p.col = c.col AND p.row = c.row AND p.x BETWEEN cx0 AND cx1 AND p.y BETWEEN cy0 AND cy1"
+
+
+@query(f", {NUMBERS}, {WIDE}, w AS ({WINDOWED}), c AS ({CLIPPED}), p AS ({CONTAINED}) SELECT col, row, 'CNT' AS kind, 'building' AS src_type, a AS src, 'poi' AS dst_type, b AS dst, NULL::DOUBLE AS distance FROM p UNION ALL SELECT col, row, 'WIT', 'poi', b, 'building', a, NULL FROM p")
+def relation_cnt_wit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.containment(observations.clip_boxes(layout(spark, sf_dir, "boxes")), observations.points_in_windows(layout(spark, sf_dir, "points")))
+
+
+MEETING = """SELECT a.col, a.row, 'INT' AS kind, 'building' AS src_type, a.id AS src, 'building' AS dst_type, b.id AS dst, NULL::DOUBLE AS distance FROM c a JOIN c b ON a.col = b.col AND a.row = b.row AND a.id <> b.id AND a.cx0 <= b.cx1 AND b.cx0 <= a.cx1 AND a.cy0 <= b.cy1 AND b.cy0 <= a.cy1
+WHERE NOT (a.cx0 <= b.cx0 AND a.cy0 <= b.cy0 AND a.cx1 >= b.cx1 AND a.cy1 >= b.cy1) AND NOT (b.cx0 <= a.cx0 AND b.cy0 <= a.cy0 AND b.cx1 >= a.cx1 AND b.cy1 >= a.cy1)"""
+
+
+@query(f", {WIDE}, c AS ({CLIPPED}) {MEETING}")
+def relation_int(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.intersections(observations.clip_boxes(layout(spark, sf_dir, "boxes")))
+
+
+@query(
+    f", {WIDE}, {ROADS}, c AS ({CLIPPED}), e AS ({EDGES}), rel AS (({MEETING}) UNION ALL ({CONNECTED})), n AS (SELECT col, row, 'building' AS t, id FROM c UNION ALL SELECT col, row, 'road', id FROM e), ends AS (SELECT DISTINCT col, row, src_type AS t, src AS id FROM rel) "
+    "SELECT 'nodes' AS metric, count(*) AS value FROM n UNION ALL SELECT 'duplicate_nodes', count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM n)) FROM n UNION ALL SELECT 'isolated_nodes', count(*) FROM (SELECT * FROM n EXCEPT SELECT * FROM ends) UNION ALL SELECT 'dangling_nodes', count(*) FROM (SELECT * FROM ends EXCEPT SELECT * FROM n) "
+    "UNION ALL SELECT 'edges', count(*) FROM rel UNION ALL SELECT 'duplicate_edges', count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM rel)) FROM rel UNION ALL SELECT 'self_loops', count(*) FROM rel WHERE src = dst AND src_type = dst_type UNION ALL SELECT 'forbidden_pairs', 0"
+)
+def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes, roads = observations.clip_boxes(layout(spark, sf_dir, "boxes")), edges(spark, sf_dir)
+    nodes = boxes.select("col", "row", F.lit("building").alias("object_type"), "id").union(roads.select("col", "row", F.lit("road"), "id"))
+    return relations.graph_metrics(nodes, relations.intersections(boxes).unionByName(relations.connections(roads)))
+
+
+@query(
+    f", {WIDE}, {ROADS}, c AS ({CLIPPED}), e AS ({EDGES}), n AS (SELECT col, row FROM c UNION ALL SELECT col, row FROM e), k AS (SELECT col, row, count(*) AS objects FROM n GROUP BY 1, 2), d AS (SELECT col, row, node, count(*) AS d FROM (SELECT col, row, start_node AS node FROM e UNION ALL SELECT col, row, end_node FROM e) GROUP BY ALL), "
+    "s AS (SELECT col, row, CAST(sum(d * (d - 1) // 2) AS BIGINT) AS connections FROM d GROUP BY 1, 2) SELECT col, row, objects, coalesce(connections, 0) AS connections, objects * (objects - 1) // 2 AS pairs, objects + objects * (objects - 1) // 2 + coalesce(connections, 0) AS cost FROM k LEFT JOIN s USING (col, row)"
+)
+def relation_cost_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roads = edges(spark, sf_dir)
+    nodes = observations.clip_boxes(layout(spark, sf_dir, "boxes")).select("col", "row").union(roads.select("col", "row"))
+    ends = roads.select("col", "row", "id", F.explode(F.array("start_node", "end_node")).alias("node"))
+    return relations.relation_costs(nodes, ends)
+
+
+@query(f", {NUMBERS}, p AS ({WINDOWED}), w AS (SELECT DISTINCT col, row FROM p), m AS ({MAPPED}), s AS ({SPLITS}) SELECT 'poi' AS object_type, id, count(DISTINCT split) AS splits, string_agg(DISTINCT split, '|' ORDER BY split) AS split_key FROM p JOIN s USING (col, row) GROUP BY id HAVING count(DISTINCT split) > 1")
+def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = observations.points_in_windows(layout(spark, sf_dir, "points")).withColumn("object_type", F.lit("poi"))
+    return audits.leakage(seen, observations.split_of_windows(mapped(spark, sf_dir)))
+
+
+@query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})), m AS ({MAPPED}), s AS ({SPLITS}) SELECT count(*) AS rows, count_if(s.split IS NULL) AS unknown, count_if(s.split <> m.split) AS mismatched, 0 AS duplicates FROM m LEFT JOIN s USING (col, row)")
+def split_mapping_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping_ = mapped(spark, sf_dir)
+    return audits.split_mapping_audit(mapping_, observations.split_of_windows(mapping_))
+
+
+@query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})), m AS ({MAPPED}), s AS (SELECT col, row, split FROM m QUALIFY row_number() OVER (PARTITION BY col, row ORDER BY area DESC, district) = 1) SELECT a.split AS split_a, b.split AS split_b, count(*) AS pairs FROM s a JOIN s b ON a.split < b.split AND abs(a.col - b.col) < 2 AND abs(a.row - b.row) < 2 GROUP BY 1, 2")
+def cross_split_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With every window in its primary district's split, as if windows across splits had not been left out."""
+    return audits.cross_split_overlaps(mapped(spark, sf_dir).filter("is_primary").select("col", "row", "split"))
+
+
+BROKEN = "CASE WHEN id % 97 = 0 THEN -to_node ELSE to_node END"
+
+
+@query(
+    f", l AS (SELECT from_node, xa, ya, {BROKEN} AS to_node, xb + CASE WHEN id % 13 = 0 THEN 0.5 ELSE 0 END AS xb, yb FROM links), e AS (SELECT from_node AS node, xa AS ex, ya AS ey FROM l UNION ALL SELECT to_node, xb, yb FROM l), g AS (SELECT e.node, n.x, sqrt((ex - x) ** 2 + (ey - y) ** 2) AS gap FROM e LEFT JOIN nodes n ON n.id = e.node) "
+    "SELECT 'endpoints' AS metric, count(*) AS value FROM g UNION ALL SELECT 'missing_nodes', count_if(x IS NULL) FROM g UNION ALL SELECT 'used_nodes', count(DISTINCT node) FROM g UNION ALL SELECT 'self_loops', count_if(from_node = to_node) FROM l UNION ALL SELECT 'isolated_nodes', count(*) FROM nodes WHERE id NOT IN (SELECT node FROM e)"
+    + "".join(f" UNION ALL SELECT 'within_{t}', count_if(gap <= {t}) FROM g" for t in ("0", "0.01", "0.1", "1", "10"))
+)
+def endpoint_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over links of which some name no node and some end beside theirs."""
+    links = layout(spark, sf_dir, "links").withColumn("to_node", F.expr(BROKEN)).withColumn("xb", F.col("xb") + F.when(F.col("id") % 13 == 0, 0.5).otherwise(0.0))
+    return profiles.endpoint_integrity(links, layout(spark, sf_dir, "nodes"))
+
+
+@query(f", {NUMBERS}, {WIDE}, {ROADS}, w AS ({WINDOWED}), c AS ({CLIPPED}), e AS ({EDGES}), u AS (SELECT 'building' AS object_type, id, col, row FROM c UNION ALL SELECT 'road', id, col, row FROM e UNION ALL SELECT 'poi', id, col, row FROM w) SELECT *, sha256(object_type || '|' || id || '|' || col || '|' || row) AS observation_id FROM u")
+def provenance_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations.provenance(building=observations.clip_boxes(layout(spark, sf_dir, "boxes")), road=edges(spark, sf_dir), poi=observations.points_in_windows(layout(spark, sf_dir, "points")))
+
+
+@query(
+    "b AS (SELECT sha256('o|' || o_orderkey) AS k, o_orderstatus || chr(31) || o_orderpriority AS l FROM orders WHERE o_orderkey % 10 <> 3), a AS (SELECT sha256('o|' || o_orderkey) AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END || chr(31) || o_orderpriority AS r FROM orders WHERE o_orderkey % 10 <> 7) "
+    "SELECT substr(k, 1, 2) AS bucket, count_if(r IS NULL) AS missing, count_if(l IS NULL) AS extra, count_if(l <> r) AS different FROM b FULL JOIN a USING (k) GROUP BY 1"
+)
+def provenance_lineage_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", ids.observation_hash(F.lit("o"), F.col("o_orderkey")).alias("k"))
+    found = orders.filter("o_orderkey % 10 <> 7").withColumn("o_orderstatus", F.expr("CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END"))
+    return audits.lineage_diff(orders.filter("o_orderkey % 10 <> 3"), found, "k", ["o_orderstatus", "o_orderpriority"])
+
+
+CHANGED = {"s_acctbal": "CASE WHEN s_suppkey % 4 = 1 THEN s_acctbal + 1 ELSE s_acctbal END", "s_name": "CASE WHEN s_suppkey % 6 = 5 THEN NULL ELSE s_name END"}
+
+
+@query(
+    f"b AS (SELECT s_suppkey AS k, s_name, s_acctbal FROM supplier WHERE s_suppkey % 9 <> 2), a AS (SELECT s_suppkey AS k, {CHANGED['s_name']} AS s_name, {CHANGED['s_acctbal']} AS s_acctbal FROM supplier WHERE s_suppkey % 9 <> 4), "
+    "j AS (SELECT coalesce(b.k, a.k) AS key, CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' WHEN a.s_name IS DISTINCT FROM b.s_name OR a.s_acctbal IS DISTINCT FROM b.s_acctbal THEN 'changed' END AS change, "
+    "array_to_string(list_filter([CASE WHEN a.s_name IS DISTINCT FROM b.s_name THEN 's_name' END, CASE WHEN a.s_acctbal IS DISTINCT FROM b.s_acctbal THEN 's_acctbal' END], lambda x: x IS NOT NULL), ',') AS f FROM b FULL JOIN a ON a.k = b.k) SELECT key, change, CASE WHEN change = 'changed' THEN f ELSE '' END AS fields FROM j WHERE change IS NOT NULL"
+)
+def inventory_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    after = supplier.filter("s_suppkey % 9 <> 4").select("s_suppkey", *(F.expr(e).alias(c) for c, e in CHANGED.items()))
+    return audits.snapshot_diff(supplier.filter("s_suppkey % 9 <> 2"), after, "s_suppkey", ["s_name", "s_acctbal"])
+
+
+@query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})), m AS ({MAPPED}), s AS ({SPLITS}) SELECT col, row, split, row_number() OVER (PARTITION BY split ORDER BY col, row) AS rank FROM s QUALIFY rank <= 3")
+def scene_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.select_windows(observations.split_of_windows(mapped(spark, sf_dir)), 3)
+
+
+@query("SELECT o_orderkey, o_orderstatus, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 512 AS shard FROM orders")
+def shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.shard_plan(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", 512)
+
+
+@query(", m AS (SELECT avg(cx) AS mx, avg(cy) AS my FROM districts), d AS (SELECT district, cx, cy, round(sqrt((cx - mx) ** 2 + (cy - my) ** 2), 6) AS distance FROM districts, m) SELECT *, ntile(3) OVER (ORDER BY distance, district) - 1 AS band FROM d")
+def radial_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.radial_bands(layout(spark, sf_dir, "districts").select("district", "cx", "cy"), "cx", "cy", "district")
+
+
+@query("c AS (SELECT user_id % 25 AS zone, event_type AS code, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL), t AS (SELECT zone, sum(n) AS total FROM c GROUP BY 1) SELECT zone, string_agg(code || '=' || n, ',' ORDER BY code) AS codes, round(-sum(n / total * ln(n / total)), 6) AS entropy FROM c JOIN t USING (zone) GROUP BY 1")
+def zonal_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("zone"), "event_type")
+    out = zonal.histogram(cells, "zone", "event_type")
+    shown = F.array_join(F.transform(F.map_entries("codes"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.withColumn("entropy", F.round(zonal.entropy(F.col("codes")), 6)).withColumn("codes", shown)
+
+
+@query("SELECT user_id % 25 AS zone, count(*) AS cells, min(value) AS min, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events WHERE value IS NOT NULL GROUP BY 1")
+def zonal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("zone"), "value")
+    out = zonal.statistics(cells, "zone", "value")
+    return out.withColumns({c: F.round(c, 6) for c in ("q25", "median", "q75", "mean", "std")})
+
+
+@query("SELECT CASE WHEN (user_id % 25) % 5 < 3 THEN 'train' WHEN (user_id % 25) % 5 = 3 THEN 'validation' ELSE 'test' END AS split, count(DISTINCT user_id % 25) AS zones, count(*) AS weight, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events WHERE value IS NOT NULL GROUP BY 1")
+def pooled_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-split mean and deviation from the zones' own; the SQL takes them from the values."""
+    cells = table(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("district"), "value")
+    zones = zonal.statistics(cells, "district", "value").join(layout(spark, sf_dir, "districts").select("district", "split"), "district")
+    return zonal.pooled(zones, "split").withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+WAVES = "[" + ", ".join(f"{w!r}::DOUBLE" for w in codes.WAVELENGTHS) + "]"
+
+
+@query(f"SELECT id, list_transform(flatten(list_transform({WAVES}, lambda w: [sin((x % 500 - 250) * (2 * pi() / w)), cos((x % 500 - 250) * (2 * pi() / w)), sin((y % 500 - 250) * (2 * pi() / w)), cos((y % 500 - 250) * (2 * pi() / w))])), lambda v: round(v, 6) + 0.0::DOUBLE) AS code FROM points")
+def relative_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = layout(spark, sf_dir, "points")
+    code = codes.relative_code(F.col("x") % 500 - 250, F.col("y") % 500 - 250)
+    return points.select("id", F.transform(code, lambda v: F.round(v, 6) + F.lit(0.0)).alias("code"))
+
+
+FEW = [(u, v) for u, v in codes.FREQUENCIES[:48:6]]
+
+
+def _turn(u: float, v: float) -> str:
+    return f"(-2 * pi() * ({u!r}::DOUBLE * mx + {v!r}::DOUBLE * my))"
+
+
+def _wave(u: float, v: float) -> str:
+    t = f"({u!r}::DOUBLE * dx + {v!r}::DOUBLE * dy)"
+    return f"(len * CASE WHEN abs({t}) < 1e-12 THEN 1 ELSE sin(pi() * {t}) / (pi() * {t}) END)"
+
+
+@query(
+    ", s AS (SELECT id, (xb - xa) / 500e0 AS dx, (yb - ya) / 500e0 AS dy, (xa % 500 + (xb - xa) / 2e0) / 500e0 AS mx, (ya % 500 + (yb - ya) / 2e0) / 500e0 AS my, sqrt((xb - xa) ** 2 + (yb - ya) ** 2) / 500e0 AS len FROM links) "
+    f"SELECT id, list_transform([{', '.join(f'{_wave(u, v)} * cos({_turn(u, v)})' for u, v in FEW)}], lambda v: round(v, 6) + 0e0) AS re, list_transform([{', '.join(f'{_wave(u, v)} * sin({_turn(u, v)})' for u, v in FEW)}], lambda v: round(v, 6) + 0e0) AS im FROM s"
+)
+def segment_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transforms of links at eight frequencies, from the corner of the square that holds their start."""
+    x, y = F.col("xa") % 500, F.col("ya") % 500
+    z = codes.segment_transform(x / 500, y / 500, (x + F.col("xb") - F.col("xa")) / 500, (y + F.col("yb") - F.col("ya")) / 500, FEW)
+    rounded = lambda part: F.transform(z, lambda w: F.round(w[part], 6) + F.lit(0.0))
+    return layout(spark, sf_dir, "links").select("id", rounded("re").alias("re"), rounded("im").alias("im"))
+
+
+PAIRS = 16
+
+
+@query(
+    f"v AS (SELECT vec_id, list_transform(range(1, {2 * PAIRS}, 2), lambda i: embedding[i]::DOUBLE) AS re, list_transform(range(2, {2 * PAIRS} + 1, 2), lambda i: embedding[i]::DOUBLE) AS im FROM embeddings) SELECT vec_id, list_transform(range(1, {PAIRS + 1}), lambda i: round(ln(1 + sqrt(re[i] * re[i] + im[i] * im[i])), 6)) AS magnitude, "
+    f"list_transform(range(1, {PAIRS + 1}), lambda i: round(CASE WHEN sqrt(re[i] * re[i] + im[i] * im[i]) <= 1e-7 THEN 1 ELSE cos(atan2(im[i], re[i])) END, 6) + 0e0) || list_transform(range(1, {PAIRS + 1}), lambda i: round(CASE WHEN sqrt(re[i] * re[i] + im[i] * im[i]) <= 1e-7 THEN 0 ELSE sin(atan2(im[i], re[i])) END, 6) + 0e0) AS phase FROM v"
+)
+def magnitude_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors read as complex numbers, component by component in pairs."""
+    z = F.transform(F.sequence(F.lit(1), F.lit(2 * PAIRS - 1), F.lit(2)), lambda i: F.struct(F.element_at("embedding", i).cast("double").alias("re"), F.element_at("embedding", i + 1).cast("double").alias("im")))
+    zs = table(spark, sf_dir, "embeddings").select("vec_id", z.alias("z"))
+    rounded = lambda c: F.transform(c, lambda v: F.round(v, 6) + F.lit(0.0))
+    return zs.select("vec_id", rounded(codes.magnitude(F.col("z"))).alias("magnitude"), rounded(codes.phase(F.col("z"))).alias("phase"))
+
+
+@query("SELECT label, count(*) AS rows, count_if(len(embedding) <> 64) AS wrong_width, count_if(len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0) AS non_finite, count_if(len(list_filter(embedding, lambda x: x <> 0)) = 0) AS zero FROM embeddings GROUP BY 1")
+def embedding_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.embedding_quality(table(spark, sf_dir, "embeddings"), "embedding", "label", 64)
+
+
+@query(f"i AS (SELECT p_brand AS brand, CASE WHEN p_partkey % 50 = 0 THEN NULL WHEN p_partkey % 51 = 0 THEN 'short' ELSE sha256(p_name) END AS v FROM part) SELECT brand, count(*) AS rows, count(*) - count(v) AS null_ids, count_if(NOT regexp_matches(v, '^[0-9a-f]{{64}}$')) AS bad_format, (SELECT count(*) FROM (SELECT v FROM i j WHERE j.brand = i.brand AND v IS NOT NULL GROUP BY v HAVING count(*) > 1)) AS duplicate_ids FROM i GROUP BY 1")
+def identity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.expr("CASE WHEN p_partkey % 50 = 0 THEN NULL WHEN p_partkey % 51 = 0 THEN 'short' ELSE sha2(p_name, 256) END")
+    return audits.identity_audit(table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), v.alias("v")), "brand", "v")
+
+
+@query(f"d AS (SELECT {canonical_sql('CAST(p_partkey AS VARCHAR)', 'p_name', 'p_brand')} AS digest FROM part), n AS (SELECT digest, (row_number() OVER (ORDER BY digest) - 1) // 500 AS chunk FROM d), c AS (SELECT chunk, count(*) AS lines, sha256(string_agg(digest, chr(10) ORDER BY digest)) AS h FROM n GROUP BY 1) SELECT CAST(sum(lines) AS BIGINT) AS rows, count(*) AS chunks, sha256(sha256('part' || chr(10) || 'v1') || chr(10) || string_agg(h, chr(10) ORDER BY chunk)) AS content_hash FROM c")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ids.content_hash(table(spark, sf_dir, "part"), ["part", "v1"], ["p_partkey", "p_name", "p_brand"], most_lines=500)

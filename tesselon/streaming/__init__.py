@@ -1,0 +1 @@
+"""Nothing streams here: the engine's whole job is batch, and windows are windows in the plane."""
