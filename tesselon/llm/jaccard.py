@@ -425,7 +425,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, n: int = 5, threshol
     pairs, copies = similar_sets(spark, docs, n, threshold)
     edges = pairs.select("a", "b").union(copies.select(F.col("rep"), F.col("doc")))
     gone = groups(spark, edges).select(F.col("doc").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def ngram_jaccard_sql(n: int = 5, threshold: float = 0.5) -> str:

@@ -1,9 +1,9 @@
 """Line dedup by content-defined chunks.
 
 Lines are hashed, and a polynomial over the last ``window`` line hashes is rolled along a document; where it is 0 modulo
-``divisor`` a chunk ends. A boundary depends on its own few lines alone, so the same passage is cut alike wherever it
-stands. Chunks of ``min_lines`` lines or more that occur again anywhere are removed but for their first place, after
-their bytes are compared.
+``divisor`` a chunk ends. A line of ``long_words`` words or more, a passage by itself, is a chunk of its own. A boundary
+depends on its own few lines alone, so the same passage is cut alike wherever it stands. Chunks of ``min_lines`` lines or
+more, and long lines, that occur again anywhere are removed but for their first place, after their bytes are compared.
 """
 
 from __future__ import annotations
@@ -17,24 +17,25 @@ from .common import only, settle
 BASE, MODULUS = 1_000_003, 2_147_483_647
 
 
-def _cut(rows: DataFrame, window: int, divisor: int) -> DataFrame:
-    """Adds lines, their hashes and the last lines of the chunks."""
+def _cut(rows: DataFrame, window: int, divisor: int, long_words: int) -> DataFrame:
+    """Adds lines, their hashes, which of them are long, and the last lines of the chunks."""
     hashed = rows.withColumn("lines", F.split("text", "\n", -1)).withColumn("hashes", F.transform("lines", lambda line: F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")))
+    hashed = hashed.withColumn("long", F.transform("lines", lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1 >= long_words))
     rolled = lambda i: F.aggregate(F.slice("hashes", i - window + 1, F.lit(window)), F.lit(0).cast("long"), lambda a, h: (a * BASE + h) % MODULUS)
     n = F.size("lines")
-    return hashed.withColumn("ends", F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | F.when(i >= window, rolled(i) % divisor == 0).otherwise(False)))
+    return hashed.withColumn("ends", F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | F.element_at("long", i) | F.get("long", i) | F.when(i >= window, rolled(i) % divisor == 0).otherwise(False)))
 
 
 def _chunks(cut: DataFrame, min_lines: int, *more: Column) -> DataFrame:
-    """A row for each chunk of min_lines lines or more: doc, i (from 0), key, and more from lines and c (first, lines)."""
+    """A row for each chunk of min_lines lines or more and each long line: doc, i (from 0), key, and more from lines and c (first, lines)."""
     first = lambda i: F.when(i == 0, 1).otherwise(F.element_at("ends", i) + 1)
     spans = F.transform("ends", lambda end, i: F.struct(i.alias("i"), first(i).alias("first"), (end - first(i) + 1).alias("n")))
-    keep = F.filter(spans, lambda c: c["n"] >= min_lines)
+    keep = F.filter(spans, lambda c: (c["n"] >= min_lines) | F.element_at("long", c["first"]))
     return cut.withColumn("c", F.explode(keep)).select("doc", F.col("c.i").alias("i"), F.md5(F.array_join(F.slice("hashes", F.col("c.first"), F.col("c.n")), ",").cast("binary")).alias("key"), *more)
 
 
 def dedup_lines(
-    spark: SparkSession, docs: DataFrame, window: int = 2, divisor: int = 4, min_lines: int = 2, doc_id: str = "doc_id", text: str = "text"
+    spark: SparkSession, docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2, long_words: int = 50, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, text, removed_lines) for every row: its text without repeated chunks.
 
@@ -44,7 +45,7 @@ def dedup_lines(
     empty. Texts travel only where they hold a repeated chunk.
     """
     rows = only(docs, doc=doc_id, text=text)
-    cut = _cut(rows.filter("doc IS NOT NULL AND text IS NOT NULL"), window, divisor)
+    cut = _cut(rows.filter("doc IS NOT NULL AND text IS NOT NULL"), window, divisor, long_words)
     body = F.array_join(F.slice("lines", F.col("c.first"), F.col("c.n")), "\n").alias("body")
     repeated = settle(_chunks(cut, min_lines).groupBy("key").count().filter("count > 1").select("key"), "repeated")
     hit = bloom.may_hold(spark, bloom.build(repeated, "key"), F.col("key"))
@@ -56,7 +57,7 @@ def dedup_lines(
     touched = bloom.may_hold(spark, bloom.build(drops, "doc"), F.col("doc"))
     tested = rows.withColumn("touched", touched)
     plain = tested.filter(~F.col("touched")).select(F.col("doc").alias("doc_id"), "text", F.lit(0).alias("removed_lines"))
-    changed = _cut(tested.filter("touched").join(drops, "doc", "left"), window, divisor)
+    changed = _cut(tested.filter("touched").join(drops, "doc", "left"), window, divisor, long_words)
     first = lambda i: F.when(i == 0, 1).otherwise(F.element_at("ends", i) + 1)
     span = lambda end, i: F.slice("hashes", first(i), end - first(i) + 1)
     kept = F.filter(
@@ -68,17 +69,17 @@ def dedup_lines(
     return plain.union(cleaned)
 
 
-def lines_sql(window: int = 2, divisor: int = 4, min_lines: int = 2) -> str:
+def lines_sql(window: int = 2, divisor: int = 2, min_lines: int = 2, long_words: int = 50) -> str:
     rolled = "0"
     for k in range(window):
         rolled = f"(({rolled}) * {BASE} + lag(h, {window - 1 - k}) OVER w) % {MODULUS}" if window - 1 - k else f"(({rolled}) * {BASE} + h) % {MODULUS}"
     return f"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM lines),
-cuts AS (SELECT *, coalesce(i >= {window} AND {rolled} % {divisor} = 0, false) AS cut FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, len(string_split(line, ' ')) >= {long_words} AS is_long FROM lines),
+cuts AS (SELECT *, coalesce(i >= {window} AND {rolled} % {divisor} = 0, false) OR is_long OR coalesce(lead(is_long) OVER w, false) AS cut FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM cuts),
-chunks AS (SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM numbered GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, c) AS place FROM chunks WHERE n >= {min_lines}),
+chunks AS (SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n, bool_or(is_long) AS is_long FROM numbered GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, c) AS place FROM chunks WHERE n >= {min_lines} OR is_long),
 gone AS (SELECT doc_id, c FROM ranked WHERE place > 1),
 left_over AS (SELECT n.doc_id, count(*) AS kept, string_agg(line, chr(10) ORDER BY i) AS text FROM numbered n ANTI JOIN gone USING (doc_id, c) GROUP BY 1)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(l.text, '') END AS text,
