@@ -255,6 +255,11 @@ def clip(shape: Shape, x0: float, y0: float, x1: float, y1: float) -> Shape:
                     out.append([*cut])
                 open_ = bool((cut[1] == b).all())
         return kind, [np.array(p) for p in out]
+    bx0, by0, bx1, by1 = box(shape)
+    if x0 <= bx0 and y0 <= by0 and bx1 <= x1 and by1 <= y1:
+        return shape
+    if bx0 >= x1 or bx1 <= x0 or by0 >= y1 or by1 <= y0:
+        return kind, []
     done = []
     for p in parts:
         outer = split_bridges(clip_ring(p[0], x0, y0, x1, y1))
@@ -371,7 +376,7 @@ def rectangle(x0: float, y0: float, x1: float, y1: float) -> Shape:
     return "polygon", [[np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)], float)]]
 
 
-# Arrow functions over WKB columns.
+# Arrow functions over WKB columns. They count as nondeterministic, so that a filter on a result doesn't compute it twice.
 
 
 def rectangle_wkb(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -400,7 +405,7 @@ def inspect(wkb: Column) -> Column:
             rows.append(row)
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], fields=[pa.field(n, t) for n, t in fields])
 
-    return run(wkb)
+    return run.asNondeterministic()(wkb)
 
 
 def clip_wkb(wkb: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -414,7 +419,7 @@ def clip_wkb(wkb: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Col
             out.append(write_wkb(normalized(cut)) if cut and cut[1] else None)
         return pa.array(out, pa.binary())
 
-    return run(wkb, *(x.cast("double") for x in (x0, y0, x1, y1)))
+    return run.asNondeterministic()(wkb, *(x.cast("double") for x in (x0, y0, x1, y1)))
 
 
 def covers_point(wkb: Column, x: Column, y: Column, strict: bool = False) -> Column:
@@ -424,7 +429,7 @@ def covers_point(wkb: Column, x: Column, y: Column, strict: bool = False) -> Col
     def run(shapes: pa.Array, xs: pa.Array, ys: pa.Array) -> pa.Array:
         return pa.array([None if None in row else bool(locate(np.array([row[1:]], float), read_wkb(row[0]))[0] >= (1 if strict else 0)) for row in zip(shapes.to_pylist(), xs.to_pylist(), ys.to_pylist())], pa.bool_())
 
-    return run(wkb, x.cast("double"), y.cast("double"))
+    return run.asNondeterministic()(wkb, x.cast("double"), y.cast("double"))
 
 
 def geometry_hash(wkb: Column) -> Column:
@@ -434,7 +439,7 @@ def geometry_hash(wkb: Column) -> Column:
     def run(values: pa.Array) -> pa.Array:
         return pa.array([None if v is None else write_wkb(normalized(read_wkb(v))) for v in values.to_pylist()], pa.binary())
 
-    return F.sha2(run(wkb), 256)
+    return F.sha2(run.asNondeterministic()(wkb), 256)
 
 
 def fourier(wkb: Column, frequencies: list[tuple[float, float]] = FREQUENCIES) -> Column:
@@ -447,4 +452,4 @@ def fourier(wkb: Column, frequencies: list[tuple[float, float]] = FREQUENCIES) -
         parts = [pa.array([None if v is None else getattr(v, p).tolist() for v in z], pa.list_(pa.float64())) for p in ("real", "imag")]
         return pa.StructArray.from_arrays(parts, ["re", "im"])
 
-    return run(wkb)
+    return run.asNondeterministic()(wkb)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codes, grid, ids, text
-from ..operators import audits, observations, profiles, relations, zonal
-from ..sources import mapping
+from ..functions import codes, geometry, grid, ids, text
+from ..operators import audits, observations, profiles, relations, splits, zonal
+from ..sources import layers, mapping
 from .layouts import TILE, layout, with_layouts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -471,3 +472,59 @@ def identity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"d AS (SELECT {canonical_sql('CAST(p_partkey AS VARCHAR)', 'p_name', 'p_brand')} AS digest FROM part), n AS (SELECT digest, (row_number() OVER (ORDER BY digest) - 1) // 500 AS chunk FROM d), c AS (SELECT chunk, count(*) AS lines, sha256(string_agg(digest, chr(10) ORDER BY digest)) AS h FROM n GROUP BY 1) SELECT CAST(sum(lines) AS BIGINT) AS rows, count(*) AS chunks, sha256(sha256('part' || chr(10) || 'v1') || chr(10) || string_agg(h, chr(10) ORDER BY chunk)) AS content_hash FROM c")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.content_hash(table(spark, sf_dir, "part"), ["part", "v1"], ["p_partkey", "p_name", "p_brand"], most_lines=500)
+
+
+@query(f", {WIDE}, c AS ({CLIPPED}) SELECT id, col, row, round(((cx1 - cx0) * (cy1 - cy0))::DOUBLE, 6) AS area, round((cx0 + cx1) / 2, 6) AS x, round((cy0 + cy1) / 2, 6) AS y FROM c")
+def polygon_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes as WKB polygons, cut by the general kernel."""
+    boxes = layout(spark, sf_dir, "boxes").withColumn("wkb", geometry.rectangle_wkb(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
+    wide = grid.windows_of(boxes, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    half = grid.SIZE / 2
+    edges_ = [F.col(c) * grid.STRIDE + d for d in (-half, half) for c in ("col", "row")]
+    cut = wide.withColumn("g", geometry.inspect(geometry.clip_wkb(F.col("wkb"), *edges_))).filter("g.kind IS NOT NULL")
+    return cut.select("id", "col", "row", *(F.round(f"g.{c}", 6).alias(n) for c, n in (("measure", "area"), ("x", "x"), ("y", "y"))))
+
+
+def _sinc(x: str) -> str:
+    return f"CASE WHEN abs({x}) < 1e-12 THEN 1 ELSE sin(pi() * {x}) / (pi() * {x}) END"
+
+
+@query(
+    ", s AS (SELECT id, (x1 - x0) / 500e0 AS w, (y1 - y0) / 500e0 AS h FROM boxes) SELECT id, list_transform(["
+    + ", ".join(f"w * h * ({_sinc(f'({u!r}::DOUBLE * w)')}) * ({_sinc(f'({v!r}::DOUBLE * h)')})" for u, v in FEW)
+    + "], lambda v: round(v, 6) + 0e0) AS re FROM s"
+)
+def polygon_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transforms of the boxes, summed over triangles; the SQL has the closed form of a rectangle about its centre."""
+    boxes = layout(spark, sf_dir, "boxes").withColumn("wkb", geometry.rectangle_wkb(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
+    return boxes.select("id", F.transform(geometry.fourier(F.col("wkb"), FEW)["re"], lambda v: F.round(v, 6) + F.lit(0.0)).alias("re"))
+
+
+@query("SELECT count(*) AS features, 0 AS null_geometries, 0 AS unreadable, 'polygon' AS kinds, 0 AS multipart, CAST(5 * count(*) AS BIGINT) AS vertices, sum((x1 - x0) * (y1 - y0))::DOUBLE AS measure, min(x0)::DOUBLE AS xmin, min(y0)::DOUBLE AS ymin, max(x1)::DOUBLE AS xmax, max(y1)::DOUBLE AS ymax FROM boxes")
+def layer_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = layout(spark, sf_dir, "boxes").select(geometry.rectangle_wkb(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("geometry_wkb"))
+    return layers.layer_metadata(boxes)
+
+
+def district_objective(spark: SparkSession, sf_dir: str, plan: splits.Plan) -> splits.Objective:
+    """Nations as districts of the plane, with what customers, suppliers, orders and parts say of each."""
+    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("price"))
+    people = customer.join(orders, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("district")).agg(
+        F.count("*").alias("buildings"), (F.coalesce(F.sum("price"), F.lit(0.0)) / 1e6).alias("road_length"), F.coalesce(F.sum("orders"), F.lit(0)).alias("windows"), F.count("c_acctbal").alias("dem_cells"), F.avg("c_acctbal").alias("dem_mean"), F.stddev_pop("c_acctbal").alias("dem_std"),
+    )
+    shops = supplier.groupBy(F.col("s_nationkey").alias("district")).agg(F.count("*").alias("pois"))
+    frame = layout(spark, sf_dir, "districts").join(people, "district", "left").join(shops, "district", "left").fillna(0).orderBy("district").toPandas()
+    frame["code"], frame["area"], frame["x"], frame["y"] = frame["district"].map("{:02d}".format), 1.0, frame["cx"] + 0.5, frame["cy"] + 0.5
+    for kind, total in (("building", "buildings"), ("road", "road_length"), ("poi", "pois")):
+        frame[f"{kind}_density"] = frame[total] / frame["area"]
+    segments = customer.groupBy("c_nationkey").pivot("c_mktsegment").count().fillna(0).orderBy("c_nationkey").toPandas().set_index("c_nationkey").reindex(frame["district"], fill_value=0).to_numpy()
+    bands = customer.withColumn("band", F.pmod(F.floor(F.col("c_acctbal") / 1000), F.lit(4))).groupBy("c_nationkey").pivot("band", [0, 1, 2, 3]).count().fillna(0).toPandas().set_index("c_nationkey").reindex(frame["district"], fill_value=0).to_numpy()
+    gap = np.maximum(np.abs(np.subtract.outer(frame["cx"].to_numpy(), frame["cx"].to_numpy())), np.abs(np.subtract.outer(frame["cy"].to_numpy(), frame["cy"].to_numpy())))
+    return splits.Objective(frame, segments, bands, (gap == 1).astype(float), plan)
+
+
+@query()
+def split_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of 50,000 seeded splits of the districts into 15, 5 and 5."""
+    return splits.assignment(splits.search(spark, district_objective(spark, sf_dir, splits.Plan())))
