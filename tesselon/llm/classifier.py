@@ -202,7 +202,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
         model = fit(table["text"].combine_chunks(), y, seed=seed)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    return pickle.loads(arrow(rows.select(F.col("doc").cast("long").alias("doc"), "text", "q", "t").coalesce(1), run, "model binary").first()["model"])
+    # The sample alone is brought together: the scan and the join stay spread out.
+    found = arrow(rows.select(F.col("doc").cast("long").alias("doc"), "text", "q", "t").repartition(1), run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit(pa.array([], pa.string()), np.zeros((0, 2), np.float32), seed=seed)
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = 1500, quality: float = 0.5, toxic: float = 0.5, seed: int = 7) -> DataFrame:

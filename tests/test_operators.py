@@ -18,7 +18,7 @@ def rows(df):
 @pytest.fixture(scope="module")
 def scene(spark):
     """Two boxes, two road parts and four points of one window, with the relations worked out by hand."""
-    boxes = spark.createDataFrame([(0, 0, 1, 0, 0, 10, 10), (0, 0, 2, 20, 0, 30, 10)], "col long, row long, id long, cx0 double, cy0 double, cx1 double, cy1 double")
+    boxes = spark.createDataFrame([(0, 0, 1, 0, 0, 10, 10), (0, 0, 2, 20, 0, 30, 10)], "col long, row long, id long, cx0 long, cy0 long, cx1 long, cy1 long")
     points = spark.createDataFrame([(0, 0, 1, 5, 5), (0, 0, 2, 10, 5), (0, 0, 3, 100, 100), (0, 0, 4, 102, 100)], "col long, row long, id long, x long, y long")
     roads = spark.createDataFrame([(0, 0, 1, "n1", "n2"), (0, 0, 2, "n2", "n3"), (0, 0, 3, "b:3:start", "b:3:end"), (1, 0, 2, "n2", "n3")], "col long, row long, id long, start_node string, end_node string")
     return boxes, points, roads
@@ -34,7 +34,7 @@ def test_connection_by_node_within_a_window(scene):
 
 
 def test_intersection_leaves_out_containment(spark):
-    schema = "col long, row long, id long, cx0 double, cy0 double, cx1 double, cy1 double"
+    schema = "col long, row long, id long, cx0 long, cy0 long, cx1 long, cy1 long"
     boxes = spark.createDataFrame([(0, 0, 1, 0, 0, 10, 10), (0, 0, 2, 10, 10, 20, 20), (0, 0, 3, 2, 2, 4, 4), (0, 0, 4, 50, 50, 60, 60), (1, 0, 5, 5, 5, 15, 15)], schema)
     assert rows(relations.intersections(boxes).select("src", "dst")) == [(1, 2), (2, 1)]
 
@@ -176,7 +176,7 @@ def test_split_search_finds_the_brute_force_best(spark):
     rng = np.random.default_rng(5)
     frame = pd.DataFrame({"code": [f"{i:02d}" for i in range(25)], "x": np.arange(25) % 5, "y": np.arange(25) // 5} | {c: rng.uniform(1, 9, 25) for c in (*splits.EXTENSIVE, *splits.DENSITY, "dem_cells", "dem_mean", "dem_std")})
     categories, landcover = rng.integers(0, 50, (25, 4)), rng.integers(0, 50, (25, 6))
-    near = (np.maximum(np.abs(np.subtract.outer(frame["x"], frame["x"])), np.abs(np.subtract.outer(frame["y"], frame["y"]))) == 1).astype(float)
+    near = (np.maximum(np.abs(np.subtract.outer(*[frame["x"].to_numpy()] * 2)), np.abs(np.subtract.outer(*[frame["y"].to_numpy()] * 2))) == 1).astype(float)
     plan = splits.Plan(candidates=3000)
     o = splits.Objective(frame, categories, landcover, near, plan)
     found = splits.search(spark, o, block=500)
