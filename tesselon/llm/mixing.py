@@ -183,11 +183,12 @@ def mix_sources(
     drawn = arrow(spark.range(shards), _draw(seed, share / share.sum(), slots, shards), "shard long, slot long, s long, j long")
     taken = drawn.groupBy("shard", "s").agg(F.count("*").alias("n"))
     before = taken.withColumn("before", F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "s", F.coalesce("before", F.lit(0)).alias("before"))
-    numbered = drawn.join(before, ["shard", "s"]).select("shard", "slot", "s", (F.col("before") + F.col("j")).alias("q"))
+    # Sizes of generated rows are guessed too low, so the joins are told not to broadcast them.
+    numbered = drawn.join(before.hint("merge"), ["shard", "s"]).select("shard", "slot", "s", (F.col("before") + F.col("j")).alias("q"))
     chosen = arrow(numbered, _choose(seed, names, [totals[n] for n in names]), "shard long, slot long, source string, epoch long, number long")
     first = F.coalesce(F.sum("blocks").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = sizes.withColumn("first", first).select("source", "bucket", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("local")).select("source", "bucket", "local", (F.col("first") + F.col("local")).alias("number"))
-    wanted = chosen.join(blocks, ["source", "number"]).select("source", "bucket", "local", "shard", "slot", "epoch")
+    wanted = chosen.join(blocks.hint("merge"), ["source", "number"]).select("source", "bucket", "local", "shard", "slot", "epoch")
     schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("piece", pa.int32()), ("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("epoch", pa.int64()), ("tokens", pa.int32()), ("text", pa.string())])
     texts = placed.select("source", "bucket", "doc", F.xxhash64("text").alias("tie"), "lang", "text")
     return texts.groupBy("source", "bucket").cogroup(wanted.groupBy("source", "bucket")).applyInArrow(_assemble(block, schema), PIECES)
