@@ -131,7 +131,7 @@ PROFILED = ["c_name", "c_mktsegment", "c_acctbal", "c_nationkey"]
 
 @query(
     "SELECT \"column\", count(*) AS rows, count(*) - count(v) AS nulls, count(DISTINCT v) AS \"distinct\", count(v) - count(DISTINCT v) AS duplicates, count_if(v = '') AS empty, count_if(v <> trim(v)) AS padded, count_if(upper(trim(v)) IN ('NA', 'N/A', 'NULL', 'NONE', 'NAN', '-', 'UNKNOWN')) AS missing_tokens, "
-    "count_if(regexp_matches(v, '^0[0-9]+$')) AS leading_zeros, coalesce(count_if(TRY_CAST(v AS DOUBLE) < 0), 0) AS negative, coalesce(count_if(TRY_CAST(v AS DOUBLE) = 0), 0) AS zero, count(DISTINCT v) / count(v) >= 0.95 AS id_candidate FROM ("
+    "coalesce(count_if(regexp_matches(v, '^0[0-9]+$')), 0) AS leading_zeros, coalesce(count_if(TRY_CAST(v AS DOUBLE) < 0), 0) AS negative, coalesce(count_if(TRY_CAST(v AS DOUBLE) = 0), 0) AS zero, count(DISTINCT v) / count(v) >= 0.95 AS id_candidate FROM ("
     + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM customer" for c in PROFILED)
     + ") GROUP BY 1"
 )
@@ -316,7 +316,7 @@ def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.leakage(seen, observations.split_of_windows(mapped(spark, sf_dir)))
 
 
-@query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})), m AS ({MAPPED}), s AS ({SPLITS}) SELECT count(*) AS rows, count_if(s.split IS NULL) AS unknown, count_if(s.split <> m.split) AS mismatched, 0 AS duplicates FROM m LEFT JOIN s USING (col, row)")
+@query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})), m AS ({MAPPED}), s AS ({SPLITS}) SELECT count(*) AS rows, count_if(s.split IS NULL) AS unknown, coalesce(count_if(s.split <> m.split), 0) AS mismatched, 0 AS duplicates FROM m LEFT JOIN s USING (col, row)")
 def split_mapping_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping_ = mapped(spark, sf_dir)
     return audits.split_mapping_audit(mapping_, observations.split_of_windows(mapping_))
@@ -334,7 +334,7 @@ BROKEN = "CASE WHEN id % 97 = 0 THEN -to_node ELSE to_node END"
 @query(
     f", l AS (SELECT from_node, xa, ya, {BROKEN} AS to_node, xb + CASE WHEN id % 13 = 0 THEN 0.5 ELSE 0 END AS xb, yb FROM links), e AS (SELECT from_node AS node, xa AS ex, ya AS ey FROM l UNION ALL SELECT to_node, xb, yb FROM l), g AS (SELECT e.node, n.x, sqrt((ex - x) ** 2 + (ey - y) ** 2) AS gap FROM e LEFT JOIN nodes n ON n.id = e.node) "
     "SELECT 'endpoints' AS metric, count(*) AS value FROM g UNION ALL SELECT 'missing_nodes', count_if(x IS NULL) FROM g UNION ALL SELECT 'used_nodes', count(DISTINCT node) FROM g UNION ALL SELECT 'self_loops', count_if(from_node = to_node) FROM l UNION ALL SELECT 'isolated_nodes', count(*) FROM nodes WHERE id NOT IN (SELECT node FROM e)"
-    + "".join(f" UNION ALL SELECT 'within_{t}', count_if(gap <= {t}) FROM g" for t in ("0", "0.01", "0.1", "1", "10"))
+    + "".join(f" UNION ALL SELECT 'within_{t}', coalesce(count_if(gap <= {t}), 0) FROM g" for t in ("0", "0.01", "0.1", "1", "10"))
 )
 def endpoint_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over links of which some name no node and some end beside theirs."""
@@ -349,7 +349,7 @@ def provenance_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "b AS (SELECT sha256('o|' || o_orderkey) AS k, o_orderstatus || chr(31) || o_orderpriority AS l FROM orders WHERE o_orderkey % 10 <> 3), a AS (SELECT sha256('o|' || o_orderkey) AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END || chr(31) || o_orderpriority AS r FROM orders WHERE o_orderkey % 10 <> 7) "
-    "SELECT substr(k, 1, 2) AS bucket, count_if(r IS NULL) AS missing, count_if(l IS NULL) AS extra, count_if(l <> r) AS different FROM b FULL JOIN a USING (k) GROUP BY 1"
+    "SELECT substr(k, 1, 2) AS bucket, count_if(r IS NULL) AS missing, count_if(l IS NULL) AS extra, coalesce(count_if(l <> r), 0) AS different FROM b FULL JOIN a USING (k) GROUP BY 1"
 )
 def provenance_lineage_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", ids.observation_hash(F.lit("o"), F.col("o_orderkey")).alias("k"))
@@ -463,7 +463,7 @@ def embedding_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.embedding_quality(table(spark, sf_dir, "embeddings"), "embedding", "label", 64)
 
 
-@query(f"i AS (SELECT p_brand AS brand, CASE WHEN p_partkey % 50 = 0 THEN NULL WHEN p_partkey % 51 = 0 THEN 'short' ELSE sha256(p_name) END AS v FROM part) SELECT brand, count(*) AS rows, count(*) - count(v) AS null_ids, count_if(NOT regexp_matches(v, '^[0-9a-f]{{64}}$')) AS bad_format, (SELECT count(*) FROM (SELECT v FROM i j WHERE j.brand = i.brand AND v IS NOT NULL GROUP BY v HAVING count(*) > 1)) AS duplicate_ids FROM i GROUP BY 1")
+@query(f"i AS (SELECT p_brand AS brand, CASE WHEN p_partkey % 50 = 0 THEN NULL WHEN p_partkey % 51 = 0 THEN 'short' ELSE sha256(p_name) END AS v FROM part) SELECT brand, count(*) AS rows, count(*) - count(v) AS null_ids, coalesce(count_if(NOT regexp_matches(v, '^[0-9a-f]{{64}}$')), 0) AS bad_format, (SELECT count(*) FROM (SELECT v FROM i j WHERE j.brand = i.brand AND v IS NOT NULL GROUP BY v HAVING count(*) > 1)) AS duplicate_ids FROM i GROUP BY 1")
 def identity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.expr("CASE WHEN p_partkey % 50 = 0 THEN NULL WHEN p_partkey % 51 = 0 THEN 'short' ELSE sha2(p_name, 256) END")
     return audits.identity_audit(table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), v.alias("v")), "brand", "v")
