@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_LINES, MOST_BYTES = 25_000, 64 << 20
@@ -66,14 +66,12 @@ def content_hash(df: DataFrame, header: list[str], columns: list[str], most_line
     """(rows, chunks, content_hash): a two-level hash of a table that doesn't depend on its row order.
 
     Digests are sorted; each run of ``most_lines`` of them is hashed, and the hashes of the runs, in order, under the
-    header give the table's. The global number of a digest comes from its range partition's count, not from a window
-    over the whole table; what reaches the last task is one digest a chunk.
+    header give the table's. The global number of a digest comes from the counts of 65,536 ranges, not from a
+    window over the whole table; what reaches the last task is one digest a chunk.
     """
     digests = row_digest(df, *columns).select("digest")
-    bucket = F.conv(F.substring("digest", 1, 3), 16, 10).cast("int")
+    bucket = F.conv(F.substring("digest", 1, 4), 16, 10).cast("int")
     placed = digests.withColumn("b", bucket)
-    from pyspark.sql import Window
-
     sizes = placed.groupBy("b").count()
     before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("b", "before")
     ranked = placed.join(F.broadcast(before), "b").withColumn("n", F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("digest")) - 1)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, geometry, grid, ids, text
-from ..operators import audits, observations, profiles, relations, splits, zonal
+from ..operators import audits, observations, planning, profiles, relations, spatial, splits, zonal
 from ..sources import layers, mapping
 from .layouts import TILE, layout, with_layouts
 
@@ -528,3 +528,48 @@ def district_objective(spark: SparkSession, sf_dir: str, plan: splits.Plan) -> s
 def split_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of 50,000 seeded splits of the districts into 15, 5 and 5."""
     return splits.assignment(splits.search(spark, district_objective(spark, sf_dir, splits.Plan())))
+
+
+SQUARE = 1000
+
+
+@query(f", p AS (SELECT x % {TILE} AS x, y FROM points) SELECT district, count(p.x) AS points FROM districts LEFT JOIN p ON x > cx * {SQUARE} AND x < (cx + 1) * {SQUARE} AND y > cy * {SQUARE} AND y < (cy + 1) * {SQUARE} GROUP BY 1")
+def district_point_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of all tiles, laid over one another, strictly within each district's polygon."""
+    points = layout(spark, sf_dir, "points").select((F.col("x") % TILE).alias("x"), "y")
+    edges_ = {"xmin": F.col("cx") * SQUARE, "ymin": F.col("cy") * SQUARE, "xmax": (F.col("cx") + 1) * SQUARE, "ymax": (F.col("cy") + 1) * SQUARE}
+    polygons = layout(spark, sf_dir, "districts").select("district", *(c.alias(n) for n, c in edges_.items()))
+    polygons = polygons.withColumn("geometry_wkb", geometry.rectangle_wkb(*(F.col(c) for c in edges_)))
+    return spatial.point_counts(points, polygons, "district", SQUARE)
+
+
+@query(
+    f", {ROADS}, c AS (SELECT u.i AS cx, v.i AS cy, greatest(xa, u.i * {SQUARE}) AS px, greatest(ya, v.i * {SQUARE}) AS py, least(xb, (u.i + 1) * {SQUARE}) AS qx, least(yb, (v.i + 1) * {SQUARE}) AS qy FROM links JOIN span u ON xa <= (u.i + 1) * {SQUARE} AND xb >= u.i * {SQUARE} JOIN span v ON ya <= (v.i + 1) * {SQUARE} AND yb >= v.i * {SQUARE}) "
+    "SELECT cx, cy, sum(qx - px + qy - py)::DOUBLE AS length FROM c WHERE qx > px OR qy > py GROUP BY 1, 2"
+)
+def district_road_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.lengths_by_square(layout(spark, sf_dir, "links"), SQUARE)
+
+
+@query("SELECT * FROM (SELECT o_orderpriority, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 25")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    return planning.stratified_sample(orders, "o_orderpriority", [F.desc("o_totalprice"), "o_orderkey"])
+
+
+@query(", b AS (SELECT min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM points UNION ALL SELECT min(x0), min(y0), max(x1), max(y1) FROM boxes UNION ALL SELECT min(x), min(y), max(x), max(y) FROM nodes), s AS (SELECT max(xmin) AS xmin, max(ymin) AS ymin, min(xmax) AS xmax, min(ymax) AS ymax FROM b) SELECT *, xmin > xmax OR ymin > ymax AS empty FROM s")
+def common_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box that points, boxes and nodes share."""
+    extent = lambda name, x0, y0, x1, y1: layout(spark, sf_dir, name).agg(F.min(x0).alias("xmin"), F.min(y0).alias("ymin"), F.max(x1).alias("xmax"), F.max(y1).alias("ymax"))
+    return spatial.common_box(extent("points", "x", "y", "x", "y").union(extent("boxes", "x0", "y0", "x1", "y1")).union(extent("nodes", "x", "y", "x", "y")))
+
+
+@query(
+    "SELECT code, severity, metric, value FROM (SELECT 'K1' AS code, 'error' AS severity, 'missing' AS metric, count_if(c_custkey IS NULL)::DOUBLE AS value FROM orders LEFT JOIN customer ON c_custkey = o_custkey UNION ALL SELECT 'K2', 'warning', 'repeated', (count(*) - count(DISTINCT o_custkey))::DOUBLE FROM orders UNION ALL SELECT 'K3', 'note', 'orders', count(*)::DOUBLE FROM orders) WHERE value > 0"
+)
+def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey")
+    known = orders.groupBy("o_custkey").agg(F.count("*").alias("n")).join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    one = known.agg(F.coalesce(F.sum(F.when(F.col("c_custkey").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.sum(F.col("n") - 1).alias("repeated"), F.sum("n").alias("orders"))
+    some = F.col("value") > 0
+    return planning.assess(planning.melt(one), [("K1", "error", "missing", some), ("K2", "warning", "repeated", some), ("K3", "note", "orders", some)])
