@@ -329,7 +329,7 @@ def _segments(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _triangles(t: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Transforms of triangles, summed. With phases a, b, c at its corners a triangle's is twice its area times the
+    """(n, k) transforms of triangles. With phases a, b, c at its corners a triangle's is twice its area times the
     second divided difference of exp at them, taken over the corners in the order that divides by the greatest gaps;
     where all gaps are small its series is summed instead."""
     size = np.abs((t[:, 1, 0] - t[:, 0, 0]) * (t[:, 2, 1] - t[:, 0, 1]) - (t[:, 2, 0] - t[:, 0, 0]) * (t[:, 1, 1] - t[:, 0, 1]))
@@ -345,7 +345,7 @@ def _triangles(t: np.ndarray, w: np.ndarray) -> np.ndarray:
         power = power * u
         h = h * v + power
         term /= n + 3
-    return (size[:, None] * np.where(wide, exact, np.exp(1j * a) * series)).sum(0)
+    return size[:, None] * np.where(wide, exact, np.exp(1j * a) * series)
 
 
 def transform(shape: Shape, frequencies: np.ndarray | None = None) -> np.ndarray:
@@ -355,10 +355,36 @@ def transform(shape: Shape, frequencies: np.ndarray | None = None) -> np.ndarray
     if kind == "line":
         return _segments(np.vstack([p[:-1] for p in parts]), np.vstack([p[1:] for p in parts]), w)
     if kind == "polygon":
-        return _triangles(np.vstack([triangulate(p) for p in parts]), w)
+        return _triangles(np.vstack([triangulate(p) for p in parts]), w).sum(0)
     raise ValueError("points have no transform")
 
 
+def transforms(shapes: list[Shape], frequencies: np.ndarray, most: int = 4096) -> np.ndarray:
+    """(shapes, k) transforms, the triangles of many polygons at once."""
+    w = np.asarray(frequencies)
+    out = np.zeros((len(shapes), len(w)), complex)
+    held: list[np.ndarray] = []
+    owner: list[int] = []
+
+    def add() -> None:
+        if held:
+            count = np.array([len(t) for t in held])
+            np.add.at(out, np.repeat(owner, count), _triangles(np.vstack(held), w))
+            held.clear(), owner.clear()
+
+    for i, shape in enumerate(shapes):
+        if shape[0] != "polygon":
+            out[i] = transform(shape, w)
+            continue
+        for p in shape[1]:
+            held.append(triangulate(p))
+            owner.append(i)
+        if len(held) >= most:
+            add()
+    add()
+    return out
+
+
 def intrinsic(shape: Shape, scale: float = 500.0) -> Shape:
     """The shape about its representative point, in units of a window's side."""
     move = lambda r: (r - representative_) / scale
@@ -448,8 +474,10 @@ def fourier(wkb: Column, frequencies: list[tuple[float, float]] = FREQUENCIES) -
 
     @F.arrow_udf("re array<double>, im array<double>")
     def run(values: pa.Array) -> pa.Array:
-        z = [None if v is None else transform(intrinsic(read_wkb(v)), w) for v in values.to_pylist()]
-        parts = [pa.array([None if v is None else getattr(v, p).tolist() for v in z], pa.list_(pa.float64())) for p in ("real", "imag")]
+        shapes = [None if v is None else intrinsic(read_wkb(v)) for v in values.to_pylist()]
+        z = iter(transforms([s for s in shapes if s is not None], w))
+        rows = [None if s is None else next(z) for s in shapes]
+        parts = [pa.array([None if v is None else getattr(v, p).tolist() for v in rows], pa.list_(pa.float64())) for p in ("real", "imag")]
         return pa.StructArray.from_arrays(parts, ["re", "im"])
 
     return run.asNondeterministic()(wkb)
