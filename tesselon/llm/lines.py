@@ -35,7 +35,7 @@ def _chunks(cut: DataFrame, min_lines: int, *more: Column) -> DataFrame:
 
 
 def dedup_lines(
-    spark: SparkSession, docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2, long_words: int = 50, doc_id: str = "doc_id", text: str = "text"
+    spark: SparkSession, docs: DataFrame, window: int = 2, divisor: int = 4, min_lines: int = 2, long_words: int = 50, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, text, removed_lines) for every row: its text without repeated chunks.
 
@@ -69,7 +69,7 @@ def dedup_lines(
     return plain.union(cleaned)
 
 
-def lines_sql(window: int = 2, divisor: int = 2, min_lines: int = 2, long_words: int = 50) -> str:
+def lines_sql(window: int = 2, divisor: int = 4, min_lines: int = 2, long_words: int = 50) -> str:
     rolled = "0"
     for k in range(window):
         rolled = f"(({rolled}) * {BASE} + lag(h, {window - 1 - k}) OVER w) % {MODULUS}" if window - 1 - k else f"(({rolled}) * {BASE} + h) % {MODULUS}"
