@@ -4,8 +4,8 @@ All pairs of documents whose sets of word n-grams have a Jaccard similarity of a
 on partners or candidates.
 
 Any two sets with Jaccard >= t share at least ceil(t * larger size) n-grams. With every set in one global order (rarest
-first), the first ``size - ceil(t * size) + m`` n-grams of both then share at least m: the m-match prefix. Each document
-chooses its own m by estimated cost, and a pair is verified once it shares min(m, m') prefix n-grams.
+first), the first ``size - ceil(t * size) + m`` n-grams of both then share at least m, for m up to ceil(t * size): the m-match prefix.
+Each document chooses its own m by estimated cost, and a pair is verified once it shares min(m, m') prefix n-grams.
 
 1. n-grams are hashed, packed into arrays by hash range and exchanged once; document frequencies are counted there. What
    occurs in one document only goes no further: it comes first in the order, matches nothing, and is known to each
@@ -154,10 +154,10 @@ FREQUENCIES = "part int, grams binary, dfs binary, docs binary, counts binary, m
 
 def matches(df: np.ndarray, size: int, singles: int, threshold: float) -> tuple[int, int]:
     """(m, number of repeated n-grams in the prefix) of least estimated cost. df: of a set's repeated n-grams, in order."""
-    free = size - math.ceil(threshold * size - 1e-9)
-    length = np.clip(free + np.arange(1, MOST_MATCHES + 1) - singles, 0, len(df))
+    need = math.ceil(threshold * size - 1e-9)
+    m = np.arange(1, max(1, min(MOST_MATCHES, need)) + 1)  # more than ``need`` matches aren't owed by any pair
+    length = np.clip(size - need + m - singles, 0, len(df))
     others = np.concatenate([[0], np.cumsum(df - 1.0)])[length]
-    m = np.arange(1, MOST_MATCHES + 1)
     best = int(np.argmin(others + others / m * size))
     if others[0] == 0:
         best = 0

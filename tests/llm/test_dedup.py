@@ -103,6 +103,21 @@ def test_jaccard_near_copies(spark, make, duck, threshold):
     assert got == duck(jaccard.ngram_jaccard_sql(3, threshold), documents=(DOCS, pairs_of(rows))) and len(got) > 5
 
 
+def test_jaccard_short_near_copies(spark, make, duck):
+    """Texts of 5 to 19 words, whose sets hold fewer n-grams than twice the most matches."""
+    rng = random.Random(21)
+    rows = []
+    for size in range(5, 20):
+        for _ in range(6):
+            base = words(rng, size, 300).split()
+            cut, tail = rng.randrange(0, 4), rng.randrange(0, 4)
+            for own in (base, [*base, "z1"], ["z2", *base, "z3"], base[cut:], base[: len(base) - tail]):
+                rows.append((len(rows), " ".join(own), "s"))
+    got = rows_of(jaccard.ngram_jaccard_join(spark, make(rows), **NEAR))
+    assert got == duck(jaccard.ngram_jaccard_sql(**NEAR), documents=(DOCS, pairs_of(rows)))
+    assert sum(r[2] < 1 for r in got) >= 100
+
+
 def test_one_of_each_group(spark, make, messy):
     rows = [(None, "no id " + messy[0][1], "s"), *messy]
     docs = make(rows).withColumnRenamed("value", "_gone")
