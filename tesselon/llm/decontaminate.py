@@ -8,7 +8,8 @@
 3. A third pass compares windows of 16, 32 and 64 words, every 8 words of every text (16 for the longest), with each benchmark passage of
    about that length by cosine. Where it reaches ``cosine``, the words around are checked: their longest common
    subsequence with the item, and how much of the item's answer is there in order. Without an ``answer`` column the
-   closing fifth of an item counts as its answer.
+   closing fifth of an item counts as its answer. Items of ``SHORT`` words or fewer are too small a part of a window for
+   a cosine to tell; their words are looked up one by one, and checked wherever enough of them are close together.
 
 No text is shuffled. The term table (16 MB) and the benchmark, whose size is checked, are broadcast.
 """
@@ -23,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow, blobs, only, summed
-from .textkit import U, Words, distinct, mix, slices
+from .textkit import U, Words, distinct, mix, runs, slices, spread
 
 TERMS = 1 << 15
 SKETCH = 128
 PASSAGE = 32
 STRIDE = 8
 SCALES = (2, 4, 8)
+SHORT = 12
 MOST_ITEMS = 1_000_000
 
 
@@ -130,6 +132,8 @@ class Benchmark:
         words = Words(pa.array(texts, pa.string()))
         replies = Words(pa.array([a or "" for a in answers], pa.string()))
         self.items, self.queries = [], {m: ([], []) for m in SCALES}
+        looked_up: list[tuple[int, int]] = []
+        self.short_vectors = {}
         ids_of_terms = terms(words)
         for i, item in enumerate(ids):
             own = words.hash[words.first[i] : words.first[i + 1]]
@@ -139,6 +143,10 @@ class Benchmark:
             reply = reply if len(reply) else own[-max(3, len(own) // 5) :]
             masks = _masks(own)
             self.items.append((item, len(own), masks, len(reply), _masks(reply), set(masks)))
+            if len(own) <= SHORT:
+                looked_up += [(w, len(self.items) - 1) for w in masks]
+                self.short_vectors[len(self.items) - 1] = space[ids_of_terms[words.first[i] : words.first[i + 1]]].sum(0)
+                continue
             for at in range(0, len(own), 48) if len(own) > 64 else (0,):
                 n = len(own) - at if len(own) <= 64 else min(48, len(own) - at)
                 m = next((m for m in SCALES if n <= m * STRIDE * 5 // 4), SCALES[-1])
@@ -147,6 +155,21 @@ class Benchmark:
                 if length > 0:
                     self.queries[m][0].append(len(self.items) - 1)
                     self.queries[m][1].append(vector / length)
+        looked_up.sort()
+        self.short_words, self.short_items = np.array([w for w, _ in looked_up], U), np.array([k for _, k in looked_up], np.int64)
+        self.sizes = np.array([n for _, n, *_ in self.items], np.int64)
+        self.vocabulary = distinct(words.hash)
+        self.bits = [self._bits(masks, n) if n > SHORT else None for _, n, masks, *_ in self.items]
+
+    def _bits(self, masks: dict[int, int], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the vocabulary of an item's words, and their masks in 64-bit parts, a row each."""
+        at = np.searchsorted(self.vocabulary, np.array(list(masks), U))
+        return at, np.array([[v >> k & 0xFFFFFFFFFFFFFFFF for v in masks.values()] for k in range(0, n, 64)], U)
+
+    def places(self, words: Words) -> np.ndarray:
+        """Each word's place in the vocabulary, or its length where it isn't there."""
+        at = np.searchsorted(self.vocabulary, words.hash)
+        return np.where(self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == words.hash, at, len(self.vocabulary)) if len(self.vocabulary) else at
 
 
 def _masks(words: np.ndarray) -> dict[int, int]:
@@ -167,6 +190,34 @@ def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> int:
     return n - rows.bit_count()
 
 
+def _near_words(bench: Benchmark, words: Words, lcs: float) -> tuple[np.ndarray, np.ndarray]:
+    """(item, first word) of places where, within twice a short item's length, as many of its words stand as ``lcs`` asks."""
+    low, high = (np.searchsorted(bench.short_words, words.hash, side) for side in ("left", "right"))
+    place = np.repeat(np.arange(len(words.hash)), high - low)
+    item = bench.short_items[spread(low, high - low)]
+    order = np.lexsort((place, item))
+    item, place = item[order], place[order]
+    size = bench.sizes[item]
+    last = np.arange(len(item)) + np.maximum(np.ceil(lcs * size - 1e-9).astype(np.int64), 1) - 1
+    held = np.minimum(last, len(item) - 1)
+    row = words.row()[place]
+    found = (last < len(item)) & (item[held] == item) & (row[held] == row) & (place[held] - place < 2 * size)
+    return item[found], place[found]
+
+
+def _enough(bits: tuple[np.ndarray, np.ndarray], table: np.ndarray, places: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: float) -> np.ndarray:
+    """Where between lo and hi words stand for ``least`` or more of an item's positions; no common subsequence is longer. table: zeros."""
+    out = np.zeros(len(lo), np.int64)
+    for part in bits[1]:
+        table[bits[0]] = part
+        for k in range(0, len(lo), 2048):
+            a, b = lo[k : k + 2048, None], hi[k : k + 2048, None]
+            at = np.minimum(a + np.arange(int((b - a).max())), b - 1)
+            out[k : k + 2048] += np.bitwise_count(np.bitwise_or.reduce(table[places[at]], axis=1))
+    table[bits[0]] = 0
+    return out >= least
+
+
 def leaks(bench: Benchmark, texts: pa.Array, cosine: float, lcs: float, verbatim: float, answer: float) -> list[tuple[int, int, float, float, float]]:
     """(row, item, cosine, share of the item in the longest common subsequence, share of its answer) of each leak."""
     words = Words(texts)
@@ -181,7 +232,23 @@ def leaks(bench: Benchmark, texts: pa.Array, cosine: float, lcs: float, verbatim
     sums = np.zeros((len(row) + pad * words.rows, bench.space.shape[1]), np.float32)
     sums[np.arange(len(row)) + pad * row] = block_sums(bench.space, words, starts, STRIDE)
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    if len(bench.short_words):
+        ids, of_word = terms(words), words.row()
+        for k, at_word in zip(*(x.tolist() for x in _near_words(bench, words, lcs))):
+            item, n, masks, reply_n, reply, _ = bench.items[k]
+            i = int(of_word[at_word])
+            hi = min(int(words.first[i + 1]), at_word + 2 * n)
+            around = words.hash[at_word:hi].tolist()
+            share = common_subsequence(masks, n, around) / n
+            if share >= lcs:
+                replied = common_subsequence(reply, reply_n, around) / reply_n
+                if share >= verbatim or replied >= answer:
+                    vector, own = bench.space[ids[at_word:hi]].sum(0), bench.short_vectors[k]
+                    length = float(np.linalg.norm(vector) * np.linalg.norm(own))
+                    found = (share, replied, float(vector @ own) / length if length else 0.0)
+                    best[i, item] = max(best.get((i, item), (0.0, 0.0, 0.0)), found)
     here = np.arange(len(row)) + pad * row
+    places, table = bench.places(words), np.zeros(len(bench.vocabulary) + 1, U)
     reach = 1
     for m in SCALES:
         while reach < m:
@@ -196,14 +263,19 @@ def leaks(bench: Benchmark, texts: pa.Array, cosine: float, lcs: float, verbatim
         length = np.sqrt(np.einsum("ij,ij->i", window, window))
         for k in range(0, len(items), 256):
             close = window @ np.array(vectors[k : k + 256]).T
-            w, q = np.nonzero(close >= cosine * np.maximum(length, 1e-9)[:, None])
-            for t, x, y in zip(w.tolist(), tried[w].tolist(), q.tolist()):
-                item, n, masks, reply_n, reply, vocabulary = bench.items[items[k + y]]
+            q, w = np.nonzero(close.T >= cosine * np.maximum(length, 1e-9))
+            bounds = runs(q)
+            passed = [np.zeros(0, np.int64)]
+            for f, g in zip(bounds[:-1], bounds[1:]):
+                x, n = tried[w[f:g]], bench.items[items[k + q[f]]][1]
+                lo, hi = np.maximum(words.first[row[x]], starts[x] - n), np.minimum(words.first[row[x] + 1], starts[x] + m * STRIDE + n)
+                passed.append(f + np.flatnonzero(_enough(bench.bits[items[k + q[f]]], table, places, lo, hi, lcs * n - 1e-9)))
+            passed = np.concatenate(passed)
+            for t, x, y in zip(w[passed].tolist(), tried[w[passed]].tolist(), q[passed].tolist()):
+                item, n, masks, reply_n, reply, _ = bench.items[items[k + y]]
                 i = int(row[x])
                 lo, hi = max(int(words.first[i]), int(starts[x]) - n), min(int(words.first[i + 1]), int(starts[x]) + m * STRIDE + n)
                 around = words.hash[lo:hi].tolist()
-                if sum(masks[w].bit_count() for w in vocabulary.intersection(around)) < lcs * n:
-                    continue  # no common subsequence can be as long
                 share = common_subsequence(masks, n, around) / n
                 if share >= lcs:
                     replied = common_subsequence(reply, reply_n, around) / reply_n
@@ -225,13 +297,14 @@ def prepare(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: st
 
 
 def find_leaks(
-    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cosine: float = 0.55, lcs: float = 0.55, verbatim: float = 0.75, answer: float = 0.6,
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, lcs: float = 0.55, verbatim: float = 0.75, answer: float = 0.6,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer): each item that a document holds, word for word or paraphrased.
 
     An item leaks where a window's cosine with it reaches ``cosine`` and either ``verbatim`` of its words stand around
-    it in order, or ``lcs`` of them with ``answer`` of its answer. Null and wordless texts and items match nothing; a
+    it in order, or ``lcs`` of them with ``answer`` of its answer; a short item, where they do within twice its length,
+    whatever the cosine. Null and wordless texts and items match nothing; a
     null id is reported as null; repeated rows are reported each; of repeated items every id is. Other columns are
     ignored whatever their names; empty tables give an empty result.
     """
@@ -250,7 +323,7 @@ def find_leaks(
     return arrow(rows, run, "doc_id long, item_id long, cosine double, lcs double, answer double")
 
 
-def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cosine: float = 0.55, lcs: float = 0.55, verbatim: float = 0.75, answer: float = 0.6) -> DataFrame:
+def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, lcs: float = 0.55, verbatim: float = 0.75, answer: float = 0.6) -> DataFrame:
     """The rows of the input that hold no benchmark item, with all its columns; a null text holds none."""
     shared = prepare(spark, docs, benchmark)
 

@@ -134,6 +134,29 @@ def test_leaks_are_found_and_only_they(spark, make, leaked):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, *_ in docs} - {d for d, _ in pairs} and kept.columns == make(docs).columns
 
 
+def test_reworded_and_short_leaks_are_found(spark, make):
+    """Items of which up to 45 % of the words before the answer are replaced: recall of those the rule accepts, by length."""
+    rng = random.Random(31)
+    items, docs, truth = [], [], {}
+    for n in (2, 3, 5, 8, 12, 15, 20, 38, 59, 90):
+        for _ in range(3):
+            item = words(rng, n).split()
+            items.append((len(items), " ".join(item)))
+            closing = max(3, n // 5)
+            for share in (0, 0.2, 0.3, 0.4, 0.45) * 3:
+                own = list(item)
+                for j in rng.sample(range(max(0, n - closing)), min(max(0, n - closing), int(share * n))):
+                    own[j] = words(rng, 1)
+                host = words(rng, rng.randrange(60, 300)).split()
+                at = rng.randrange(len(host))
+                if plain_lcs(item, own) >= 0.55 * n - 1e-9:
+                    truth.setdefault(n, []).append((len(docs), items[-1][0]))
+                docs.append((len(docs), " ".join([*host[:at], *own, *host[at:]]), "s"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark, make(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = {n: sum(p in found for p in pairs) / len(pairs) for n, pairs in truth.items()}
+    assert len(truth) == 10 and min(recall.values()) >= 0.9, recall
+
+
 def test_odd_rows_of_both_sides(spark, make, messy, leaked):
     items, docs, _ = leaked
     rows = [(None, items[0][1] + " tail", "s"), *messy, *docs]
