@@ -74,6 +74,19 @@ def _fingerprint(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(np.diff(raw(texts)[1])), pa.array(found[:, 0]), pa.array(found[:, 1])], ["doc", "bytes", "f1", "f2"])
 
 
+def _with_text(fingerprint):
+    """Rows (doc, text) with their text's fingerprint, so that an id with several texts has each under its own mark."""
+
+    def run(batches):
+        for batch in batches:
+            found = list(fingerprint([batch]))
+            if found:
+                prints = pa.Table.from_batches(found).combine_chunks()
+                yield from pa.table([batch.column(0), batch.column(1), *(prints.column(c) for c in ("bytes", "f1", "f2"))], ["doc", "text", "bytes", "f1", "f2"]).to_batches()
+
+    return run
+
+
 def exact_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, kept_id, copies) for every document: the least id with the same bytes, and how many ids have them.
 
@@ -88,7 +101,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id
     shared = ids.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1")
     suspects = settle(ids.join(shared, "mark", "left_semi"), "suspects")
     possible = rows.filter(bloom.may_hold(spark, bloom.build(suspects.select("doc").distinct(), "doc"), F.col("doc")))
-    named = possible.join(suspects, "doc").filter(F.octet_length("text") == F.col("mark.bytes"))
+    again = arrow(possible.select("doc", "text"), _with_text(_fingerprint), "doc long, text string, bytes long, f1 long, f2 long").select("doc", "text", mark)
+    named = again.join(suspects, ["doc", "mark"])
     steps = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / STREAM).cast("int"))
     chunk = named.select("doc", "mark", F.explode(F.transform(steps, lambda i: F.struct(i.alias("i"), F.substring("text", i * STREAM + 1, F.lit(STREAM)).alias("bytes")))).alias("c"))
     classes = chunk.groupBy("mark", "c.i", "c.bytes").agg(F.min("doc").alias("cls"), F.collect_set("doc").alias("docs")).select("mark", "i", "cls", F.explode("docs").alias("doc"))

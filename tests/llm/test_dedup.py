@@ -59,6 +59,12 @@ def test_exact_matches_sql(spark, make, messy, duck):
     assert exact.exact_duplicates(spark, make([])).count() == 0
 
 
+def test_exact_texts_under_clashing_ids(spark, make, duck):
+    """An id with two texts of equal length, both with copies elsewhere."""
+    rows = [(1, "abc", "s"), (1, "xyz", "s"), (2, "abc", "s"), (3, "xyz", "s"), (4, "xyz", "s"), (5, "abc", "s"), (5, "xyz", "s"), (6, "own", "s")]
+    assert rows_of(exact.exact_duplicates(spark, make(rows))) == duck(exact.EXACT_SQL, documents=(DOCS, pairs_of(rows)))
+
+
 def test_fingerprints_combine():
     rng = np.random.default_rng(1)
     for n, cut in ((1, 0), (5000, 1024), (70_000, 33_333), (3, 3)):
