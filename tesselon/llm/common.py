@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import importlib
+import pickle
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,17 +19,24 @@ SUMS = 16
 
 
 def partitions(spark: SparkSession) -> int:
-    """The session's shuffle partitions, the one knob that sizes every exchange here."""
+    """The session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def parts_for(spark: SparkSession, size: int, most: int) -> int:
+    """Partitions of at most about ``most`` (bytes or rows) each, and never fewer than the session's."""
+    return max(partitions(spark), -(-size // most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; one is set only where none is (tests on one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tesselon-")
+        folder = tempfile.mkdtemp(prefix="tesselon-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -38,6 +49,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the files of settled tables that nothing reads any more (those that a loop has replaced)."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        for path in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Project to the named inputs under internal names, so that any other column of the input can't clash."""
     return df.select([df[source].alias(name) for name, source in columns.items()])
@@ -52,16 +72,42 @@ def arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(function, schema)
 
 
-def unique_docs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, text) with one row an id.
+def type_of(df: DataFrame, column: str) -> str:
+    """A column's own type, so that ids of any type go through an operator as they are."""
+    return df.schema[column].dataType.simpleString()
+
+
+_LOADED: dict[str, object] = {}
+
+
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast value's reader. Each Python worker unpickles it once, not once a batch or task; the last two are held."""
+    name, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(value))
+
+    def get() -> object:
+        held = importlib.import_module(__name__)._LOADED  # the worker's own module, not a copy that came with this function
+        if name not in held:
+            while len(held) >= 2:
+                held.pop(next(iter(held)))
+            held[name] = pickle.loads(shared.value)
+        return held[name]
+
+    return get
+
+
+def row_keys(rows: DataFrame, doc: str = "doc", text: str = "text", into: str = "key", distinct: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with the long column ``into``, table (key, doc) or None where the key is the id itself).
 
-    Rows without an id or a text are left out; of rows that share an id the longest text, then the greatest, stays.
-    Texts are shuffled only where some id does repeat.
+    Ids that are whole numbers and unique are keys as they are, and nothing is moved. Ids of another type, and ids that
+    repeat, are numbered in the order of the ids (then of a hash of the row): rows are sorted once over the cluster and
+    written, so that the numbers stay as they are. distinct: repeated rows are one. Null ids must have been left out.
     """
-    rows = only(docs, doc=doc_id, text=text).filter("doc IS NOT NULL AND text IS NOT NULL").withColumn("doc", F.col("doc").cast("long"))
-    if rows.groupBy("doc").count().filter("count > 1").limit(1).count() == 0:
-        return rows
-    return rows.groupBy("doc").agg(F.max(F.struct(F.length("text").alias("n"), "text"))["text"].alias("text"))
+    whole = type_of(rows, doc) in ("tinyint", "smallint", "int", "bigint")
+    if whole and rows.groupBy(doc).count().filter("count > 1").limit(1).count() == 0:
+        return rows.withColumn(into, F.col(doc).cast("long")), None
+    ordered = (rows.distinct() if distinct else rows).orderBy(doc, F.xxhash64(text), F.xxhash64(*rows.columns))
+    keyed = settle(ordered.withColumn(into, F.monotonically_increasing_id()), "numbered")
+    return keyed, keyed.select(F.col(into).alias("key"), F.col(doc).alias("doc"))
 
 
 def summed(df: DataFrame, size: int, kind: type) -> np.ndarray:
@@ -77,6 +123,8 @@ def summed(df: DataFrame, size: int, kind: type) -> np.ndarray:
 
     out = np.zeros(size, kind)
     step = -(-size // SUMS)
+    if kind not in (np.int64, np.float64):
+        raise TypeError("sums over the corpus need 64 bits")
     for row in arrow(df.repartitionById(SUMS, F.col("part")), total, "part int, blob binary").toLocalIterator():
         out[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(row["blob"], kind)
     return out

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-LONGEST_WORD = 1 << 16  # a longer run is cut into words of this many bytes
+LONGEST_WORD = 1 << 16  # longer words are hashed one by one, in pieces
 BLOCK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 IS_WORD = np.zeros(256, bool)
@@ -48,6 +48,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def polynomial(data: np.ndarray) -> np.ndarray:
+    """Of bytes of any number, as one value: pieces combined by their shift."""
+    total = 0
+    for at in range(0, len(data), BLOCK):
+        part = data[at : at + BLOCK].astype(U) + U(1)
+        total += int((part * POW[: len(part)]).sum(dtype=U)) * pow(BASE, at, 1 << 64)
+    return np.array([total % (1 << 64)], U)
+
+
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary array; null reads as empty."""
     if texts.null_count:
@@ -87,11 +96,6 @@ class Words:
         opens[edge] |= inside[edge]
         closes[edge - 1] |= inside[edge - 1]
         start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        if len(start) and (end - start).max() > LONGEST_WORD:
-            n = -(-(end - start) // LONGEST_WORD)
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start, last = np.repeat(start, n) + k * LONGEST_WORD, np.repeat(end, n)
-            end = np.minimum(start + LONGEST_WORD, last)
         self.start, self.end = start, end
         self.first = np.searchsorted(start, offsets)
         self.count = np.diff(self.first)
@@ -102,22 +106,30 @@ class Words:
         after = np.append(start[1:], len(data))
         if gaps and len(start):
             after = np.minimum(after, np.minimum(end + gaps, offsets[1:][np.repeat(np.arange(self.rows), self.count)]))
+        short = np.flatnonzero(end - start <= LONGEST_WORD)
         at = 0
-        while at < len(start):
-            base = start[at]
-            to = max(at + 1, int(np.searchsorted(end, base + BLOCK, "right")))
-            part = data[base : end[to - 1] + gaps].astype(U)
+        while at < len(short):
+            base = start[short[at]]
+            to = max(at + 1, int(np.searchsorted(end[short], base + BLOCK, "right")))
+            these = slice(short[at], short[to - 1] + 1) if short[to - 1] - short[at] == to - 1 - at else short[at:to]
+            part = data[base : end[short[to - 1]] + gaps].astype(U)
             part += U(1)
             sums = np.zeros(len(part) + 1, U)
             np.cumsum(part * POW[: len(part)], out=sums[1:])
-            s, e = start[at:to] - base, end[at:to] - base
+            s, e = start[these] - base, end[these] - base
             low = sums[s]
-            self.hash[at:to] = mix((sums[e] - low) * INV[s])
+            self.hash[these] = mix((sums[e] - low) * INV[s])
             for p, into in self.prefix.items():
-                into[at:to] = mix((sums[np.minimum(e, s + p)] - low) * INV[s] + U(p))
+                into[these] = mix((sums[np.minimum(e, s + p)] - low) * INV[s] + U(p))
             if gaps:
-                self.gap[at:to] = mix((sums[after[at:to] - base] - sums[e]) * INV[e] + U(255))
+                self.gap[these] = mix((sums[after[these] - base] - sums[e]) * INV[e] + U(255))
             at = to
+        for k in np.flatnonzero(end - start > LONGEST_WORD) if len(short) < len(start) else ():
+            self.hash[k] = mix(polynomial(data[start[k] : end[k]]))[0]
+            for p, into in self.prefix.items():
+                into[k] = mix(polynomial(data[start[k] : start[k] + p]) + U(p))[0]
+            if gaps:
+                self.gap[k] = mix(polynomial(data[end[k] : after[k]]) + U(255))[0]
 
     def row(self) -> np.ndarray:
         """The row of each word."""
@@ -148,8 +160,10 @@ def pack(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType | None = None
 
 
 def binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """As pack, with 32-bit offsets, as Spark's BINARY expects."""
+    """As pack, with 32-bit offsets, as Spark's BINARY expects. Callers cut what they send into batches far below 2 GB."""
     values = np.ascontiguousarray(values)
+    if int(bounds[-1]) * values.itemsize >= 1 << 31:
+        raise OverflowError("a batch of 2 GB; a single text is too long")
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((np.asarray(bounds, np.int64) * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values)])
 
 
