@@ -11,7 +11,7 @@ from . import captures, classifier, decontaminate, exact, jaccard, licences, lin
 
 Query = Callable[[SparkSession, str], DataFrame]
 NEAR = dict(n=5, threshold=0.5)
-LINES = dict(window=2, divisor=4, min_lines=2, long_words=50)
+LINES = dict(long_words=50)
 SHARDS = 64
 MIX = dict(block=512, power=0.7, slots_a_shard=4096)
 CLASSIFIER = dict(sample=1500)
