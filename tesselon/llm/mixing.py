@@ -1,13 +1,14 @@
 """Mixing sources to target weights in blocks of fixed length.
 
-1. Documents of a source are spread over buckets of about ``BUCKET_DOCS`` documents by a hash of their id, in the order
-   of their ids; their tokens, run together, are cut into blocks of ``block`` tokens (the last of a bucket may be
-   shorter). Only token counts are needed to number the blocks of a source.
+1. Documents of a source are spread over buckets of about ``BUCKET_BYTES`` by a hash of their id and text (so that rows
+   without an id are spread too). A source's tokens run from bucket to bucket, and within one by id, and are cut into
+   blocks of ``block`` tokens; only the last block of a source may be shorter. Token counts alone number the blocks.
 2. Each output shard draws how many blocks of each source it takes, a multinomial with the target weights.
 3. The q-th block drawn from a source of n blocks is block p(q mod n), where p is a pseudorandom permutation of the
    source's block numbers (a Feistel network, walked until it falls below n), another one for each epoch q div n.
-4. Slots are joined to blocks by source and block number, and travel to the bucket that holds the text; each text is
-   exchanged once. What comes out are the pieces of documents that make up the blocks.
+4. Slots are joined to blocks by source and block number, and travel to the buckets that hold the block's text (two or
+   more, where it runs across their borders). A bucket of a source that is drawn for many epochs is read by several
+   tasks, each for its share of the epochs. What comes out are the pieces of documents that make up the blocks.
 
 A token is a run of non-space characters with the white space after it, so that pieces joined in order give back texts.
 """
@@ -19,11 +20,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow, only, settle
+from .common import arrow, only, settle, type_of
 from .textkit import U, binary, mix, raw, slices, spread
 
-BUCKET_DOCS = 2000
+BUCKET_BYTES = 8 << 20
+EPOCHS = 4  # that one task writes of a bucket, about
 MOST_SOURCES = 100_000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -100,19 +103,19 @@ def _choose(seed: int, names: list[str], blocks: list[int]):
     return run
 
 
-def pieces(texts: pa.Array, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(row, block, tokens, text) of the pieces of texts that are run together and cut into blocks."""
+def pieces(texts: pa.Array, block: int, before: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, block, first token within the block, tokens, text) of the pieces of texts that are run together, after ``before`` tokens, and cut into blocks."""
     data, offsets = raw(texts)
     starts, first = token_starts(data, offsets)
     total = len(starts)
-    cuts = np.unique(np.concatenate([first[:-1][np.diff(first) > 0], np.arange(0, total, block)]))
-    ends = np.append(cuts[1:], total)
+    cuts = np.unique(np.concatenate([first[:-1][np.diff(first) > 0], np.arange(-before % block, total, block)]))
+    ends = np.append(cuts[1:], total)[: len(cuts)]
     row = np.searchsorted(first, cuts, "right") - 1
     to = np.append(starts, len(data))[ends]
     to = np.minimum(to, offsets[row + 1])
     size = to - starts[cuts] if total else np.zeros(0, np.int64)
     whole = data[spread(starts[cuts], size)] if total else data[:0]
-    return row, cuts // block, ends - cuts, binary(whole, np.concatenate([[0], np.cumsum(size)])).cast(pa.string())
+    return row, (before + cuts) // block, (before + cuts) % block, ends - cuts, binary(whole, np.concatenate([[0], np.cumsum(size)])).cast(pa.string())
 
 
 def _assemble(block: int, schema: pa.Schema):
@@ -121,79 +124,92 @@ def _assemble(block: int, schema: pa.Schema):
     def run(docs: pa.Table, slots: pa.Table) -> pa.Table:
         if not docs.num_rows or not slots.num_rows:
             return schema.empty_table()
-        docs = docs.take(pc.sort_indices(docs, [("doc", "ascending"), ("tie", "ascending")]))
-        row, number, tokens, text = pieces(docs["text"].combine_chunks(), block)
-        local = slots["local"].to_numpy()
+        docs = docs.take(pc.sort_indices(docs, [("doc", "ascending"), ("tie", "ascending"), ("size", "ascending")], null_placement="at_start"))
+        row, number, within, tokens, text = pieces(docs["text"].combine_chunks(), block, slots["before"][0].as_py())
+        local = slots["number"].to_numpy()
         start, end = np.searchsorted(number, local, "left"), np.searchsorted(number, local, "right")
         at = spread(start, end - start)
         slot = np.repeat(np.arange(len(local)), end - start)
         text = text.take(pa.array(at))
         from_doc, from_slot = pa.array(row[at]), pa.array(slot)
         return pa.Table.from_arrays(
-            [slots["shard"].take(from_slot), slots["slot"].take(from_slot), pa.array((at - start[slot]).astype(np.int32)), docs["doc"].take(from_doc), docs["lang"].take(from_doc), docs["source"].take(from_doc), slots["epoch"].take(from_slot), pa.array(tokens[at].astype(np.int32)), text],
+            [slots["shard"].take(from_slot), slots["slot"].take(from_slot), pa.array(within[at].astype(np.int32)), docs["doc"].take(from_doc), docs["lang"].take(from_doc), docs["source"].take(from_doc), slots["epoch"].take(from_slot), pa.array(tokens[at].astype(np.int32)), text],
             schema=schema,
         )
 
     return run
 
 
-PIECES = "shard long, slot long, piece int, doc_id long, lang string, source string, epoch long, tokens int, text string"
+def _pieces_schema(kind: str) -> str:
+    return f"shard long, slot long, first int, doc_id {kind}, lang string, source string, epoch long, tokens int, text string"
 
 
 def mix_sources(
     spark: SparkSession, docs: DataFrame, block: int = 512, slots_a_shard: int = 4096, weights: dict[str, float] | None = None, power: float = 0.7, slots: int | None = None, seed: int = 11,
     doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str | None = "lang",
 ) -> DataFrame:
-    """(shard, slot, piece, doc_id, lang, source, epoch, tokens, text): the pieces, in order, of the block in each slot.
+    """(shard, slot, first, doc_id, lang, source, epoch, tokens, text): the pieces of the block in each slot; ``first`` is a piece's first token within it.
 
     ``weights`` gives sources their shares of blocks (sources it doesn't name get none); without it a share is
     proportional to the source's blocks to the ``power``. ``slots`` is how many blocks are drawn, by default as many as
     there are. A source drawn beyond its blocks starts another epoch, so its blocks repeat.
 
     Null, empty and blank texts have no tokens and are left out; a null source is the source ''; null ids are ordinary
-    (first in order), repeated rows are packed each. Other columns are ignored whatever their names; an empty table
-    gives an empty result.
+    (first in order), repeated rows are packed each; ids may be of any type. Other columns are ignored whatever their
+    names; an empty table gives an empty result. One row a source (at most ``MOST_SOURCES``) comes to the driver.
     """
     columns = dict(doc=doc_id, text=text, source=source) | ({"lang": lang} if lang else {})
-    rows = only(docs, **columns).filter("text IS NOT NULL").withColumn("doc", F.col("doc").cast("long")).withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    if not lang:
-        rows = rows.withColumn("lang", F.lit(None).cast("string"))
-    # The number of buckets follows the documents of each source; one row a source comes to the driver.
-    counted = rows.groupBy("source").count().limit(MOST_SOURCES + 1).collect()
+    rows = only(docs, **columns).filter("text IS NOT NULL").withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit("")))
+    kind = type_of(rows, "doc")
+    empty = lambda: spark.createDataFrame([], _pieces_schema(kind))
+    rows = rows.withColumn("lang", F.col("lang").cast("string") if lang else F.lit(None).cast("string"))
+    counted = rows.groupBy("source").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).limit(MOST_SOURCES + 1).collect()
     if len(counted) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     if not counted:
-        return spark.createDataFrame([], PIECES)
-    buckets = spark.createDataFrame([(r["source"], -(-r["count"] // BUCKET_DOCS)) for r in counted], "source string, buckets long")
-    placed = rows.join(F.broadcast(buckets), "source").withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc", F.lit(0))), "buckets")).drop("buckets")
+        return empty()
+    buckets = spark.createDataFrame([(r["source"], max(1, -(-r["bytes"] // BUCKET_BYTES))) for r in counted], "source string, buckets long")
+    placed = rows.join(F.broadcast(buckets), "source").withColumn("bucket", F.pmod(F.xxhash64("doc", "text"), "buckets")).drop("buckets")
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
         found = [np.diff(token_starts(*raw(part))[1]) for _, part in slices(texts)]
         return pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
 
-    sizes = settle(placed.groupBy("source", "bucket").agg(F.sum(count(F.col("text"))).alias("tokens")).filter("tokens > 0").withColumn("blocks", F.ceil(F.col("tokens") / block)), "sizes")
-    totals = {r["source"]: r["blocks"] for r in sizes.groupBy("source").agg(F.sum("blocks").alias("blocks")).collect()}
+    # One row a bucket; the running sums over a source's buckets are over one row for every BUCKET_BYTES of it.
+    sizes = placed.groupBy("source", "bucket").agg(F.sum(count(F.col("text"))).alias("tokens")).filter("tokens > 0")
+    before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = settle(sizes.withColumn("before", before), "sizes")
+    totals = {r["source"]: -(-r["tokens"] // block) for r in sizes.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     names = sorted(totals)
     share = np.array([float(weights.get(n, 0.0)) if weights is not None else totals[n] ** power for n in names])
     slots = sum(totals.values()) if slots is None else slots
     if not names or share.sum() <= 0 or slots <= 0:
-        return spark.createDataFrame([], PIECES)
+        return empty()
+    share = share / share.sum()
     shards = -(-slots // slots_a_shard)
-    drawn = arrow(spark.range(shards), _draw(seed, share / share.sum(), slots, shards), "shard long, slot long, s long, j long")
+    drawn = arrow(spark.range(shards), _draw(seed, share, slots, shards), "shard long, slot long, s long, j long")
     taken = drawn.groupBy("shard", "s").agg(F.count("*").alias("n"))
-    before = taken.withColumn("before", F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "s", F.coalesce("before", F.lit(0)).alias("before"))
+    earlier = taken.withColumn("before", F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "s", F.coalesce("before", F.lit(0)).alias("before"))
     # Sizes of generated rows are guessed too low, so the joins are told not to broadcast them.
-    numbered = drawn.join(before.hint("merge"), ["shard", "s"]).select("shard", "slot", "s", (F.col("before") + F.col("j")).alias("q"))
+    numbered = drawn.join(earlier.hint("merge"), ["shard", "s"]).select("shard", "slot", "s", (F.col("before") + F.col("j")).alias("q"))
     chosen = arrow(numbered, _choose(seed, names, [totals[n] for n in names]), "shard long, slot long, source string, epoch long, number long")
-    first = F.coalesce(F.sum("blocks").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = sizes.withColumn("first", first).select("source", "bucket", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("local")).select("source", "bucket", "local", (F.col("first") + F.col("local")).alias("number"))
-    wanted = chosen.join(blocks.hint("merge"), ["source", "number"]).select("source", "bucket", "local", "shard", "slot", "epoch")
-    schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("piece", pa.int32()), ("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("epoch", pa.int64()), ("tokens", pa.int32()), ("text", pa.string())])
-    texts = placed.select("source", "bucket", "doc", F.xxhash64("text").alias("tie"), "lang", "text")
-    return texts.groupBy("source", "bucket").cogroup(wanted.groupBy("source", "bucket")).applyInArrow(_assemble(block, schema), PIECES)
+    # The blocks of a bucket, those that it shares with its neighbours included.
+    first, last = F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("tokens") - 1) / block)
+    blocks = sizes.select("source", "bucket", "before", F.explode(F.sequence(first, last)).alias("number"))
+    readers = spark.createDataFrame([(n, max(1, int(-(-share[k] * slots // (totals[n] * EPOCHS))))) for k, n in enumerate(names)], "source string, readers long")
+    wanted = chosen.join(blocks.hint("merge"), ["source", "number"]).join(F.broadcast(readers), "source").withColumn("reader", F.pmod("epoch", "readers"))
+    wanted = wanted.select("source", "bucket", "reader", "before", "number", "shard", "slot", "epoch")
+    schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("first", pa.int32()), ("doc_id", to_arrow_type(rows.schema["doc"].dataType)), ("lang", pa.string()), ("source", pa.string()), ("epoch", pa.int64()), ("tokens", pa.int32()), ("text", pa.string())])
+    texts = placed.join(F.broadcast(readers), "source").select("source", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("readers") - 1)).alias("reader"), "doc", F.xxhash64("text").alias("tie"), F.octet_length("text").alias("size"), "lang", "text")
+    keys = ["source", "bucket", "reader"]
+    return texts.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(_assemble(block, schema), _pieces_schema(kind))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """As ``mix_sources``, in the columns of documents: a row for each piece, with its document's id."""
+    """As ``mix_sources``, in the columns of documents: a row for each piece, with its document's id, in whatever order.
+
+    Nulls, empty texts, ties, repeated rows, empty tables and other columns are treated as there; columns beyond those
+    of documents are not passed on, since a piece is no longer the document that they describe.
+    """
     return mix_sources(spark, docs, **options).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
