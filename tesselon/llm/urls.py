@@ -33,7 +33,8 @@ def canonical_sql(url: str) -> str:
 def filter_urls(spark: SparkSession, pages: DataFrame, listed: DataFrame, page_id: str = "page_id", url: str = "url", listed_url: str = "url", most_bytes: int = bloom.MOST_BYTES) -> DataFrame:
     """(page_id, canonical_url, listed) for every page: whether its canonical URL is on the list.
 
-    The list is canonicalised and made distinct; its filter has 16 bits a URL. Pages that the filter passes are joined
+    The list is canonicalised and made distinct; its filter has 16 bits a URL, or fewer where that would be more than
+    ``most_bytes``. Ids are passed on as they are. Pages that the filter passes are joined
     exactly, so false positives end as not listed; the others never leave their partition. A null URL is not listed, and
     a null in the list matches nothing. Repeated pages stay repeated, repeated list entries count once. Other columns
     are ignored whatever their names; with an empty list no page is listed.
