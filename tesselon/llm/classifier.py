@@ -18,10 +18,11 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, only
+from .common import arrow, only, share, type_of
 from .textkit import U, Words, distinct, slices
 
 PASSAGE = 64
@@ -195,15 +196,18 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     rows = only(docs, doc="doc_id", text="text").filter("text IS NOT NULL").join(F.broadcast(chosen.select("doc", "q", "t")), "doc")
 
     def run(batches):
-        table = pa.Table.from_batches([b for b in batches if b.num_rows] or [], schema=pa.schema([("doc", pa.int64()), ("text", pa.string()), ("q", pa.int32()), ("t", pa.int32())]))
-        order = np.lexsort((np.array([len(x or "") for x in table["text"].to_pylist()], np.int64), table["doc"].to_numpy()))
-        table = table.take(pa.array(order))
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        table = table.take(pc.sort_indices(table, [("place", "ascending"), ("more", "ascending")]))
         y = np.stack([table["q"].to_numpy(), table["t"].to_numpy()], axis=1).astype(np.float32)
         model = fit(table["text"].combine_chunks(), y, seed=seed)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # The sample alone is brought together: the scan and the join stay spread out.
-    found = arrow(rows.select(F.col("doc").cast("long").alias("doc"), "text", "q", "t").repartition(1), run, "model binary").first()
+    # Its order is by hashes of id and text, so that no tie is left to the order of arrival (rows alike in both are alike).
+    found = arrow(rows.select(F.xxhash64("doc", F.lit(seed)).alias("place"), F.xxhash64("text").alias("more"), "text", "q", "t").repartition(1), run, "model binary").first()
     return pickle.loads(found["model"]) if found else fit(pa.array([], pa.string()), np.zeros((0, 2), np.float32), seed=seed)
 
 
@@ -214,34 +218,37 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: in
     words is scored on the biases alone; with no labelled rows all scores are 0.5 and all texts stay. Null ids and
     repeated rows are scored like any other, equal texts alike. Other columns are ignored whatever their names.
     """
-    shared = spark.sparkContext.broadcast(pickle.dumps(train(spark, docs, labels, sample, seed)))
+    shared = share(spark, train(spark, docs, labels, sample, seed))
+    kind = type_of(docs, "doc_id")
 
     def run(batches):
-        model = pickle.loads(shared.value)
+        model = shared()
         for batch in batches:
             for at, texts in slices(batch.column(1), 1 << 20):
                 p, passages = score(model, texts)
                 p = np.round(p.astype(np.float64), 6)
-                null = pa.compute.is_null(texts)
-                q, t = (pa.compute.if_else(null, pa.scalar(None, pa.float64()), pa.array(p[:, k])) for k in (0, 1))
-                keep = pa.compute.and_(pa.compute.invert(null), pa.array((p[:, 0] >= quality) & (p[:, 1] <= toxic)))
+                null = pc.is_null(texts)
+                q, t = (pc.if_else(null, pa.scalar(None, pa.float64()), pa.array(p[:, k])) for k in (0, 1))
+                keep = pc.and_(pc.invert(null), pa.array((p[:, 0] >= quality) & (p[:, 1] <= toxic)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), q, t, pa.array(passages.astype(np.int32)), keep], ["doc_id", "quality", "toxic", "passages", "keep"])
 
-    rows = only(docs, doc="doc_id", text="text").select(F.col("doc").cast("long").alias("doc"), "text")
-    return arrow(rows, run, "doc_id long, quality double, toxic double, passages int, keep boolean")
+    return arrow(only(docs, doc="doc_id", text="text"), run, f"doc_id {kind}, quality double, toxic double, passages int, keep boolean")
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = 1500, seed: int = 7) -> DataFrame:
-    """The rows of the input whose document stays, with all its columns; decided row by row, with nothing shuffled."""
-    shared = spark.sparkContext.broadcast(pickle.dumps(train(spark, docs, labels, sample, seed)))
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = 1500, quality: float = 0.5, toxic: float = 0.5, seed: int = 7) -> DataFrame:
+    """The rows of the input that ``classify`` keeps with the same parameters, with all their columns whatever their names.
+
+    Decided row by row, with nothing shuffled: repeated rows and equal texts alike, null ids as any other. A null text
+    goes; an empty one is judged on the biases alone; an empty table stays empty; without labelled rows all texts stay.
+    """
+    shared = share(spark, train(spark, docs, labels, sample, seed))
 
     @F.arrow_udf("boolean")
     def stays(texts: pa.Array) -> pa.Array:
-        model = pickle.loads(shared.value)
         kept = []
         for _, part in slices(texts, 1 << 20):
-            p = np.round(score(model, part)[0].astype(np.float64), 6)
-            kept.append((p[:, 0] >= 0.5) & (p[:, 1] <= 0.5))
+            p = np.round(score(shared(), part)[0].astype(np.float64), 6)
+            kept.append((p[:, 0] >= quality) & (p[:, 1] <= toxic))
         return pa.array(np.concatenate(kept) if kept else np.zeros(0, bool))
 
     return docs.filter(F.col("text").isNotNull() & stays(F.col("text")))

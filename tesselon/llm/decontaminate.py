@@ -11,19 +11,21 @@
    closing fifth of an item counts as its answer. Items of ``SHORT`` words or fewer are too small a part of a window for
    a cosine to tell; their words are looked up one by one, and checked wherever enough of them are close together.
 
-No text is shuffled. The term table (16 MB) and the benchmark, whose size is checked, are broadcast.
+No text is shuffled. Broadcast are the term table (16 MB) and the benchmark, ``MOST_BYTES`` of its text at a time: a longer
+benchmark is cut by hash into parts, each with a pass of its own, and no item is left out.
 """
 
 from __future__ import annotations
 
-import pickle
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow, blobs, only, summed
+from .common import arrow, blobs, only, share, summed, type_of
 from .textkit import U, Words, distinct, mix, runs, slices, spread
 
 TERMS = 1 << 15
@@ -32,7 +34,7 @@ PASSAGE = 32
 STRIDE = 8
 SCALES = (2, 4, 8)
 SHORT = 12
-MOST_ITEMS = 1_000_000
+MOST_BYTES = 8 << 20  # of benchmark text in one pass over the documents
 
 
 def terms(words: Words) -> np.ndarray:
@@ -60,7 +62,7 @@ def _passages(words: Words) -> tuple[np.ndarray, np.ndarray]:
 def _sketch(batches):
     """Document frequencies, number of passages and terms x SKETCH sums of signs of this partition's passages."""
     df, passages = np.zeros(TERMS, np.int64), 0
-    signed = np.zeros(TERMS * SKETCH, np.int32)
+    signed = np.zeros(TERMS * SKETCH, np.int64)
     held: tuple[list, list] = ([], [])
 
     def add(least: int) -> None:
@@ -89,12 +91,12 @@ def _sketch(batches):
             add(4_000_000)
     add(0)
     if passages:
-        yield blobs(np.concatenate([signed, df, [passages]]).astype(np.int32))
+        yield blobs(np.concatenate([signed, df, [passages]]).astype(np.int64))
 
 
-def _gram(table: bytes):
+def _gram(table):
     def run(batches):
-        basis = pickle.loads(table.value)
+        basis = table()
         total = np.zeros((SKETCH, SKETCH))
         for batch in batches:
             for _, texts in slices(batch.column(0), 2 << 20):
@@ -110,15 +112,14 @@ def _gram(table: bytes):
 
 def latent_space(spark: SparkSession, texts: DataFrame) -> np.ndarray:
     """(TERMS + 1, dimensions) float32: each term's inverse document frequency times its whitened singular directions, and zeros."""
-    sums = summed(arrow(texts, _sketch, "part int, blob binary"), TERMS * SKETCH + TERMS + 1, np.int32)
+    sums = summed(arrow(texts, _sketch, "part int, blob binary"), TERMS * SKETCH + TERMS + 1, np.int64)
     df, passages = sums[TERMS * SKETCH : -1].astype(np.float64), int(sums[-1])
     if passages == 0:
         return np.zeros((TERMS + 1, 1), np.float32)
     idf = np.log((passages + 1) / (df + 1)) * (df > 0)
     basis = np.linalg.qr(sums[: TERMS * SKETCH].reshape(TERMS, SKETCH) * idf[:, None])[0]
     weighted = np.vstack([basis * idf[:, None], np.zeros((1, SKETCH))]).astype(np.float32)
-    shared = spark.sparkContext.broadcast(pickle.dumps(weighted))
-    gram = summed(arrow(texts, _gram(shared), "part int, blob binary"), SKETCH * SKETCH, np.float64).reshape(SKETCH, SKETCH) / passages
+    gram = summed(arrow(texts, _gram(share(spark, weighted)), "part int, blob binary"), SKETCH * SKETCH, np.float64).reshape(SKETCH, SKETCH) / passages
     values, vectors = np.linalg.eigh(gram)
     keep = values > 1e-6 * max(values[-1], 1e-12)
     return (weighted @ (vectors[:, keep] / np.sqrt(values[keep]))).astype(np.float32)
@@ -159,6 +160,7 @@ class Benchmark:
         self.short_words, self.short_items = np.array([w for w, _ in looked_up], U), np.array([k for _, k in looked_up], np.int64)
         self.sizes = np.array([n for _, n, *_ in self.items], np.int64)
         self.vocabulary = distinct(words.hash)
+        self.queries = {m: (np.array(items, np.int64), np.array(vectors, np.float32).reshape(len(items), -1)) for m, (items, vectors) in self.queries.items()}
         self.bits = [self._bits(masks, n) if n > SHORT else None for _, n, masks, *_ in self.items]
 
     def _bits(self, masks: dict[int, int], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,14 +257,14 @@ def leaks(bench: Benchmark, texts: pa.Array, cosine: float, lcs: float, verbatim
             sums[:-reach] += sums[reach:]
             reach *= 2
         items, vectors = bench.queries[m]
-        if not items:
+        if not len(items):
             continue
         step = max(1, m // 4)  # a window starts at every quarter of its length, or every STRIDE words
         tried = np.flatnonzero(index % step == 0)
         window = sums[here[tried]]
         length = np.sqrt(np.einsum("ij,ij->i", window, window))
         for k in range(0, len(items), 256):
-            close = window @ np.array(vectors[k : k + 256]).T
+            close = window @ vectors[k : k + 256].T
             q, w = np.nonzero(close.T >= cosine * np.maximum(length, 1e-9))
             bounds = runs(q)
             passed = [np.zeros(0, np.int64)]
@@ -285,15 +287,18 @@ def leaks(bench: Benchmark, texts: pa.Array, cosine: float, lcs: float, verbatim
     return [(i, item, c, s, r) for (i, item), (s, r, c) in sorted(best.items())]
 
 
-def prepare(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str = "answer"):
-    """Broadcast benchmark in the corpus's latent space. Items without an id or text are left out."""
+def prepare(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str = "answer") -> list:
+    """The benchmark in the corpus's latent space, broadcast in parts. Items without an id or text are left out."""
     columns = dict(item=item_id, text=item_text) | ({"answer": answer} if answer in benchmark.columns else {})
     items = only(benchmark, **columns).filter("item IS NOT NULL AND text IS NOT NULL").distinct()
-    if (n := items.count()) > MOST_ITEMS:
-        raise ValueError(f"{n} benchmark items; split the benchmark into parts of {MOST_ITEMS}")
-    rows = sorted(items.collect(), key=lambda r: (r["item"], r["text"]))
+    size = items.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    parts = max(1, -(-size // MOST_BYTES))
     space = latent_space(spark, only(docs, text=text).filter("text IS NOT NULL"))
-    return spark.sparkContext.broadcast(pickle.dumps(Benchmark([r["item"] for r in rows], [r["text"] for r in rows], [r["answer"] if "answer" in r else None for r in rows], space)))
+    out = []
+    for k in range(parts):
+        rows = sorted(items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).collect(), key=lambda r: (r["item"], r["text"]))
+        out.append(share(spark, Benchmark([r["item"] for r in rows], [r["text"] for r in rows], [r["answer"] if "answer" in r else None for r in rows], space)))
+    return out
 
 
 def find_leaks(
@@ -304,34 +309,44 @@ def find_leaks(
 
     An item leaks where a window's cosine with it reaches ``cosine`` and either ``verbatim`` of its words stand around
     it in order, or ``lcs`` of them with ``answer`` of its answer; a short item, where they do within twice its length,
-    whatever the cosine. Null and wordless texts and items match nothing; a
-    null id is reported as null; repeated rows are reported each; of repeated items every id is. Other columns are
+    whatever the cosine. Null and wordless texts and items match nothing; a null id is reported as null; repeated rows
+    are reported each; of repeated items every id is. Ids of documents and items may be of any type. Other columns are
     ignored whatever their names; empty tables give an empty result.
     """
-    shared = prepare(spark, docs, benchmark, text)
+    rows = only(docs, doc=doc_id, text=text).filter("text IS NOT NULL")
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
 
-    def run(batches):
-        bench = pickle.loads(shared.value)
-        for batch in batches:
-            for at, part in slices(batch.column(1), 1 << 20):
-                found = leaks(bench, part, cosine, lcs, verbatim, answer)
-                if found:
-                    rows, items, *scores = zip(*found)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(rows) + at)), pa.array(items, pa.int64()), *(pa.array(np.round(s, 4)) for s in scores)], ["doc_id", "item_id", "cosine", "lcs", "answer"])
+    def search(shared):
+        def run(batches):
+            for batch in batches:
+                for at, part in slices(batch.column(1), 1 << 20):
+                    found = leaks(shared(), part, cosine, lcs, verbatim, answer)
+                    if found:
+                        rows, items, *scores = zip(*found)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(rows) + at)), pa.array(items, item_type), *(pa.array(np.round(s, 4)) for s in scores)], ["doc_id", "item_id", "cosine", "lcs", "answer"])
+
+        return arrow(rows, run, f"doc_id {type_of(rows, 'doc')}, item_id {type_of(benchmark, 'item_id')}, cosine double, lcs double, answer double")
 
-    rows = only(docs, doc=doc_id, text=text).filter("text IS NOT NULL").select(F.col("doc").cast("long").alias("doc"), "text")
-    return arrow(rows, run, "doc_id long, item_id long, cosine double, lcs double, answer double")
+    return reduce(DataFrame.union, map(search, prepare(spark, docs, benchmark, text)))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, lcs: float = 0.55, verbatim: float = 0.75, answer: float = 0.6) -> DataFrame:
-    """The rows of the input that hold no benchmark item, with all its columns; a null text holds none."""
-    shared = prepare(spark, docs, benchmark)
+    """The rows of the input in which ``find_leaks`` finds no benchmark item, with all their columns whatever their names.
+
+    A null, empty or wordless text holds no item and stays; repeated rows stay or go together; ids are not looked at;
+    an empty table stays empty, and with an empty benchmark every row stays. Nothing is shuffled.
+    """
+
+    def cleaner(shared):
+        @F.arrow_udf("boolean")
+        def clean(texts: pa.Array) -> pa.Array:
+            out = np.ones(len(texts), bool)
+            for at, part in slices(texts, 1 << 20):
+                out[[at + x[0] for x in leaks(shared(), part, cosine, lcs, verbatim, answer)]] = False
+            return pa.array(out)
 
-    @F.arrow_udf("boolean")
-    def clean(texts: pa.Array) -> pa.Array:
-        bench, out = pickle.loads(shared.value), np.ones(len(texts), bool)
-        for at, part in slices(texts, 1 << 20):
-            out[[at + x[0] for x in leaks(bench, part, cosine, lcs, verbatim, answer)]] = False
-        return pa.array(out)
+        return clean
 
-    return docs.filter(clean(F.col("text")))
+    for shared in prepare(spark, docs, benchmark):
+        docs = docs.filter(cleaner(shared)(F.col("text")))
+    return docs
