@@ -1,21 +1,29 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-All pairs of documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``; exact, with no cap
+All links of documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``; exact, with no cap
 on partners or candidates.
 
 Any two sets with Jaccard >= t share at least ceil(t * larger size) n-grams. With every set in one global order (rarest
 first), the first ``size - ceil(t * size) + m`` n-grams of both then share at least m, for m up to ceil(t * size): the m-match prefix.
 Each document chooses its own m by estimated cost, and a pair is verified once it shares min(m, m') prefix n-grams.
 
-1. n-grams are hashed, packed into arrays by hash range and exchanged once; document frequencies are counted there. What
+1. Documents of the same words in the same order are copies: they are found by a 128-bit fingerprint with partial minima
+   and stand behind their least one from here on, so that a text that fills a third of the corpus is one set.
+2. A sixteenth of the documents, by hash, tells which n-grams are so frequent that no task should hold all their
+   documents. These come last in the global order, by a table of bounded size that all tasks have; so they need no counting.
+3. The other n-grams are packed into arrays by hash range and exchanged once; document frequencies are counted there. What
    occurs in one document only goes no further: it comes first in the order, matches nothing, and is known to each
-   document as the difference between its size and what returns. Most documents end here, since such n-grams fill their
-   prefix. Equal sets are recognised by a 128-bit fingerprint of the set and joined once, through their least document.
-2. Per document: order, cost, m, prefix. The cost of m is the sum of the other entries in the prefix's lists plus, for
+   document as the difference between its size and what returns. Most documents end here, since such n-grams fill their prefix.
+4. Per document: order, cost, m, prefix. The cost of m is the sum of the other entries in the prefix's lists plus, for
    each document expected among them m times or more (that sum / m at most), the n-grams that verification reads.
-3. Lists of prefix n-grams are gathered by their least document, so that a group of near copies becomes one incidence
-   matrix; its product with itself, in blocks, counts the shared prefix n-grams of all its pairs.
-4. Candidates are verified in clusters on whole sets: a document's set is sent once per pair of clusters, not per pair.
+5. Lists of prefix n-grams are gathered by their least document, so that a group of near copies becomes one incidence
+   matrix; its product with itself, in blocks, counts the shared prefix n-grams of all its pairs. A list of more than
+   ``LIST`` documents is cut by their hashes into cells, and every two cells are a matrix, and so a unit of work, of their
+   own; frequent n-grams are cut so before they are gathered at all.
+6. Candidates are verified in clusters on whole sets: a document's set is sent once per pair of clusters, not per pair.
+   A partition is sorted by cluster and read as a stream, one cluster at a time.
+
+Partitions follow the bytes of the texts (``PART_BYTES`` each), not the session's setting alone.
 """
 
 from __future__ import annotations
@@ -28,13 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, partitions, settle, unique_docs
+from . import bloom
+from .common import arrow, only, parts_for, release, row_keys, settle, share, type_of
 from .textkit import U, Words, binary, by_part, mix, runs, slices, spread
 
 MOST_MATCHES = 8
 FLUSH = 2_000_000
 BLOCK = 1024
 CLUSTER = 512
+LIST = 4096
+PART_BYTES = 64 << 20
+SAMPLE = 16  # one document of so many is looked at for frequent n-grams
+FREQUENT = 4096  # so often in the sample is frequent; about 65,000 documents
+MOST_FREQUENT = 1 << 20  # entries of the table (16 MB); any further n-gram is counted and listed like the rest
+SENT = 8 << 20  # n-grams in a batch
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> list[pa.RecordBatch]:
@@ -73,22 +88,89 @@ def _rows(part_count: int, **columns: pa.Array) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([parts.take(keep), *(c.take(keep) for c in columns.values())], ["part", *columns])
 
 
-def _shingles(n: int, parts: int):
-    """Step 1, map side: packed n-grams by hash range; sizes and fingerprints by fingerprint."""
+def _outline(n: int):
+    """Step 1: fingerprint and number of words of each document; step 2: n-grams of the sampled documents."""
 
-    def emit(grams, docs, sizes, first, second):
-        gram = np.concatenate(grams) if grams else np.zeros(0, U)
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at, texts in slices(batch.column(1)):
+                words, key = Words(texts), ids[at : at + len(texts)]
+                place = mix(np.arange(len(words.hash)).astype(U) - np.repeat(words.first[:-1], words.count).astype(U))
+                prints = []
+                for salt in (U(0), U(0x5851F42D4C957F2D)):
+                    total = np.zeros(len(words.hash) + 1, U)
+                    np.cumsum(mix(words.hash * (place | U(1)) + place + salt), out=total[1:])
+                    prints.append((total[words.first[1:]] - total[words.first[:-1]]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(words.count), pa.array(prints[0]), pa.array(prints[1]), pa.array((mix(key.view(U)) >> U(32)).astype(np.int64)), pa.nulls(len(key), pa.int64())], OUTLINE)
+                some = np.flatnonzero(mix(key.view(U)) % U(SAMPLE) == 0)
+                if len(some):
+                    gram, bounds = words.grams(n)
+                    found = np.concatenate([np.unique(gram[bounds[i] : bounds[i + 1]]) for i in some]).view(np.int64)
+                    no = pa.nulls(len(found), pa.int64())
+                    yield pa.RecordBatch.from_arrays([no, no, no, no, no, pa.array(found)], OUTLINE)
+
+    return run
+
+
+OUTLINE = ["key", "words", "fp1", "fp2", "home", "gram"]
+
+
+class Frequent:
+    """The frequent n-grams with their place in the global order (from 2**32 - 1 downwards) and their estimated documents."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        order = np.lexsort((grams, counts))
+        rank = np.empty(len(grams), np.int64)
+        rank[order] = (1 << 32) - len(grams) + np.arange(len(grams))
+        by = np.argsort(grams)
+        self.grams, self.rank, self.counts = grams[by], rank[by].astype(np.uint32), counts[by] * SAMPLE
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether it is frequent, where in the table)."""
+        if not len(self.grams):
+            return np.zeros(len(grams), bool), np.zeros(len(grams), np.int64)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return self.grams[at] == grams, at
+
+    def estimate(self, dfs: np.ndarray) -> np.ndarray:
+        """Documents of n-grams given by frequency or, for frequent ones, by their place in the order."""
+        out = dfs.astype(np.float64)
+        low = (1 << 32) - len(self.grams)
+        often = dfs >= low
+        by_rank = np.empty(len(self.grams), np.int64)
+        by_rank[self.rank.astype(np.int64) - low] = self.counts
+        out[often] = by_rank[dfs[often].astype(np.int64) - low]
+        return out
+
+
+def home(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(keys.view(U)) >> U(32)).astype(np.int64) % parts
+
+
+def _shingles(n: int, parts: int, frequent):
+    """Step 3, map side: packed n-grams by hash range; and, on the way to a document's own part, its size and frequent n-grams."""
+
+    def emit(grams, docs, sizes):
+        gram = np.concatenate(grams)
         doc, size = np.concatenate(docs), np.concatenate(sizes)
-        fp1, fp2 = np.concatenate(first), np.concatenate(second)
-        order, bounds, owners, counts, run_bounds = _squeeze((gram >> U(32)).astype(np.int64) % parts, parts, np.repeat(doc, size))
-        meta, meta_bounds = by_part((fp1 >> U(32)).astype(np.int64) % parts, parts)
+        owner = np.repeat(doc, size)
+        often, at = frequent().find(gram)
+        place = (gram >> U(32)).astype(np.int64) % parts
+        seldom = ~often
+        order, bounds, owners, counts, run_bounds = _squeeze(place[seldom], parts, owner[seldom])
+        own = home(doc, parts)
+        meta, meta_bounds = by_part(own, parts)
+        known = np.flatnonzero(often)
+        k_order, k_bounds, k_owners, k_counts, k_runs = _squeeze(home(owner[known], parts), parts, owner[known])
         yield from _rows(
-            parts, grams=binary(gram[order], bounds), docs=binary(owners, run_bounds), counts=binary(counts, run_bounds),
-            mdocs=binary(doc[meta], meta_bounds), sizes=binary(size[meta].astype(np.uint32), meta_bounds), fp1=binary(fp1[meta], meta_bounds), fp2=binary(fp2[meta], meta_bounds),
+            parts, grams=binary(gram[seldom][order], bounds), docs=binary(owners, run_bounds), counts=binary(counts, run_bounds),
+            mdocs=binary(doc[meta], meta_bounds), sizes=binary(size[meta].astype(np.uint32), meta_bounds),
+            kgrams=binary(gram[known][k_order], k_bounds), kdfs=binary(frequent().rank[at[known]][k_order], k_bounds), kdocs=binary(k_owners, k_runs), kcounts=binary(k_counts, k_runs),
         )
 
     def run(batches):
-        held = ([], [], [], [], [])
+        held = ([], [], [])
         waiting = 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -100,30 +182,32 @@ def _shingles(n: int, parts: int):
                 keep = size > 0
                 if not keep.any():
                     continue
-                gram, size = np.concatenate(sets), size[keep]
-                at_set = np.cumsum(size) - size
-                for into, value in zip(held, (gram, ids[at : at + len(texts)][keep], size, np.add.reduceat(mix(gram), at_set), np.bitwise_xor.reduceat(mix(gram + U(0x5851F42D4C957F2D)), at_set))):
+                for into, value in zip(held, (np.concatenate(sets), ids[at : at + len(texts)][keep], size[keep])):
                     into.append(value)
-                waiting += len(gram)
+                waiting += int(size.sum())
                 if waiting >= FLUSH:
                     yield from emit(*held)
-                    held, waiting = ([], [], [], [], []), 0
+                    held, waiting = ([], [], []), 0
         if held[1]:
             yield from emit(*held)
 
     return run
 
 
-SHINGLES = "part int, grams binary, docs binary, counts binary, mdocs binary, sizes binary, fp1 binary, fp2 binary"
+RELAYED = ["mdocs", "sizes", "kgrams", "kdfs", "kdocs", "kcounts"]
+SHINGLES = "part int, grams binary, docs binary, counts binary, " + ", ".join(f"{c} binary" for c in RELAYED)
 
 
 def _frequencies(parts: int):
-    """Step 1, reduce side: document frequencies; what two documents or more have goes back to its documents."""
+    """Step 3, reduce side: document frequencies; what two documents or more have goes back to its documents."""
 
     def run(batches):
         batches = _whole(batches)
         if not batches:
             return
+        for b in batches:  # what is on its way to its document's part goes on
+            none = pa.nulls(b.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("part"), none, none, none, none, *(b.column(c) for c in RELAYED)], FREQUENCIES_NAMES)
         gram, doc = _join("grams", batches, U), _entries(batches)
         order = np.argsort(gram)
         gram, doc = gram[order], doc[order]
@@ -133,23 +217,17 @@ def _frequencies(parts: int):
         gram, doc, df = gram[often], doc[often], np.repeat(df, df)[often].astype(np.uint32)
         order = np.argsort(doc, kind="stable")
         gram, doc, df = gram[order], doc[order], df[order]
-        order, bounds, owners, counts, run_bounds = _squeeze((mix(doc.view(U)) >> U(32)).astype(np.int64) % parts, parts, doc)
-        mdoc, size, fp1, fp2 = (_join(c, batches, k) for c, k in (("mdocs", np.int64), ("sizes", np.uint32), ("fp1", U), ("fp2", U)))
-        by = np.lexsort((mdoc, size, fp2, fp1))
-        mdoc, size, fp1, fp2 = mdoc[by], size[by], fp1[by], fp2[by]
-        new = np.ones(len(mdoc), bool)
-        new[1:] = (fp1[1:] != fp1[:-1]) | (fp2[1:] != fp2[:-1]) | (size[1:] != size[:-1])
-        rep = mdoc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(mdoc) else mdoc
-        meta, meta_bounds = by_part((mix(mdoc.view(U)) >> U(32)).astype(np.int64) % parts, parts)
-        yield from _rows(
-            parts, grams=binary(gram[order], bounds), dfs=binary(df[order], bounds), docs=binary(owners, run_bounds), counts=binary(counts, run_bounds),
-            mdocs=binary(mdoc[meta], meta_bounds), sizes=binary(size[meta], meta_bounds), reps=binary(rep[meta], meta_bounds),
-        )
+        for k in range(0, len(gram), SENT):
+            g, d, f = gram[k : k + SENT], doc[k : k + SENT], df[k : k + SENT]
+            order, bounds, owners, counts, run_bounds = _squeeze(home(d, parts), parts, d)
+            for b in _rows(parts, grams=binary(g[order], bounds), dfs=binary(f[order], bounds), docs=binary(owners, run_bounds), counts=binary(counts, run_bounds)):
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.nulls(b.num_rows, pa.binary()) for _ in RELAYED)], FREQUENCIES_NAMES)
 
     return run
 
 
-FREQUENCIES = "part int, grams binary, dfs binary, docs binary, counts binary, mdocs binary, sizes binary, reps binary"
+FREQUENCIES_NAMES = ["part", "grams", "dfs", "docs", "counts", *RELAYED]
+FREQUENCIES = "part int, " + ", ".join(f"{c} binary" for c in FREQUENCIES_NAMES[1:])
 
 
 def matches(df: np.ndarray, size: int, singles: int, threshold: float) -> tuple[int, int]:
@@ -164,92 +242,150 @@ def matches(df: np.ndarray, size: int, singles: int, threshold: float) -> tuple[
     return best + 1, int(length[best])
 
 
-def _prefixes(threshold: float, parts: int):
-    """Step 2. kind 0: packed prefix n-grams by hash range; 1: a document's set; 2: a document with an equal set, and the least such one."""
+def _prefixes(threshold: float, parts: int, frequent):
+    """Step 4. kind 0: packed prefix n-grams by hash range (a frequent one by cells); 1: a document's set."""
 
     def run(batches):
         batches = _whole(batches)
         if not batches:
             return
-        mdoc, size, rep = (_join(c, batches, k) for c, k in (("mdocs", np.int64), ("sizes", np.uint32), ("reps", np.int64)))
-        gram, df, doc = _join("grams", batches, U), _join("dfs", batches, np.uint32), _entries(batches)
+        copies = np.concatenate([b.column("copy").drop_null().to_numpy() for b in batches])
+        mdoc, size = _join("mdocs", batches, np.int64), _join("sizes", batches, np.uint32)
+        gram = np.concatenate([_join("grams", batches, U), _join("kgrams", batches, U)])
+        df = np.concatenate([_join("dfs", batches, np.uint32), _join("kdfs", batches, np.uint32)])
+        doc = np.concatenate([_entries(batches), _entries(batches, "kdocs", "kcounts")])
         order = np.lexsort((gram, df, doc))
         gram, df, doc = gram[order], df[order], doc[order]
         by = np.argsort(mdoc)
-        mdoc, size, rep = mdoc[by], size[by].astype(np.int64), rep[by]
+        mdoc, size = mdoc[by], size[by].astype(np.int64)
         start, end = np.searchsorted(doc, mdoc, "left"), np.searchsorted(doc, mdoc, "right")
         single = size - (end - start)
         free = size - np.ceil(threshold * size - 1e-9).astype(np.int64)
+        documents = frequent().estimate(df)
         chosen, m_of, length = [], [], []
-        for i in np.flatnonzero((mdoc == rep) & (single <= free) & (end > start)):
-            m, n = matches(df[start[i] : end[i]], int(size[i]), int(single[i]), threshold)
+        for i in np.flatnonzero(~np.isin(mdoc, copies) & (single <= free) & (end > start)):
+            m, n = matches(documents[start[i] : end[i]], int(size[i]), int(single[i]), threshold)
             if n:
                 chosen.append(i), m_of.append(m), length.append(n)
         chosen, m_of, length = np.array(chosen, np.int64), np.array(m_of, np.uint32), np.array(length, np.int64)
-        names = ["kind", "part", "doc", "other", "size", "grams", "docs", "counts", "sizes", "ms"]
+        names = ["kind", "part", "doc", "size", "grams", "docs", "counts", "sizes", "ms", "cells"]
 
         def table(kind, rows, **columns):
-            kinds = dict(part=pa.int32(), doc=pa.int64(), other=pa.int64(), size=pa.int32(), grams=pa.binary(), docs=pa.binary(), counts=pa.binary(), sizes=pa.binary(), ms=pa.binary())
+            kinds = dict(part=pa.int32(), doc=pa.int64(), size=pa.int32(), grams=pa.binary(), docs=pa.binary(), counts=pa.binary(), sizes=pa.binary(), ms=pa.binary(), cells=pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int32)), *(columns.get(c, pa.nulls(rows, k)) for c, k in kinds.items())], names)
 
-        if len(chosen):
-            at = spread(start[chosen], length)
-            own = np.repeat(np.arange(len(chosen)), length)
-            order, bounds, owners, counts, run_bounds = _squeeze((gram[at] >> U(32)).astype(np.int64) % parts, parts, own)
-            for b in _rows(parts, grams=binary(gram[at][order], bounds), docs=binary(mdoc[chosen][owners], run_bounds), counts=binary(counts, run_bounds), sizes=binary(size[chosen][owners].astype(np.uint32), run_bounds), ms=binary(m_of[owners], run_bounds)):
-                yield table(0, b.num_rows, **{c: b.column(c) for c in b.schema.names})
-            for k in range(0, len(chosen), 1000):
-                i = chosen[k : k + 1000]
+        low = (1 << 32) - len(frequent().grams)
+        total = np.cumsum(end - start)[chosen] if len(chosen) else chosen
+        at_chosen = 0
+        while at_chosen < len(chosen):
+            k = slice(at_chosen, max(at_chosen + 1, int(np.searchsorted(total, total[at_chosen] + SENT // 8))))
+            at_chosen = k.stop
+            c = chosen[k]
+            at = spread(start[c], length[k])
+            own = np.repeat(np.arange(len(c)), length[k])
+            # Cells of a frequent n-gram: every two of them that hold the document, numbered in a square of 2**bits a side.
+            cell, often = np.zeros(len(at), np.int64), df[at] >= low
+            if often.any():
+                bits = np.ceil(np.log2(np.maximum(documents[at[often]] / LIST, 1))).astype(np.int64)
+                seat = seats(mdoc[c][own[often]], bits)
+                times = 1 << bits
+                other = spread(np.zeros(len(bits), np.int64), times)
+                seat, bits = np.repeat(seat, times), np.repeat(bits, times)
+                cells = _cell(bits, np.minimum(seat, other), np.maximum(seat, other))
+                at = np.concatenate([at[~often], np.repeat(at[often], times)])
+                own = np.concatenate([own[~often], np.repeat(own[often], times)])
+                cell = np.concatenate([cell[~often], cells])
+            place = ((gram[at] ^ mix(cell.view(U)) * (cell > 0).astype(U)) >> U(32)).astype(np.int64) % parts
+            order, bounds = by_part(place, parts)
+            at, own = at[order], own[order]
+            for b in _rows(parts, grams=binary(gram[at], bounds), docs=binary(mdoc[c][own], bounds), sizes=binary(size[c][own].astype(np.uint32), bounds), ms=binary(m_of[k][own], bounds), cells=binary(cell[order], bounds)):
+                yield table(0, b.num_rows, **{x: b.column(x) for x in b.schema.names})
+            for x in range(0, len(c), 1000):
+                i = c[x : x + 1000]
                 n = end[i] - start[i]
                 sets = gram[spread(start[i], n)]
-                bounds = np.concatenate([[0], np.cumsum(n)])
-                yield table(1, len(i), doc=pa.array(mdoc[i]), size=pa.array(size[i].astype(np.int32)), grams=binary(sets, bounds))
-        copies = np.flatnonzero(mdoc != rep)
-        if len(copies):
-            yield table(2, len(copies), doc=pa.array(mdoc[copies]), other=pa.array(rep[copies]), size=pa.array(size[copies].astype(np.int32)))
+                yield table(1, len(i), doc=pa.array(mdoc[i]), size=pa.array(size[i].astype(np.int32)), grams=binary(sets, np.concatenate([[0], np.cumsum(n)])))
 
     return run
 
 
-PREFIXES = "kind int, part int, doc long, other long, size int, grams binary, docs binary, counts binary, sizes binary, ms binary"
+def _cell(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Number of the cell (i, j) of a square of 2**bits a side; 0 where the list isn't cut."""
+    return np.where(bits > 0, bits << 56 | i << 28 | j, 0)
+
+
+def seats(docs: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
+    """The row of such a square in which a document stands."""
+    return (mix(docs.view(U)) & U((1 << 28) - 1)).astype(np.int64) & ((1 << bits) - 1)
+
+
+PREFIXES = "kind int, part int, doc long, size int, grams binary, docs binary, counts binary, sizes binary, ms binary, cells binary"
 
 
 def _lists(parts: int):
-    """Step 3, first exchange: the documents of each prefix n-gram, sent to their least one."""
+    """Step 5, first exchange: the documents of each prefix n-gram, sent to their least one; long lists by cells."""
 
     def run(batches):
         batches = _whole(batches)
         if not batches:
             return
-        gram, counts = _join("grams", batches, U), _join("counts", batches, np.uint32)
-        doc, size, m = (np.repeat(_join(c, batches, k), counts) for c, k in (("docs", np.int64), ("sizes", np.uint32), ("ms", np.uint32)))
-        order = np.lexsort((doc, gram))
-        gram, doc, size, m = gram[order], doc[order], size[order], m[order]
-        bounds = runs(gram)
-        n = np.diff(bounds)
+        gram, cell = _join("grams", batches, U), _join("cells", batches, np.int64)
+        doc, size, m = (_join(c, batches, k) for c, k in (("docs", np.int64), ("sizes", np.uint32), ("ms", np.uint32)))
+        order = np.lexsort((doc, cell, gram))
+        gram, cell, doc, size, m = gram[order], cell[order], doc[order], size[order], m[order]
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (cell[1:] != cell[:-1])
+        start = np.flatnonzero(new)
+        n = np.diff(np.append(start, len(gram)))
+        keep = n > 1
+        start, n = start[keep], n[keep]
+        # A long list that came uncut is cut here: its documents go to every cell that holds them.
+        long = (n > LIST) & (cell[start] == 0)
+        at = [spread(start[~long], n[~long])]
+        of, code = [np.repeat(np.flatnonzero(~long), n[~long])], [cell[at[0]]]
+        for k in np.flatnonzero(long).tolist():
+            entries = np.arange(start[k], start[k] + n[k])
+            bits = np.full(n[k], math.ceil(math.log2(n[k] / LIST)))
+            own = seats(doc[entries], bits)
+            for other in range(1 << int(bits[0])):
+                at.append(entries), of.append(np.full(n[k], k)), code.append(_cell(bits, np.minimum(own, other), np.maximum(own, other)))
+        at, of, code = np.concatenate(at), np.concatenate(of), np.concatenate(code)
+        order = np.lexsort((at, code, of))
+        at, of, code = at[order], of[order], code[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (of[1:] != of[:-1]) | (code[1:] != code[:-1])
+        start = np.flatnonzero(new)
+        n = np.diff(np.append(start, len(at)))
         keep = n > 1
-        start, n = bounds[:-1][keep], n[keep]
-        leader = doc[start]
-        order, part_bounds = by_part((mix(leader.view(U)) >> U(32)).astype(np.int64) % parts, parts)
-        start, n, leader = start[order], n[order], leader[order]
-        at = spread(start, n)
-        ends = np.concatenate([[0], np.cumsum(n)])
-        yield from _rows(parts, leaders=binary(leader, part_bounds), counts=binary(n.astype(np.uint32), part_bounds), docs=binary(doc[at], ends[part_bounds]), sizes=binary(size[at], ends[part_bounds]), ms=binary(m[at], ends[part_bounds]))
+        start, n = start[keep], n[keep]
+        leader, code = doc[at[start]], code[start]
+        done = 0
+        total = np.cumsum(n)
+        while done < len(start):
+            k = slice(done, max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + SENT))))
+            done = k.stop
+            order, part_bounds = by_part(home(leader[k] ^ mix(code[k].view(U)).view(np.int64), parts), parts)
+            s, c, l, x = start[k][order], n[k][order], leader[k][order], code[k][order]
+            entries = at[spread(s, c)]
+            ends = np.concatenate([[0], np.cumsum(c)])[part_bounds]
+            yield from _rows(parts, leaders=binary(l, part_bounds), cells=binary(x, part_bounds), counts=binary(c.astype(np.uint32), part_bounds), docs=binary(doc[entries], ends), sizes=binary(size[entries], ends), ms=binary(m[entries], ends))
 
     return run
 
 
-LISTS = "part int, leaders binary, counts binary, docs binary, sizes binary, ms binary"
+LISTS = "part int, leaders binary, cells binary, counts binary, docs binary, sizes binary, ms binary"
 
 
-def _products(rows: np.ndarray, columns: np.ndarray, k: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, shared) for i < j of the m columns of a k x m incidence matrix given by its entries, block by block."""
+def _products(rows: np.ndarray, columns: np.ndarray, k: int, m: int, split: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, shared) for i < j of the m columns of a k x m incidence matrix given by its entries, block by block; with i < split <= j, if given."""
     order = np.lexsort((rows, columns))
     rows, columns = rows[order], columns[order]
-    for i0 in range(0, m, BLOCK):
-        for j0 in range(i0, m, BLOCK):
-            ri, rj = (slice(*np.searchsorted(columns, [x, x + BLOCK])) for x in (i0, j0))
-            shared = np.zeros((min(BLOCK, m - i0), min(BLOCK, m - j0)), np.float32)
+    for i0 in range(0, m if split is None else split, BLOCK):
+        i1 = min(i0 + BLOCK, m if split is None else split)
+        for j0 in range(i0 if split is None else split, m, BLOCK):
+            j1 = min(j0 + BLOCK, m)
+            ri, rj = (slice(*np.searchsorted(columns, [x, y])) for x, y in ((i0, i1), (j0, j1)))
+            shared = np.zeros((i1 - i0, j1 - j0), np.float32)
             for k0 in range(0, k, 4096):
                 a, b = (np.zeros((min(4096, k - k0), x), np.float32) for x in shared.shape)
                 for into, at, x0 in ((a, ri, i0), (b, rj, j0)):
@@ -262,7 +398,7 @@ def _products(rows: np.ndarray, columns: np.ndarray, k: int, m: int) -> Iterator
 
 
 def _pairs(threshold: float):
-    """Step 3, second exchange: shared prefix n-grams of all pairs under one least document."""
+    """Step 5, second exchange: shared prefix n-grams of all pairs under one least document, or in one cell of it."""
 
     def out(a, b, shared, need):
         for k in range(0, len(a), 100_000):
@@ -273,10 +409,11 @@ def _pairs(threshold: float):
         batches = _whole(batches)
         if not batches:
             return
-        leader, n = _join("leaders", batches, np.int64), _join("counts", batches, np.uint32).astype(np.int64)
+        leader, cell, n = _join("leaders", batches, np.int64), _join("cells", batches, np.int64), _join("counts", batches, np.uint32).astype(np.int64)
         doc, size, m = (_join(c, batches, k) for c, k in (("docs", np.int64), ("sizes", np.uint32), ("ms", np.uint32)))
         start = np.cumsum(n) - n
-        two = start[n == 2]
+        plain = cell == 0
+        two = start[(n == 2) & plain]
         if len(two):
             fits = np.minimum(size[two], size[two + 1]) >= threshold * np.maximum(size[two], size[two + 1]) - 1e-9
             two = two[fits]
@@ -284,32 +421,54 @@ def _pairs(threshold: float):
             a, b = doc[order], doc[order + 1]
             new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
             yield from out(a[new], b[new], np.diff(np.append(new, len(a))), np.minimum(m[order], m[order + 1])[new])
-        more = np.flatnonzero(n > 2)
-        more = more[np.argsort(leader[more], kind="stable")]
-        bounds = runs(leader[more])
+        more = np.flatnonzero((n > 2) | ~plain)
+        more = more[np.lexsort((cell[more], leader[more]))]
+        new = np.ones(len(more), bool)
+        new[1:] = (leader[more][1:] != leader[more][:-1]) | (cell[more][1:] != cell[more][:-1])
+        bounds = np.append(np.flatnonzero(new), len(more))
         for g in range(len(bounds) - 1):
             lists = more[bounds[g] : bounds[g + 1]]
             at = spread(start[lists], n[lists])
             docs, where, columns = np.unique(doc[at], return_index=True, return_inverse=True)
             sizes, ms = size[at][where].astype(np.float64), m[at][where]
-            for i, j, shared in _products(np.repeat(np.arange(len(lists)), n[lists]), columns, len(lists), len(docs)):
+            code, split = int(cell[lists[0]]), None
+            if code:
+                own = seats(docs, code >> 56)
+                i, j = code >> 28 & (1 << 28) - 1, code & (1 << 28) - 1
+                if i != j:  # pairs across the two rows alone; those within a row have a cell of their own
+                    order = np.argsort(own != i, kind="stable")
+                    split = int((own == i).sum())
+                    docs, sizes, ms = docs[order], sizes[order], ms[order]
+                    columns = np.argsort(order)[columns]
+            for i, j, shared in _products(np.repeat(np.arange(len(lists)), n[lists]), columns, len(lists), len(docs), split):
                 fits = np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9
                 i, j = i[fits], j[fits]
-                yield from out(docs[i], docs[j], shared[fits], np.minimum(ms[i], ms[j]))
+                yield from out(np.minimum(docs[i], docs[j]), np.maximum(docs[i], docs[j]), shared[fits], np.minimum(ms[i], ms[j]))
 
     return run
 
 
 def _verify(threshold: float):
-    """Step 4: exact similarity of the candidates of each key from the sets that came along."""
+    """Step 6: exact similarity of the candidates of each key from the sets that came along. Rows come sorted by key."""
 
     def run(batches):
-        batches = _whole(batches)
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if batch.column("key")[-1] != held[0].column("key")[0]:
+                table = pa.Table.from_batches(held)
+                cut = int(np.searchsorted(table.column("key").to_numpy(), batch.column("key")[-1].as_py()))
+                yield from verified(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield from verified(pa.Table.from_batches(held))
+
+    def verified(table):
         key, a, b = (table.column(c).to_numpy() for c in ("key", "a", "b"))
-        sets = table.column("grams").combine_chunks()
+        sets = table.column("grams")
+        sets = sets.combine_chunks() if sets.num_chunks != 1 else sets.chunk(0)
         is_set = ~sets.is_null().to_numpy(zero_copy_only=False)
         size = table.column("size").fill_null(0).to_numpy()
         order = np.lexsort((b, a, ~is_set, key))
@@ -346,17 +505,27 @@ def _verify(threshold: float):
     return run
 
 
-def similar_sets(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(pairs, copies): (a, b, jaccard) between the least documents of distinct sets; (doc, rep) of documents whose set equals that of a lesser one."""
-    parts = partitions(spark)
-    rows = unique_docs(docs, doc_id, text)
-    shingles = arrow(rows.select("doc", "text"), _shingles(n, parts), SHINGLES).repartitionById(parts, F.col("part"))
-    often = arrow(shingles, _frequencies(parts), FREQUENCIES).repartitionById(parts, F.col("part"))
-    prefixes = settle(arrow(often, _prefixes(threshold, parts), PREFIXES), "prefixes")
-
-    lists = arrow(prefixes.filter("kind = 0").select("part", "grams", "docs", "counts", "sizes", "ms").repartitionById(parts, F.col("part")), _lists(parts), LISTS)
-    counted = arrow(lists.repartitionById(parts, F.col("part")), _pairs(threshold), "a long, b long, shared int, need int")
-    candidates = settle(counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b"), "candidates")
+def similar_sets(spark: SparkSession, rows: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (key, text): (pairs, copies, keys). pairs: (a, b, jaccard) of keys that stand for their copies; copies:
+    (key, rep) of documents of the same words as one of a lesser key; keys: all of them."""
+    size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    parts = parts_for(spark, size, PART_BYTES)
+    outline = settle(arrow(rows, _outline(n), ", ".join(f"{c} long" for c in OUTLINE)), "outline")
+    often = outline.filter("gram IS NOT NULL").groupBy("gram").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "gram").limit(MOST_FREQUENT).toPandas()
+    frequent = share(spark, Frequent(often["gram"].to_numpy(np.int64).view(U), often["count"].to_numpy(np.int64)))
+    prints = outline.filter("key IS NOT NULL")
+    mark = ["fp1", "fp2", "words"]
+    same = prints.filter(F.col("words") >= n).groupBy(*mark).agg(F.min("key").alias("rep"), F.count("*").alias("n")).filter("n > 1")
+    copies = settle(prints.join(same, mark).filter("key <> rep").select("key", "rep", "home"), "copies")
+
+    shingles = arrow(rows, _shingles(n, parts, frequent), SHINGLES).repartitionById(parts, F.col("part"))
+    counted = arrow(shingles, _frequencies(parts), FREQUENCIES).withColumn("copy", F.lit(None).cast("long"))
+    known = copies.select(F.pmod("home", F.lit(parts)).cast("int").alias("part"), *(F.lit(None).cast("binary").alias(c) for c in FREQUENCIES_NAMES[1:]), F.col("key").alias("copy"))
+    prefixes = settle(arrow(counted.union(known).repartitionById(parts, F.col("part")), _prefixes(threshold, parts, frequent), PREFIXES), "prefixes")
+
+    lists = arrow(prefixes.filter("kind = 0").select("part", "grams", "docs", "sizes", "ms", "cells").repartitionById(parts, F.col("part")), _lists(parts), LISTS)
+    shared = arrow(lists.repartitionById(parts, F.col("part")), _pairs(threshold), "a long, b long, shared int, need int")
+    candidates = settle(shared.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b"), "candidates")
 
     homes = candidates.select("a", "b").union(candidates.select(F.col("a"), F.col("a"))).groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("home"))
     sized = homes.groupBy("home").agg(F.ceil(F.count("*") / CLUSTER).alias("blocks"))
@@ -371,39 +540,47 @@ def similar_sets(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: fl
     wanted = keyed.select("key", "a").union(keyed.select("key", F.col("b"))).distinct()
     sent = wanted.join(sets, "a").select("key", "a", F.lit(0).cast("long").alias("b"), "size", "grams")
     both = sent.union(keyed.select("key", "a", "b", F.lit(None).cast("int"), F.lit(None).cast("binary")))
-    pairs = arrow(both.repartition(parts, "key"), _verify(threshold), "a long, b long, jaccard double")
-    copies = prefixes.filter("kind = 2").select("doc", F.col("other").alias("rep"))
-    return pairs, copies
+    pairs = arrow(both.repartition(parts, "key").sortWithinPartitions("key"), _verify(threshold), "a long, b long, jaccard double")
+    return settle(pairs, "pairs"), copies.select("key", "rep"), prints.select("key")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id_a, doc_id_b, jaccard), doc_id_a < doc_id_b: every pair with Jaccard >= threshold.
+    """(doc_id, class_id, links, best) for every document.
 
-    A null id or text and texts of fewer than n words (the empty text too) have no set and join nothing. Rows that
-    repeat an id are read as one (see ``unique_docs``). Ties and equal texts are ordinary pairs with similarity 1. Other
-    columns are ignored whatever their names; an empty table gives an empty result.
+    ``links`` is how many other documents have a Jaccard similarity of at least ``threshold`` with it, copies counted
+    each; ``best`` the greatest such similarity, null without a link; ``class_id`` the least id of those that it is
+    linked to, directly or through others, itself included. So rows grow as the documents do, however large a group is.
+
+    Rows with a null id or text are left out. Texts of fewer than n words (the empty text too) have no set and no links,
+    copies of each other or not. Rows that repeat an id and its text are one document; an id with several texts has a
+    row for each. Ids may be of any type that has an order. Other columns are ignored whatever their names; an empty
+    table gives an empty result.
     """
-    pairs, copies = similar_sets(spark, docs, n, threshold, doc_id, text)
-    pairs, copies = settle(pairs, "pairs"), settle(copies, "copies")
-    members = copies.groupBy("rep").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
-    cls = lambda side: members.select(F.col("rep").alias(side), F.concat(F.array("rep"), "docs").alias(f"{side}s"))
-    across = (
-        pairs.join(cls("a"), "a", "left").join(cls("b"), "b", "left")
-        .select(F.explode(F.coalesce("as", F.array("a"))).alias("x"), F.coalesce("bs", F.array("b")).alias("ys"), "jaccard")
-        .select("x", F.explode("ys").alias("y"), "jaccard")
-    )
-    within = (
-        members.select(F.concat(F.array("rep"), "docs").alias("docs"))
-        .select(F.posexplode("docs").alias("i", "x"), "docs").select("x", F.explode(F.slice("docs", F.col("i") + 2, F.size("docs"))).alias("y"), F.lit(1.0).alias("jaccard"))
+    rows = only(docs, doc=doc_id, text=text).filter("doc IS NOT NULL AND text IS NOT NULL")
+    keyed, names = row_keys(rows, distinct=True)
+    pairs, copies, keys = similar_sets(spark, keyed.select("key", "text"), n, threshold)
+    sizes = copies.groupBy("rep").agg((F.count("*") + 1).alias("n"))
+    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other"), "jaccard").union(pairs.select("b", "a", "jaccard"))
+    linked = both.join(sizes.select(F.col("rep").alias("other"), "n"), "other", "left").groupBy("rep").agg(F.sum(F.coalesce("n", F.lit(1))).alias("links"), F.max("jaccard").alias("best"))
+    roots = groups(spark, pairs.select("a", "b")).select(F.col("doc").alias("rep"), "root")
+    stats = linked.join(sizes, "rep", "full").join(roots, "rep", "left").select(
+        "rep", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).alias("links"), F.when(F.col("n").isNotNull(), F.lit(1.0)).otherwise(F.col("best")).alias("best")
     )
-    return across.union(within).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), F.round("jaccard", 9).alias("jaccard"))
+    stats = settle(stats, "linked")
+    of = keys.join(copies, "key", "left").select("key", F.coalesce("rep", "key").alias("rep"))
+    out = of.join(stats, "rep", "left").select("key", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.round("best", 9).alias("best"))
+    if names is None:
+        kind = type_of(rows, "doc")
+        return out.select(F.col("key").cast(kind).alias("doc_id"), F.col("root").cast(kind).alias("class_id"), "links", "best")
+    roots = names.select(F.col("key").alias("root"), F.col("doc").alias("class_id"))
+    return out.join(names.select("key", F.col("doc").alias("doc_id")), "key").join(roots, "root").select("doc_id", "class_id", "links", "best")
 
 
 def groups(spark: SparkSession, pairs: DataFrame) -> DataFrame:
-    """(doc, root) for each document of the pairs (a, b): the least document of its connected component.
+    """(doc, root) for each document of the pairs (a, b) but the roots: the least document of its connected component.
 
-    Alternating large-star and small-star steps; each is written to the shared folder, and the count of changed edges
-    alone comes to the driver.
+    Alternating large-star and small-star steps; each is written to the shared folder, what it replaces is deleted, and
+    the count of changed edges alone comes to the driver.
     """
     edges = settle(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
@@ -414,26 +591,43 @@ def groups(spark: SparkSession, pairs: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         small = settle(small.filter("u <> v").distinct(), "small")
-        if small.exceptAll(edges).limit(1).count() == 0 and edges.exceptAll(small).limit(1).count() == 0:
-            break
+        done = small.exceptAll(edges).limit(1).count() == 0 and edges.exceptAll(small).limit(1).count() == 0
+        release(large, small if done else edges)
+        if done:
+            return edges.select(F.col("u").alias("doc"), F.col("v").alias("root"))
         edges = small
-    return edges.select(F.col("u").alias("doc"), F.col("v").alias("root"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: float = 0.5) -> DataFrame:
-    """The input without the documents that are joined, directly or through others, to one with a lesser id."""
-    pairs, copies = similar_sets(spark, docs, n, threshold)
-    edges = pairs.select("a", "b").union(copies.select(F.col("rep"), F.col("doc")))
-    gone = groups(spark, edges).select(F.col("doc").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The input without the rows that are joined, directly or through others, to one before them.
+
+    Rows are in the order of their ids; rows that share an id are told apart by their other columns, so that of repeated
+    rows one stays, and a different text under a clashing id is judged by itself. Rows with a null id or text, and texts
+    of fewer than n words, stay. All columns are kept whatever their names; an empty table stays empty. Texts travel
+    only where a filter of the rows to go lets them through.
+    """
+    named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    keyed, names = row_keys(named, "doc_id", "text", into=ROW)
+    pairs, copies, _ = similar_sets(spark, keyed.select(F.col(ROW).alias("key"), "text"), n, threshold)
+    gone = settle(groups(spark, pairs.select("a", "b")).select(F.col("doc").alias(GONE)).union(copies.select("key")), "gone")
+    tested = keyed.withColumn(MAYBE, bloom.may_hold(spark, bloom.build(gone, GONE), F.col(ROW)))
+    stay = tested.filter(~F.col(MAYBE)).union(tested.filter(MAYBE).join(gone, F.col(ROW) == F.col(GONE), "left_anti"))
+    return stay.select(*docs.columns).union(docs.filter("doc_id IS NULL OR text IS NULL"))
+
+
+ROW, GONE, MAYBE = "__row__", "__gone__", "__maybe__"
 
 
 def ngram_jaccard_sql(n: int = 5, threshold: float = 0.5) -> str:
     at = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(n))
     return f"""
-WITH words AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-grams AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest([{at} FOR i IN range(1, len(w) - {n - 2})]) AS g FROM words WHERE len(w) >= {n})),
-sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a AS doc_id_a, b AS doc_id_b, round(shared.n / (x.n + y.n - shared.n)::DOUBLE, 9) AS jaccard
-FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE shared.n / (x.n + y.n - shared.n)::DOUBLE >= {threshold}"""
+WITH RECURSIVE named AS (SELECT *, row_number() OVER (ORDER BY doc_id, text) AS k FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+words AS (SELECT k, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM named),
+grams AS (SELECT DISTINCT k, g FROM (SELECT k, unnest([{at} FOR i IN range(1, len(w) - {n - 2})]) AS g FROM words WHERE len(w) >= {n})),
+sizes AS (SELECT k, count(*) AS n FROM grams GROUP BY k),
+shared AS (SELECT a.k AS a, b.k AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2),
+linked AS (SELECT a, b, shared.n / (x.n + y.n - shared.n)::DOUBLE AS j FROM shared JOIN sizes x ON x.k = a JOIN sizes y ON y.k = b WHERE shared.n / (x.n + y.n - shared.n)::DOUBLE >= {threshold}),
+reach(k, r) AS (SELECT k, k FROM named UNION SELECT reach.k, linked.b FROM reach JOIN linked ON linked.a = reach.r),
+roots AS (SELECT k, min(r) AS root FROM reach GROUP BY k),
+links AS (SELECT a AS k, count(*) AS links, round(max(j), 9) AS best FROM linked GROUP BY 1)
+SELECT n.doc_id, m.doc_id AS class_id, coalesce(links, 0) AS links, best FROM named n JOIN roots USING (k) JOIN named m ON m.k = root LEFT JOIN links ON links.k = n.k"""

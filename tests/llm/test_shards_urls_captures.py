@@ -57,9 +57,9 @@ def test_canonical_urls_agree(spark, duck):
     assert len({c for c, i in got if i in (0, 1, 2)}) == 1
 
 
-@pytest.mark.parametrize("most", [bloom.MOST_BYTES, 0])
+@pytest.mark.parametrize("most", [bloom.MOST_BYTES, 32])
 def test_url_filter_is_exact(spark, most):
-    """With a filter, and with a list too long for one; other columns have the names that are used inside."""
+    """With a filter of full size, and with one of a single block that lets most pass; other columns have the names that are used inside."""
     rng = random.Random(4)
     rows = [*enumerate(URLS), *((20 + k, f"https://h{rng.randrange(50)}.net/{rng.randrange(30)}") for k in range(600)), (0, URLS[0]), (None, URLS[1])]
     pages = spark.createDataFrame([(i, u, "k", True, 1) for i, u in rows], "page_id long, url string, key string, possible boolean, k int")
@@ -76,6 +76,19 @@ def test_bloom_never_misses():
     keys = np.random.default_rng(3).integers(0, 2**64, 5000, dtype=np.uint64)
     held = bloom.BlockedBloom.of(keys[:2500], 2500 * bloom.BITS_A_KEY // 256 + 1)
     assert held.test(keys[:2500]).all() and held.test(keys[2500:]).mean() < 0.02
+    for bits in (1, 2, 5):
+        small = bloom.BlockedBloom.of(keys[:2500], 40, bits)
+        assert small.test(keys[:2500]).all()
+    assert bloom.BlockedBloom.of(keys[:2500], 40, 2).test(keys[2500:]).mean() < 0.5
+
+
+def test_filter_of_bounded_size(spark):
+    keys = spark.range(5000)
+    held = bloom.build(keys, "id", most_bytes=2048)
+    assert held.words.nbytes == 2048 and held.bits == 2
+    both = spark.range(10_000).withColumn("may", bloom.may_hold(spark, held, F.col("id")))
+    assert both.filter("id < 5000 AND may").count() == 5000 and both.filter("id >= 5000 AND may").count() < 3000
+    assert not bloom.build(keys.limit(0), "id").test(np.arange(3, dtype=np.uint64)).any()
 
 
 def test_loser_tree_merges():
@@ -85,8 +98,11 @@ def test_loser_tree_merges():
         assert list(captures.LoserTree([iter(r) for r in runs])) == sorted(sum(runs, []))
 
 
-def test_captures_match_sql_in_order(spark, duck, monkeypatch):
-    monkeypatch.setattr(captures, "RUN", 50)  # many runs
+@pytest.mark.parametrize("most", [captures.RANGE, 15])
+def test_captures_match_sql_in_order(spark, duck, monkeypatch, most):
+    """In many runs, and with ranges so small that each URL lies in several."""
+    monkeypatch.setattr(captures, "RUN", 50)
+    monkeypatch.setattr(captures, "RANGE", most)
     rng = random.Random(7)
     rows = [(None if k % 41 == 0 else k % 190, None if k % 37 == 0 else f"http://h{rng.randrange(6)}.org/{rng.randrange(8)}", None if k % 29 == 0 else f"p{rng.randrange(3)}", None if k % 23 == 0 else f"2024{rng.randrange(9)}", "c") for k in range(400)]
     schema = "page_id long, url string, html string, capture_time string, key string"
@@ -104,3 +120,15 @@ def test_captures_match_sql_in_order(spark, duck, monkeypatch):
     again = captures.capture_histories(spark, spark.createDataFrame([(*r, "c") for r in table], schema))
     assert rows_of(again) == duck(captures.captures_sql("capture_time"), pages=("page_id BIGINT, url VARCHAR, html VARCHAR, capture_time VARCHAR", table))
     assert captures.capture_histories(spark, pages.limit(0)).count() == 0
+
+
+def test_a_hot_url_is_numbered_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(captures, "RANGE", 100)
+    rows = [(f"id{k:04d}", "http://hot.org/x" if k % 3 else f"http://h{k}.org/{'y' * 5000}", f"p{k // 10}", f"{k:05d}", 1) for k in range(1500)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, capture_time string, key int").repartition(7)
+    out = captures.capture_histories(spark, pages)
+    got = out.collect()
+    assert out.rdd.getNumPartitions() >= 15 and [r["url_key"] for r in got] == sorted(r["url_key"] for r in got)
+    hot = [r for r in got if r["url_key"] == "org,hot)/x"]
+    assert [r["page_id"] for r in hot] == [r[0] for r in rows if r[1] == "http://hot.org/x"] and [r["capture"] for r in hot] == list(range(1, 1001))
+    assert [r["revisit"] for r in hot] == [False, *(a["digest"] == b["digest"] for a, b in zip(hot, hot[1:]))]
