@@ -9,7 +9,7 @@ Each document chooses its own m by estimated cost, and a pair is verified once i
 
 1. Documents of the same words in the same order are copies: they are found by a 128-bit fingerprint with partial minima
    and stand behind their least one from here on, so that a text that fills a third of the corpus is one set.
-2. A sixteenth of the documents, by hash, tells which n-grams are so frequent that no task should hold all their
+2. One document of ``SAMPLE``, by hash, tells which n-grams are so frequent that no task should hold all their
    documents. These come last in the global order, by a table of bounded size that all tasks have; so they need no counting.
 3. The other n-grams are packed into arrays by hash range and exchanged once; document frequencies are counted there. What
    occurs in one document only goes no further: it comes first in the order, matches nothing, and is known to each
@@ -41,15 +41,15 @@ from .common import arrow, only, parts_for, release, row_keys, settle, share, ty
 from .textkit import U, Words, binary, by_part, mix, runs, slices, spread
 
 MOST_MATCHES = 8
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 BLOCK = 1024
 CLUSTER = 512
 LIST = 4096
 PART_BYTES = 64 << 20
-SAMPLE = 16  # one document of so many is looked at for frequent n-grams
-FREQUENT = 4096  # so often in the sample is frequent; about 65,000 documents
+SAMPLE = 64  # one document of so many is looked at for frequent n-grams
+FREQUENT = 1024  # so often in the sample is frequent; about 65,000 documents
 MOST_FREQUENT = 1 << 20  # entries of the table (16 MB); any further n-gram is counted and listed like the rest
-SENT = 8 << 20  # n-grams in a batch
+SENT = 4 << 20  # n-grams in a batch
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> list[pa.RecordBatch]:
