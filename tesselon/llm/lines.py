@@ -157,10 +157,11 @@ def later_places(bodies: DataFrame) -> DataFrame:
     found = settle(found.select("key", "at", (F.col("lo") == F.col("hi")).alias("sure")), "found")
     later = (F.col("doc") != F.col("at.doc")) | (F.col("i") != F.col("at.i"))
     again = bodies.select("key", "doc", "i").join(found.filter("sure").select("key", "at"), "key").filter(later).select("doc", "i", "key")
-    # Keys under which bytes differ: there each body is a chunk of its own.
-    mixed = bodies.join(found.filter("NOT sure").select("key"), "key", "left_semi")
-    apart = mixed.join(mixed.groupBy("key", "body").agg(place, F.count("*").alias("n")).filter("n > 1"), ["key", "body"]).filter(later).select("doc", "i", "key")
-    return again.union(apart).groupBy("doc").agg(F.collect_list(F.struct("i", "key")).alias("drops"))
+    if found.filter("NOT sure").limit(1).count():  # keys under which bytes differ: there each body is a chunk of its own
+        mixed = bodies.join(found.filter("NOT sure").select("key"), "key", "left_semi")
+        apart = mixed.join(mixed.groupBy("key", "body").agg(place, F.count("*").alias("n")).filter("n > 1"), ["key", "body"])
+        again = again.union(apart.filter(later).select("doc", "i", "key"))
+    return again.groupBy("doc").agg(F.collect_list(F.struct("i", "key")).alias("drops"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, long_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
