@@ -160,7 +160,7 @@ class Benchmark:
         self.short_words, self.short_items = np.array([w for w, _ in looked_up], U), np.array([k for _, k in looked_up], np.int64)
         self.sizes = np.array([n for _, n, *_ in self.items], np.int64)
         self.vocabulary = distinct(words.hash)
-        self.queries = {m: (np.array(items, np.int64), np.array(vectors, np.float32).reshape(len(items), -1)) for m, (items, vectors) in self.queries.items()}
+        self.queries = {m: (np.array(items, np.int64), np.array(vectors, np.float32).reshape(len(items), space.shape[1])) for m, (items, vectors) in self.queries.items()}
         self.bits = [self._bits(masks, n) if n > SHORT else None for _, n, masks, *_ in self.items]
 
     def _bits(self, masks: dict[int, int], n: int) -> tuple[np.ndarray, np.ndarray]:

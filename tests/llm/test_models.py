@@ -1,6 +1,7 @@
 """Classifier by held-out accuracy, decontamination and licences against brute force, mixing by round trips, the pipeline as a whole."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,40 @@ def test_held_out_accuracy(spark, make):
     assert all(out[i]["passages"] == -(-len(t.split()) // classifier.PASSAGE) for i, t, _ in held if "!" not in t)
 
 
+def test_scores_match_a_plain_version(spark, make, messy):
+    """Features, passages, gated attention and logits of the fitted model, document by document in plain Python."""
+    docs, labels = labelled(150)
+    marks = spark.createDataFrame(labels, LABELS)
+    model = classifier.train(spark, make(docs), marks)
+    table = {int(k): v.astype(float) for k, v in zip(model.keys[:-1], model.table)}
+    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+    def plain(text):
+        own = Words(pa.array([text]), prefixes=classifier.PREFIXES, gaps=8)
+        n, encoded = len(own.hash), []
+        for at in range(0, n, classifier.PASSAGE) or (0,):
+            total = np.zeros(classifier.WIDTH)
+            for w in range(at, min(n, at + classifier.PASSAGE)):
+                kinds = [own.hash[w], *(own.prefix[p][w] for p in classifier.PREFIXES), own.gap[w]] + [classifier.AGAIN] * int(w > 0 and own.hash[w] == own.hash[w - 1])
+                for k in kinds:
+                    total += table.get(int(k), 0)
+            encoded.append(np.tanh(total / np.sqrt(max(1, min(classifier.PASSAGE, n - at))) + model.b))
+        h, out = np.stack(encoded), []
+        for t in (0, 1):
+            e = np.array([(np.tanh(x @ model.v) * sig(x @ model.u)) @ model.w[:, t] for x in h])
+            alpha = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+            out.append(float(sig((alpha[:, None] * h).sum(0) @ model.c[t] + model.d[t])))
+        return out
+
+    rows = [*docs[:40], *((9000 + k, t, s) for k, (_, t, s) in enumerate(messy))]
+    got = {r["doc_id"]: r for r in classifier.classify(spark, make(docs + rows[40:]), marks).collect()}
+    for i, text, _ in rows:
+        if text is not None:
+            assert (got[i]["quality"], got[i]["toxic"]) == pytest.approx(tuple(plain(text)), abs=2e-4)
+    strict = {r["doc_id"] for r in classifier.keep_good(spark, make(docs), marks, quality=0.9, toxic=0.1).collect()}
+    assert strict == {r["doc_id"] for r in classifier.classify(spark, make(docs), marks, quality=0.9, toxic=0.1).collect() if r["keep"]}
+
+
 def test_odd_rows_are_scored(spark, make, messy):
     docs, labels = labelled(120)
     marks = spark.createDataFrame([*labels, (None, 1, 0), (3, None, 1), (4, 1, None), (5, 0, 1), (5, 0, 1), (99_999, 1, 0)], LABELS)
@@ -157,6 +192,56 @@ def test_reworded_and_short_leaks_are_found(spark, make):
     assert len(truth) == 10 and min(recall.values()) >= 0.9, recall
 
 
+def test_space_agrees_with_an_exact_decomposition(spark, make):
+    """The sketched space holds the leading singular vectors of the whole passage matrix, and is whitened over all passages."""
+    rng = random.Random(51)
+    topics = [[f"t{k}w{j}" for j in range(30)] for k in range(12)]
+    docs = [(i, " ".join(rng.choice(topics[i % 12]) for _ in range(160)), "s") for i in range(240)]
+    space = decontaminate.latent_space(spark, make(docs).select("text"))
+    passages = [" ".join(t.split()[k : k + decontaminate.PASSAGE]) for _, t, _ in docs for k in range(0, 160, decontaminate.PASSAGE)]
+    counts = np.zeros((len(passages), decontaminate.TERMS))
+    for k, p in enumerate(passages):
+        np.add.at(counts[k], decontaminate.terms(Words(pa.array([p]))), 1)
+    used = np.flatnonzero(counts.any(0))
+    idf = np.log((len(passages) + 1) / ((counts[:, used] > 0).sum(0) + 1))
+    _, _, v = np.linalg.svd(counts[:, used] * idf, full_matrices=False)
+    basis, _ = np.linalg.qr(space[used] / idf[:, None])
+    held = np.linalg.norm(basis.T @ v[:12].T, axis=0)  # how much of each leading singular vector lies in the sketched space
+    assert held.min() > 0.95
+    own = counts @ space[:-1]
+    assert np.abs(own.T @ own / len(passages) - np.eye(space.shape[1])).max() < 0.05  # of unit variance in every direction
+
+
+def test_moved_clauses_and_parts_of_a_benchmark(spark, make, monkeypatch):
+    """Items of which a clause before the answer stands elsewhere, searched for in a benchmark that takes several passes."""
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 600)
+    rng = random.Random(52)
+    items = [(f"q{k}", words(rng, 40)) for k in range(12)]
+    docs = []
+    for k, (_, text) in enumerate(items):
+        own = text.split()
+        moved = own[8:16] + own[:8] + own[16:]
+        docs.append((k, " ".join([words(rng, 60), *moved, words(rng, 60)]), "s"))
+    docs += [(100 + k, words(rng, 200), "s") for k in range(30)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark, make(docs), bench).collect()}
+    assert found == {(k, f"q{k}") for k in range(12)}
+    assert {r["doc_id"] for r in decontaminate.without_leaks(spark, make(docs), bench).collect()} == {100 + k for k in range(30)}
+
+
+def test_sums_have_64_bits(spark):
+    from tesselon.llm.common import blobs, summed
+
+    def part(batches):
+        for _ in batches:
+            yield blobs(np.array([2_000_000_000, 5], np.int64))
+
+    frame = spark.range(2, numPartitions=2).mapInArrow(part, "part int, blob binary")
+    assert summed(frame, 2, np.int64).tolist() == [4_000_000_000, 10]
+    with pytest.raises(TypeError):
+        summed(frame, 2, np.int32)
+
+
 def test_odd_rows_of_both_sides(spark, make, messy, leaked):
     items, docs, _ = leaked
     rows = [(None, items[0][1] + " tail", "s"), *messy, *docs]
@@ -181,7 +266,7 @@ def test_licences_match_brute_force(spark, make):
         rows.append((i, "\n".join(lines), "s"))
     texts = [t for _, t, _ in rows]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
-    sums = np.concatenate([np.frombuffer(b.as_buffer(), np.int32) for b in next(licences._frequencies([batch])).column(1)])
+    sums = np.concatenate([np.frombuffer(b.as_buffer(), np.int64) for b in next(licences._frequencies([batch])).column(1)])
     df = np.zeros(1 << licences.SLOTS, int)
     for t in texts:
         df[np.unique(licences.slots(Words(pa.array([t]))))] += 1
@@ -196,17 +281,19 @@ def test_licences_match_brute_force(spark, make):
     expected = {}
     templates = [(n, licences.slots(Words(pa.array([t])))) for n, t in licences.TEMPLATES]
     for i, text, _ in rows:
-        at, best = licences.slots(Words(pa.array([text]))), (0.0, None)
-        for name, own in templates:
+        at, each = licences.slots(Words(pa.array([text]))), {}
+        for number, (name, own) in enumerate(templates):
             t = vector(own)
             for k in range(len(at)):
                 if at[k] in own:
                     w = at[k : k + len(own)]
                     u, c = np.unique(w, return_counts=True)
                     cosine = round(float((c * idf[u] * t[u]).sum() / np.sqrt(((c * idf[u]) ** 2).sum()) / np.sqrt((t**2).sum())), 6)
-                    if cosine >= 0.8 and cosine > best[0] + 1e-6:
-                        best = (cosine, name)
-        expected[i] = best
+                    if cosine >= 0.8:
+                        each[number] = max(cosine, each.get(number, 0))
+        near = [n for n in each if each[n] >= max(each.values()) - licences.NEAR - 1e-6]
+        best = max(near, key=lambda n: (len(templates[n][1]), round(each[n], 5), -n), default=None)
+        expected[i] = (0.0, None) if best is None else (each[best], templates[best][0])
     docs = make(rows).withColumn("path", F.concat(F.lit("a/"), F.col("doc_id").cast("string")))
     got = {r["doc_id"]: r for r in licences.scan_licences(spark, docs).collect()}
     for i, (cosine, name) in expected.items():
@@ -214,8 +301,16 @@ def test_licences_match_brute_force(spark, make):
     assert sum(n is not None for _, n in expected.values()) >= 50
 
 
+def test_whole_licence_texts_are_told_apart(spark, make):
+    texts = {n: t for n, t in licences.TEMPLATES if n.startswith("BSD-") and len(t) > 200}
+    reflowed = {n: "Copyright (c) 2019 Somebody\n" + t.replace(": Redistributions", ":\n\n1. Redistributions").replace(". Redistributions in", ".\n2. Redistributions in") for n, t in texts.items()}
+    rows = [(k, t, "s") for k, t in enumerate([*texts.values(), *reflowed.values()])]
+    got = {r["doc_id"]: r["licence"] for r in licences.scan_licences(spark, make(rows).withColumn("path", F.lit("x"))).collect()}
+    assert [got[k] for k in range(4)] == [*texts, *reflowed]
+
+
 def test_nearest_ancestor_gives_the_licence(spark, make):
-    mit, gpl = "Released under the MIT License.", licences.TEMPLATES[5][1]
+    mit, gpl = "Released under the MIT License.", next(t for n, t in licences.TEMPLATES if n == "GPL-3.0")
     files = {"LICENSE": mit, "a/b/COPYING": gpl, "a/b/c/x.txt": "plain words here", "a/y.txt": "other words there", "z.txt": None, "a/b/c/own.py": "# " + mit + "\ncode", "q/LICENSE.md": "no terms at all", "q/w.txt": "", "a/bb/v.txt": "words", "a/b/notes": gpl}
     rows = [(i, t, "s") for i, t in enumerate(files.values())]
     paths = spark.createDataFrame(list(enumerate(files)), "doc_id long, path string")
@@ -246,10 +341,11 @@ def test_blocks_round_trip(spark, make, messy):
     blocks: dict = {}
     for r in got:
         blocks.setdefault((r["shard"], r["slot"]), []).append(r)
+    assert all(sum(p["tokens"] for p in sorted(b, key=lambda p: p["first"])[:k]) == p["first"] for b in blocks.values() for k, p in enumerate(sorted(b, key=lambda p: p["first"])))
     assert len(blocks) == 8000
-    whole = {tuple((p["piece"], p["doc_id"], p["text"]) for p in sorted(b, key=lambda p: p["piece"])) for b in blocks.values()}
+    whole = {tuple((p["first"], p["doc_id"], p["text"]) for p in sorted(b, key=lambda p: p["first"])) for b in blocks.values()}
     sizes = [sum(p["tokens"] for p in b) for b in blocks.values()]
-    assert max(sizes) == 64 and sum(s < 64 for s in sizes) / len(sizes) < 0.01
+    assert max(sizes) == 64 and len({tuple(sorted((p["first"], p["doc_id"] or 0, p["text"]) for p in b)) for b in blocks.values() if sum(p["tokens"] for p in b) < 64}) <= 1
     texts = [t for i, t, s in rows if s == "s0" and t and t.split()]
     assert len(whole) == -(-sum(len(t.split()) for t in texts) // 64)  # all of them, as 8000 draws are several epochs
     assert sum(len(text) for b in whole for _, _, text in b) == sum(map(len, texts))
@@ -259,11 +355,56 @@ def test_blocks_round_trip(spark, make, messy):
             assert text in by_doc[i]
     by_epoch: dict = {}
     for key, b in blocks.items():
-        by_epoch.setdefault(b[0]["epoch"], []).append(tuple((p["doc_id"], p["text"]) for p in sorted(b, key=lambda p: p["piece"])))
+        by_epoch.setdefault(b[0]["epoch"], []).append(tuple((p["doc_id"], p["text"]) for p in sorted(b, key=lambda p: p["first"])))
     for epoch in range(max(by_epoch)):
         assert len(set(by_epoch[epoch])) == len(by_epoch[epoch]) == len(whole)
 
 
+@pytest.mark.parametrize("size", [mixing.BUCKET_BYTES, 3000])
+def test_mixing_matches_a_plain_version(spark, make, messy, monkeypatch, size):
+    """Draws, permutations and the join of slots and blocks, against loops over one list of tokens a source."""
+    monkeypatch.setattr(mixing, "BUCKET_BYTES", size)
+    rng = random.Random(41)
+    rows = [*messy, (None, "no id here", "s0"), (None, "no id there", "s1"), *((500 + k, words(rng, rng.randrange(1, 90)), f"s{k % 2}") for k in range(60))]
+    rows = [r for r in rows if r[2] is not None]
+    weights, block, slots, a_shard, seed = {"s0": 0.5, "s1": 0.2, "s2": 0.3}, 32, 700, 200, 11
+    got = sorted(((r["shard"], r["slot"], r["first"], r["doc_id"], r["source"], r["epoch"], r["tokens"], r["text"]) for r in mixing.mix_sources(spark, make(rows), block=block, weights=weights, slots=slots, slots_a_shard=a_shard, seed=seed).collect()), key=repr)
+    keyed = make(rows).filter("text IS NOT NULL").select("doc_id", "text", "source", F.xxhash64("doc_id", "text").alias("h"), F.xxhash64("text").alias("tie"), F.octet_length("text").alias("n")).collect()
+    streams: dict = {}
+    for source in weights:
+        own = [r for r in keyed if r["source"] == source]
+        buckets = max(1, -(-sum(r["n"] for r in own) // size))
+        stream = []
+        for r in sorted(own, key=lambda r: (r["h"] % buckets, (r["doc_id"] is not None, r["doc_id"] or 0), r["tie"], r["n"])):
+            tokens = re.findall(r"[^\t-\r ]+[\t-\r ]*", r["text"])
+            if tokens:
+                tokens[0] = r["text"][: r["text"].index(tokens[0])] + tokens[0]
+            stream.append((r["doc_id"], tokens))
+        streams[source] = stream
+    names = sorted(n for n in streams if any(t for _, t in streams[n]))
+    totals = {n: -(-sum(len(t) for _, t in streams[n]) // block) for n in names}
+    share = np.array([weights[n] for n in names]) / sum(weights[n] for n in names)
+    shards, taken, expected = -(-slots // a_shard), dict.fromkeys(names, 0), []
+    for shard in range(shards):
+        n = slots // shards + (shard < slots % shards)
+        gen = np.random.Generator(np.random.Philox(key=[seed, shard]))
+        counts = gen.multinomial(n, share)
+        drawn = [(names[s], j) for s, c in enumerate(counts) for j in range(c)]
+        for slot, (source, j) in zip(gen.permutation(n).tolist(), drawn):
+            q = taken[source] + j
+            epoch = q // totals[source]
+            number = int(mixing.permute(np.array([q % totals[source]]), totals[source], mixing.source_key(seed, source, epoch))[0])
+            at = 0
+            for doc, tokens in streams[source]:
+                lo, hi = max(at, number * block), min(at + len(tokens), (number + 1) * block)
+                if lo < hi:
+                    expected.append((shard, slot, lo - number * block, doc, source, epoch, hi - lo, "".join(tokens[lo - at : hi - at])))
+                at += len(tokens)
+        for s, c in enumerate(counts):
+            taken[names[s]] += int(c)
+    assert got == sorted(expected, key=repr)
+
+
 def test_weights_are_met(spark, make):
     rng = random.Random(2)
     rows = [(i, words(rng, 400), ["big", "big", "big", "big", "mid", None][i % 6]) for i in range(240)]
@@ -312,6 +453,6 @@ def test_pipeline(spark, make, tmp_path):
     keys = [r["doc_id"] for r in df.collect()]
     again = sharding.assign_shards(spark.createDataFrame([(i,) for i in set(keys)], "doc_id long"), corpus_pipeline.SHARDS)
     assert {(r["doc_id"], r["shard"]) for r in df.collect()} == {(r["doc_id"], r["shard"]) for r in again.collect()}
-    assert jaccard.ngram_jaccard_join(spark, spark.read.parquet(str(tmp_path / "ngram_jaccard_join")), **corpus_pipeline.NEAR).count() == 0
+    assert jaccard.ngram_jaccard_join(spark, spark.read.parquet(str(tmp_path / "ngram_jaccard_join")), **corpus_pipeline.NEAR).filter("links > 0").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(keys)
     assert SCHEMA.startswith("doc_id")
