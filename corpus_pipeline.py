@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents through a chain of stages, each written and read again."""
+"""The corpus pipeline: documents through a chain of stages, each written and read again.
+
+Every stage keeps rows with nulls in columns that it doesn't judge by, treats repeated rows and ties alike wherever they
+stand, and gives an empty table for an empty one; what it does with null and empty texts is said at each.
+"""
 
 from __future__ import annotations
 
@@ -10,22 +14,27 @@ from tesselon.llm.queries import CLASSIFIER, MIX, NEAR, SHARDS, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text the classifier keeps, fitted on the labels. A null text goes; an empty one is judged on the biases alone."""
     return classifier.keep_good(spark, docs, table(spark, sf_dir, "labels"), **CLASSIFIER)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, that of the least id. Null ids, null texts and texts of fewer than five words stay."""
     return jaccard.one_of_each_group(spark, docs, **NEAR)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that hold no benchmark item, word for word or paraphrased. Null and empty texts hold none."""
     return decontaminate.without_leaks(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of documents that make up the drawn blocks, under their documents' ids. Texts without tokens have no pieces; a null source counts as the empty one."""
     return mixing.mixed_documents(spark, docs, **MIX)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows with their shard, by id; a null id counts as the empty text. Nothing else is changed."""
     return sharding.assign_shards(docs, SHARDS)
 
 
