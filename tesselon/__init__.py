@@ -1,4 +1,4 @@
-"""Spark-native analytics for planar scenes and their objects.
+"""Spark-native analytics for planar windows and their objects.
 
 Everything is DataFrame in, DataFrame out; nothing here depends on the ``llm``
 subpackage, which holds the corpus operators and may be absent.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_LINES, MOST_BYTES = 25_000, 64 << 20
+MOST_LINES = 25_000
 
 
 def canonical_bytes(*fields: Column) -> Column:
@@ -44,13 +44,55 @@ def decimal_text(value: int | float | str) -> str:
     return "0" if number == 0 else format(number, "f")
 
 
-def window_id(version: str, crs: str, origin: tuple, size: float, stride: float, col: Column, row: Column) -> Column:
-    constants = [version, crs, *(decimal_text(v) for v in (*origin, size, stride))]
-    return canonical_hash(F.lit("scene_footprint_id"), *(F.lit(c) for c in constants), col, row)
+def window_id(domain: str, version: str, crs: str, origin: tuple, size: tuple, stride: tuple, col: Column, row: Column) -> Column:
+    """Identity of a window's footprint: domain, version, CRS, origin x and y, width and height, stride x and y, column, row.
+
+    ``domain`` is the name that the identities of a footprint are hashed under; whoever must match identities made
+    elsewhere gives the name used there.
+    """
+    constants = [domain, version, crs, *(decimal_text(v) for v in (*origin, *size, *stride))]
+    return canonical_hash(*(F.lit(c) for c in constants), col, row)
+
+
+def block_id(domain: str, crs: str, size: float, col: Column, row: Column) -> Column:
+    """Identity of a processing block: domain, CRS, size, column and row joined by '|'."""
+    return observation_hash(F.lit(domain), F.lit(crs), F.lit(decimal_text(size)), col, row)
+
+
+def observation_id(window: Column, object_type: Column, object_id: Column, part_id: Column | None = None) -> Column:
+    """Identity of an object in a window; roads have one for each part, whose identity is then the last field."""
+    own = observation_hash(window, object_type, object_id)
+    return own if part_id is None else F.when(object_type == "road", observation_hash(window, object_type, object_id, part_id)).otherwise(own)
+
+
+def clip_part_id(geometry_type: Column, wkb_sha256: Column, occurrence: Column) -> Column:
+    return canonical_hash(F.lit("clip_part_id"), geometry_type, wkb_sha256, occurrence)
+
+
+def source_geometry_id(object_id: Column, file_sha256: Column, wkb_sha256: Column) -> Column:
+    return canonical_hash(F.lit("source_geometry_id"), object_id, file_sha256, wkb_sha256)
+
+
+def district_id(source: Column, level: Column, code: Column) -> Column:
+    return canonical_hash(F.lit("district_id"), source, level, code)
+
+
+def node_id(domain: str, window: Column, kind: Column, primary: Column, secondary: Column) -> Column:
+    """Identity of a road node of a window; ``secondary`` is null for nodes of the source."""
+    return canonical_hash(F.lit(domain), window, kind, primary, secondary)
+
+
+def edge_id(domain: str, window: Column, observation: Column, start_node: Column, end_node: Column) -> Column:
+    return canonical_hash(F.lit(domain), window, observation, start_node, end_node)
+
+
+def relation_context_id(window: Column, geometry_version: str, view: int | None = None) -> Column:
+    """Identity of what relations are worked out on: a window's own geometry, or an augmented view of it (1 or 2)."""
+    return canonical_hash(F.lit("relation_context_id"), window, F.lit("original" if view is None else "augmented"), F.lit(None if view is None else str(view)).cast("string"), F.lit(geometry_version))
 
 
-def relation_id(scene: Column, kind: Column, source: Column, target: Column, calculator: str) -> Column:
-    return canonical_hash(F.lit("relation_id"), scene, kind, source, target, F.lit(calculator))
+def relation_id(context: Column, source: Column, target: Column, kind: Column) -> Column:
+    return canonical_hash(F.lit("relation_id"), context, source, target, kind)
 
 
 def is_identity(column: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MISSING = ("NA", "N/A", "NULL", "NONE", "NAN", "-", "UNKNOWN")
+MISSING = ("", "NULL", "NA", "N/A")
+ENDPOINT_NAMES = ("F_NODE", "T_NODE")
 
 
 def category_path(*labels: Column) -> Column:
@@ -18,12 +21,13 @@ def normalized_key(key: Column) -> Column:
     return F.trim(key.cast("string"))
 
 
-def is_missing_token(value: Column) -> Column:
-    return F.upper(F.trim(value)).isin(*MISSING)
+def is_missing_token(value: Column, tokens: tuple[str, ...] = MISSING) -> Column:
+    """Whether text, trimmed and in upper case, stands for no value; so blank text does."""
+    return F.upper(F.trim(value)).isin(*tokens)
 
 
 def has_leading_zero(value: Column) -> Column:
-    return value.rlike("^0[0-9]+$")
+    return F.trim(value).rlike("^0[0-9]+$")
 
 
 def safe_rate(part: Column, whole: Column) -> Column:
@@ -32,8 +36,8 @@ def safe_rate(part: Column, whole: Column) -> Column:
 
 
 def is_identifier_name(name: str) -> bool:
-    upper = name.upper()
-    return upper in ("ID", "FID", "UFID", "IDENTIFIER", "KEY") or upper.endswith(("_ID", "KEY"))
+    """Whether a column's name says that it identifies rows: it is or ends in ID, speaks of an identifier, or names a link's end."""
+    return re.search("(^|_)ID$|IDENTIFIER", name.upper()) is not None or name.upper() in ENDPOINT_NAMES
 
 
 def run_id(moment: Column) -> Column:

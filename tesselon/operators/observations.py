@@ -115,10 +115,60 @@ def part_occurrence(parts: DataFrame, keys: list[str], order: list[str]) -> Data
     return parts.withColumn("occurrence", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
 
 
-def provenance(**observations: DataFrame) -> DataFrame:
-    """(object_type, id, col, row, observation_id) of several kinds of observation, as one bag."""
+def provenance(window: Column, **observations: DataFrame) -> DataFrame:
+    """(object_type, id, col, row, observation_id) of several kinds of observation, as one bag. window: a window's identity from col and row.
+
+    An observation is identified by its window, type and object; one of a road by its part too, if there is a ``part_id``.
+    """
     out = None
     for kind, frame in observations.items():
-        rows = frame.select(F.lit(kind).alias("object_type"), "id", "col", "row")
+        part = F.col("part_id") if "part_id" in frame.columns else None
+        own = ids.observation_id(window, F.lit(kind), F.col("id"), part)
+        rows = frame.select(F.lit(kind).alias("object_type"), "id", "col", "row", own.alias("observation_id"))
         out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("observation_id", ids.observation_hash(F.col("object_type"), F.col("id"), F.col("col"), F.col("row")))
+    return out
+
+
+def allowable_windows(windows: DataFrame, districts: DataFrame, margin: float = 125, size: float = grid.SIZE, stride: float = grid.STRIDE) -> DataFrame:
+    """(col, row, split, reason): the split of windows that lie in its districts alone, ``margin`` or more from those of others.
+
+    A window is left out, with the reason 'no district', 'across splits' or 'too near another split'. The split's region
+    less a margin around all others covers a window if the window lies in the region and no other region is within the
+    margin; so distances to the neighbouring cells decide, and no buffer is built. Cells with no district belong to none.
+    """
+    half = size / 2
+    x0, y0 = F.col("col") * stride - half, F.col("row") * stride - half
+    reach = lambda v: F.sequence(grid.cell(v - margin, DISTRICT), grid.cell(v + size + margin, DISTRICT))
+    cells = windows.select("col", "row", F.explode(reach(x0)).alias("ux"), y0.alias("y0")).select("col", "row", "ux", "y0", F.explode(reach(F.col("y0"))).alias("uy"))
+    gap = lambda v, u: F.greatest(u * DISTRICT - (v + size), v - (u + 1) * DISTRICT, F.lit(0.0))
+    gap_x, gap_y = gap(x0, F.col("ux")), gap(F.col("y0"), F.col("uy"))
+    inside = (F.least(x0 + size, (F.col("ux") + 1) * DISTRICT) > F.greatest(x0, F.col("ux") * DISTRICT)) & (F.least(F.col("y0") + size, (F.col("uy") + 1) * DISTRICT) > F.greatest(F.col("y0"), F.col("uy") * DISTRICT))
+    near = cells.select("col", "row", F.pmod("ux", F.lit(5)).alias("cx"), F.pmod("uy", F.lit(5)).alias("cy"), F.hypot(gap_x, gap_y).alias("gap"), inside.alias("inside")).filter(F.col("inside") | (F.col("gap") < margin))
+    held = near.join(districts.select("cx", "cy", "split"), ["cx", "cy"], "left").groupBy("col", "row").agg(
+        F.min(F.when(F.col("inside"), F.col("split"))).alias("split"), F.max(F.when(F.col("inside"), F.col("split"))).alias("last"), F.count_if(F.col("inside") & F.col("split").isNull()).alias("holes"),
+        F.min("split").alias("least"), F.max("split").alias("most"),
+    )
+    reason = F.when(F.col("split").isNull() | (F.col("holes") > 0), "no district").when(F.col("split") != F.col("last"), "across splits").when(F.col("least") != F.col("most"), "too near another split")
+    return held.withColumn("reason", reason).select("col", "row", F.when(F.col("reason").isNull(), F.col("split")).alias("split"), "reason")
+
+
+def rejections(judged: DataFrame) -> DataFrame:
+    """(split, reason, windows): how many windows each split has, and how many were left out for what."""
+    return judged.groupBy("split", "reason").agg(F.count("*").alias("windows"))
+
+
+def in_order(observed: DataFrame, *more: str) -> DataFrame:
+    """Observations by split, district, window, type (buildings, roads, points of interest) and object; then by ``more``, nulls first."""
+    rank = F.when(F.col("object_type") == "building", 0).when(F.col("object_type") == "road", 1).otherwise(2)
+    return observed.orderBy("split", "district", "col", "row", rank, "id", *(F.asc_nulls_first(c) for c in more))
+
+
+def query_candidates(objects: DataFrame, windows: DataFrame, identities: DataFrame) -> DataFrame:
+    """(col, row, id, object_id) of boxes that meet chosen windows, edges included, in order, those without an identity last.
+
+    identities: (id, object_id), of which null, empty or repeated ones are an error.
+    """
+    bad = identities.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("object_id").isNull() | (F.col("object_id") == "")).alias("empty")).withColumn("_ok", F.assert_true((F.col("n") == 1) & (F.col("empty") == 0) & F.col("id").isNotNull(), F.lit("identities must be unique and not empty")))
+    known = identities.join(bad.filter("_ok IS NULL").select("id"), "id", "left_semi")
+    met = grid.windows_of(objects, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).join(windows.select("col", "row").distinct(), ["col", "row"])
+    return met.join(known, "id", "left").select("col", "row", "id", "object_id").orderBy("col", "row", F.asc_nulls_last("object_id"), "id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -14,28 +14,54 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
+def exact_quantiles(values: DataFrame, by: list[str], v: str, probabilities: dict[str, float], cells: int = 4096) -> DataFrame:
+    """by and a column for each quantile, interpolated between neighbours; v must hold finite numbers.
+
+    Values are counted in ``cells`` equal parts of each group's range; then only the parts in which a wanted rank lies are
+    counted by value. So no task holds all values of a group, and no value is estimated.
+    """
+    span = values.groupBy(*by).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count("*").alias("_n"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(v) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells), F.lit(cells - 1))).otherwise(F.lit(0)).cast("int")
+    placed = values.select(*by, v).join(span.select(*by, "_lo", "_hi"), by).select(*by, v, part.alias("_cell"))
+    up_to = lambda keys, order, count: F.sum(count).over(Window.partitionBy(*keys).orderBy(order)) - F.col(count)
+    counts = placed.groupBy(*by, "_cell").agg(F.count("*").alias("_c")).withColumn("_before", up_to(by, "_cell", "_c"))
+    asked = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), ((F.col("_n") - 1) * F.lit(float(p))).alias("at")) for n, p in probabilities.items())))
+    ranks = span.select(*by, asked.alias("_q")).select(*by, F.col("_q.name").alias("_name"), F.col("_q.at").alias("_at"))
+    ranks = ranks.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
+    wanted = ranks.join(counts, by).filter("_rank >= _before AND _rank < _before + _c").select(*by, "_name", "_at", "_rank", "_cell", "_before")
+    inside = placed.join(wanted.select(*by, "_cell").distinct(), [*by, "_cell"], "left_semi").groupBy(*by, "_cell", v).agg(F.count("*").alias("_m"))
+    inside = inside.withColumn("_within", up_to([*by, "_cell"], v, "_m"))
+    found = wanted.join(inside, [*by, "_cell"]).filter("_rank >= _before + _within AND _rank < _before + _within + _m")
+    low, high = F.min_by(v, "_rank"), F.max_by(v, "_rank")
+    each = found.groupBy(*by, "_name").agg((low + (high - low) * (F.first("_at") - F.min("_rank"))).alias("_value"))
+    return each.groupBy(*by).agg(*(F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in probabilities))
+
+
 def numeric_summary(df: DataFrame, *columns: str) -> DataFrame:
-    """(column, n, mean, std, min, max, quantiles) over finite values; the deviation is the population's."""
+    """(column, n, mean, std, quantiles) over finite values; the deviation is the population's."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*").filter(finite(F.col("v")))
-    out = long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.percentile("v", F.array(*map(F.lit, QUANTILES.values()))).alias("q"))
-    return out.select("column", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(QUANTILES)))
+    out = long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    out = out.join(exact_quantiles(long, ["column"], "v", QUANTILES), "column")
+    return out.select("column", "n", *(F.round(c, 6).alias(c) for c in ("mean", "std", *QUANTILES)))
 
 
 def column_profile(df: DataFrame, *columns: str) -> DataFrame:
-    """(column, rows, nulls, distinct, duplicates, empty, padded, missing_tokens, leading_zeros, negative, zero, id_candidate) of columns as text.
+    """(column, rows, nulls, distinct, duplicates, empty, whitespace_only, padded, missing_tokens, leading_zeros, negative, zero, non_finite, id_candidate) of columns as text.
 
-    Columns become rows first and distinct values are counted by grouping, so that no state of a whole column sits in one task.
+    Columns become rows first and distinct values are counted by grouping, so that no state of a whole column sits in one
+    task. A candidate for an identifier is named like one, has no null and is unique for 95 % of its rows.
     """
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns))).alias("x")).select("x.*")
     values = long.groupBy("column", "v").agg(F.count("*").alias("n"))
     n, v, number = F.col("n"), F.col("v"), F.expr("try_cast(v AS DOUBLE)")
     total = lambda condition: F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
     out = values.groupBy("column").agg(
-        F.sum("n").alias("rows"), total(v.isNull()).alias("nulls"), F.count("v").alias("distinct"), total(v == "").alias("empty"), total(v != F.trim(v)).alias("padded"),
-        total(text.is_missing_token(v)).alias("missing_tokens"), total(text.has_leading_zero(v)).alias("leading_zeros"), total(number < 0).alias("negative"), total(number == 0).alias("zero"),
+        F.sum("n").alias("rows"), total(v.isNull()).alias("nulls"), F.count("v").alias("distinct"), total(v == "").alias("empty"), total((v != "") & (F.trim(v) == "")).alias("whitespace_only"), total(v != F.trim(v)).alias("padded"),
+        total(text.is_missing_token(v)).alias("missing_tokens"), total(text.has_leading_zero(v)).alias("leading_zeros"), total(finite(number) & (number < 0)).alias("negative"), total(number == 0).alias("zero"), total(number.isNotNull() & ~finite(number)).alias("non_finite"),
     )
-    filled = F.col("rows") - F.col("nulls")
-    return out.withColumn("duplicates", filled - F.col("distinct")).withColumn("id_candidate", F.coalesce(text.safe_rate(F.col("distinct"), filled) >= 0.95, F.lit(False)))
+    named = F.col("column").isin([c for c in columns if text.is_identifier_name(c)])
+    candidate = named & (F.col("nulls") == 0) & (F.coalesce(text.safe_rate(F.col("distinct"), F.col("rows")), F.lit(0.0)) >= 0.95)
+    return out.withColumn("duplicates", F.col("rows") - F.col("nulls") - F.col("distinct")).withColumn("id_candidate", candidate)
 
 
 def key_summary(df: DataFrame, key: str) -> DataFrame:

@@ -1,23 +1,27 @@
 """Typed relations between the objects of a window, and their graph.
 
-SN: nearest within a radius; CNT/WIT: a box covers a point, seen from either side; INT: two shapes meet and neither
+SN: nearest within a radius, by the distance of the shapes; CNT/WIT: a box covers a point, seen from either side; INT: two shapes meet and neither
 covers the other; CON: road parts with a node in common. Directed rows (kind, src_type, src, dst_type, dst, distance).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ids, shapes
+
 COLUMNS = ["kind", "src_type", "src", "dst_type", "dst", "distance"]
 BOTH = [("a", "b"), ("b", "a")]
+CELL = 125
 
 
 def nearest(objects: DataFrame, radius: dict[str, float], k: dict[str, int], keys: list[str] | None = None) -> DataFrame:
     """SN. Of each source the first k[type] others within radius[type], by distance, type and id; each choice gives both directions.
 
-    objects: (object_type, id, x0, y0, x1, y1), points having x0 = x1 and y0 = y1; distances are between boxes. Objects
-    meet in cells as wide as the greatest radius, each source in the one cell of its lower corner and each candidate in
+    objects: (object_type, id, x0, y0, x1, y1), points having x0 = x1 and y0 = y1; and, where some are segments, their
+    ends (ax, ay, bx, by), null for boxes. Distances are between the shapes themselves. With ``keys`` (col, row) objects
+    meet only within a window and are ranked for each. Objects meet in cells as wide as the greatest radius, each source in the one cell of its lower corner and each candidate in
     every cell that its surroundings reach, so that no pair is found twice and nothing is compared across the plane.
     """
     keys = keys or []
@@ -37,8 +41,11 @@ def nearest(objects: DataFrame, radius: dict[str, float], k: dict[str, int], key
     gap = lambda axis: F.greatest(F.col(f"s.{axis}0") - F.col(f"t.{axis}1"), F.col(f"t.{axis}0") - F.col(f"s.{axis}1"), F.lit(0))
     square = gap("x") * gap("x") + gap("y") * gap("y")
     pairs = s.join(t, same & owner("x") & owner("y") & ((F.col("s.object_type") != F.col("t.object_type")) | (F.col("s.id") != F.col("t.id"))) & (square <= F.col("s.r") * F.col("s.r")))
-    pairs = pairs.select(*(F.col(f"s.{c}").alias(c) for c in keys), F.col("s.object_type").alias("a_type"), F.col("s.id").alias("a"), F.col("t.object_type").alias("b_type"), F.col("t.id").alias("b"), square.cast("double").alias("square"), F.col("s.k").alias("k"))
-    rank = Window.partitionBy(*keys, "a_type", "a").orderBy("square", "b_type", "b")
+    if "ax" in objects.columns:  # the boxes' distance is no greater, so it has been looked at first
+        square = shapes.square_gap(shapes.Shape("s"), shapes.Shape("t"))
+    pairs = pairs.select(*(F.col(f"s.{c}").alias(c) for c in keys), F.col("s.object_type").alias("a_type"), F.col("s.id").alias("a"), F.col("t.object_type").alias("b_type"), F.col("t.id").alias("b"), square.cast("double").alias("square"), F.col("s.k").alias("k"), F.col("s.r").alias("r"))
+    pairs = pairs.filter("square <= r * r").drop("r")
+    rank = Window.partitionBy(*keys, "a_type", "a").orderBy(F.round("square", 6), "b_type", "b")
     chosen = pairs.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= max(k.values())).filter("rank <= k")
     return distinct_relations(both_ways(chosen.withColumn("distance", F.sqrt("square")), "SN", keys), keys)
 
@@ -73,6 +80,43 @@ def intersections(boxes: DataFrame) -> DataFrame:
     return both_ways(pairs, "INT", ["col", "row"])
 
 
+def pieces(boxes: DataFrame, segments: DataFrame) -> DataFrame:
+    """(col, row, object_type, id, x0, y0, x1, y1, ax, ay, bx, by): clipped boxes and clipped segments as shapes of their windows."""
+    none = [F.lit(None).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")]
+    building = boxes.select("col", "row", F.lit("building").alias("object_type"), "id", *(F.col(f"c{c}").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), *none)
+    road = segments.select(
+        "col", "row", F.lit("road"), "id", F.least("px", "qx").cast("double"), F.least("py", "qy").cast("double"), F.greatest("px", "qx").cast("double"), F.greatest("py", "qy").cast("double"),
+        *(F.col(c).cast("double") for c in ("px", "py", "qx", "qy")),
+    )
+    return building.union(road)
+
+
+def shape_intersections(objects: DataFrame) -> DataFrame:
+    """INT of the shapes of a window, buildings and roads alike: they meet, touching included, and neither covers the other.
+
+    Shapes meet in cells of ``CELL`` within their window, each pair in the one cell of its greater lower corner."""
+    spread = lambda a, b: F.sequence(F.floor(F.col(a) / CELL).cast("long"), F.floor(F.col(b) / CELL).cast("long"))
+    placed = objects.withColumn("cx", F.explode(spread("x0", "x1"))).withColumn("cy", F.explode(spread("y0", "y1")))
+    a, b, s, t = placed.alias("a"), placed.alias("b"), shapes.Shape("a"), shapes.Shape("b")
+    same = F.lit(True)
+    for c in ("col", "row", "cx", "cy"):
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    owner = (F.floor(F.greatest(s.x0, t.x0) / CELL) == F.col("a.cx")) & (F.floor(F.greatest(s.y0, t.y0) / CELL) == F.col("a.cy"))
+    order = F.struct("a.object_type", "a.id") < F.struct("b.object_type", "b.id")
+    pairs = a.join(b, same & owner & order & shapes.meet(s, t) & ~shapes.cover(s, t) & ~shapes.cover(t, s))
+    pairs = pairs.select("a.col", "a.row", F.col("a.object_type").alias("a_type"), F.col("a.id").alias("a"), F.col("b.object_type").alias("b_type"), F.col("b.id").alias("b"), F.lit(None).cast("double").alias("distance"))
+    return both_ways(pairs, "INT", ["col", "row"])
+
+
+def in_order(relations: DataFrame, context: Column, geometry_version: str) -> DataFrame:
+    """Relations with their identities, in the order of window, source, target, kind and identity.
+
+    context: a window's identity from col and row. Sources and targets are identified as observations of the window."""
+    own = lambda side: ids.observation_id(context, F.col(f"{side}_type"), F.col(side))
+    named = relations.withColumn("relation_id", ids.relation_id(ids.relation_context_id(context, geometry_version), own("src"), own("dst"), F.col("kind")))
+    return named.orderBy("col", "row", "src_type", "src", "dst_type", "dst", "kind", "relation_id")
+
+
 def connections(edges: DataFrame) -> DataFrame:
     """CON of road parts of a window that share a node; a boundary node belongs to one part, so it connects nothing."""
     ends = edges.select("col", "row", "id", F.explode(F.array("start_node", "end_node")).alias("node")).filter("node LIKE 'n%'").distinct()

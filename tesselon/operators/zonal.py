@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .profiles import exact_quantiles, finite
+
 
 def histogram(cells: DataFrame, zone: str, code: str) -> DataFrame:
     """(zone, codes): a map from class code to its number of cells. Counted before it is gathered."""
@@ -15,9 +17,10 @@ def histogram(cells: DataFrame, zone: str, code: str) -> DataFrame:
 def statistics(cells: DataFrame, zone: str, value: str) -> DataFrame:
     """(zone, cells, min, q25, median, q75, max, mean, std) with the population's deviation."""
     v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = cells.filter(v.isNotNull() & ~F.isnan(v)).groupBy(zone).agg(F.count("*").alias("cells"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
-    return out.select(zone, "cells", "min", *(F.col("q")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))), "max", "mean", "std")
+    held = cells.filter(finite(v))
+    out = held.groupBy(zone).agg(F.count("*").alias("cells"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    quantiles = exact_quantiles(held.select(zone, value), [zone], value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return out.join(quantiles, zone).select(zone, "cells", "min", "q25", "median", "q75", "max", "mean", "std")
 
 
 def entropy(counts: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, geometry, grid, ids, text
@@ -60,12 +60,12 @@ def window_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.candidate_grid(spark, 0, 0, TILE, TILE)
 
 
-@query(", b AS (SELECT x // 2000 AS block_col, y // 2000 AS block_row, count(*) AS points, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM points GROUP BY ALL) SELECT *, sha256('block|' || block_col || '|' || block_row) AS block_id FROM b")
+@query(", b AS (SELECT x // 2000 AS block_col, y // 2000 AS block_row, count(*) AS points, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM points GROUP BY ALL) SELECT *, sha256('block|EPSG:5186|2000|' || block_col || '|' || block_row) AS block_id FROM b")
 def processing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = layout(spark, sf_dir, "points")
     blocks = points.select("x", "y", *grid.block_of(F.col("x"), F.col("y"))).groupBy("block_col", "block_row")
     counted = blocks.agg(F.count("*").alias("points"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
-    return counted.withColumn("block_id", ids.observation_hash(F.lit("block"), F.col("block_col"), F.col("block_row")))
+    return counted.withColumn("block_id", ids.block_id("block", "EPSG:5186", grid.BLOCK, F.col("block_col"), F.col("block_row")))
 
 
 @query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})), c AS (SELECT col - a.d AS cx, row - b.d AS cy, count(*) AS multiplicity FROM w, (VALUES (0), (1)) a(d), (VALUES (0), (1)) b(d) GROUP BY ALL) SELECT multiplicity, count(*) AS cells FROM c GROUP BY 1")
@@ -79,6 +79,14 @@ def canonical_sql(*fields: str) -> str:
     return "sha256(" + " || ".join(part(f) for f in fields) + ")"
 
 
+def window_id() -> Column:
+    """The identity of the window (col, row) of the grid that all queries use."""
+    return ids.window_id("footprint_id", "v1", "EPSG:5186", (0, 0), (500, 500), (250, 250.0), F.col("col"), F.col("row"))
+
+
+WINDOW_ID = canonical_sql(*(repr(x) for x in ("footprint_id", "v1", "EPSG:5186", "0", "0", "500", "500", "250", "250")), "CAST(col AS VARCHAR)", "CAST(row AS VARCHAR)")
+
+
 OPTIONAL = "CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END"
 
 
@@ -94,10 +102,10 @@ def observation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ids.observation_hash(*fields).alias("observation_id"))
 
 
-@query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})) SELECT col, row, {canonical_sql(*(repr(x) for x in ('scene_footprint_id', 'v1', 'EPSG:5186', '0', '0', '500', '250')), 'CAST(col AS VARCHAR)', 'CAST(row AS VARCHAR)')} AS window_id FROM w")
+@query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})) SELECT col, row, {WINDOW_ID} AS window_id FROM w")
 def window_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = observations.points_in_windows(layout(spark, sf_dir, "points")).select("col", "row").distinct()
-    return windows.withColumn("window_id", ids.window_id("v1", "EPSG:5186", (0, 0), 500, 250.0, F.col("col"), F.col("row")))
+    return windows.withColumn("window_id", window_id())
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey % 10 AS shape, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 10 ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS occurrence FROM lineitem")
@@ -126,17 +134,21 @@ def canonical_cast_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(*out)
 
 
-PROFILED = ["c_name", "c_mktsegment", "c_acctbal", "c_nationkey"]
+PROFILED = ["customer_id", "c_name", "c_mktsegment", "c_acctbal", "c_nationkey", "note"]
+NOTE = "CASE WHEN c_custkey % 7 = 0 THEN ' na ' WHEN c_custkey % 7 = 1 THEN '' WHEN c_custkey % 7 = 2 THEN '  ' WHEN c_custkey % 7 = 3 THEN ' 0042' WHEN c_custkey % 7 = 4 THEN 'NaN' WHEN c_custkey % 7 = 5 THEN '-1.5' END"
 
 
 @query(
-    "SELECT \"column\", count(*) AS rows, count(*) - count(v) AS nulls, count(DISTINCT v) AS \"distinct\", count(v) - count(DISTINCT v) AS duplicates, count_if(v = '') AS empty, count_if(v <> trim(v)) AS padded, count_if(upper(trim(v)) IN ('NA', 'N/A', 'NULL', 'NONE', 'NAN', '-', 'UNKNOWN')) AS missing_tokens, "
-    "coalesce(count_if(regexp_matches(v, '^0[0-9]+$')), 0) AS leading_zeros, coalesce(count_if(TRY_CAST(v AS DOUBLE) < 0), 0) AS negative, coalesce(count_if(TRY_CAST(v AS DOUBLE) = 0), 0) AS zero, count(DISTINCT v) / count(v) >= 0.95 AS id_candidate FROM ("
-    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM customer" for c in PROFILED)
+    f", c AS (SELECT *, c_custkey AS customer_id, {NOTE} AS note FROM customer) SELECT \"column\", count(*) AS rows, count(*) - count(v) AS nulls, count(DISTINCT v) AS \"distinct\", count(v) - count(DISTINCT v) AS duplicates, coalesce(count_if(v = ''), 0) AS empty, coalesce(count_if(v <> '' AND trim(v) = ''), 0) AS whitespace_only, count_if(v <> trim(v)) AS padded, coalesce(count_if(upper(trim(v)) IN ('', 'NULL', 'NA', 'N/A')), 0) AS missing_tokens, "
+    "coalesce(count_if(regexp_matches(trim(v), '^0[0-9]+$')), 0) AS leading_zeros, coalesce(count_if(isfinite(TRY_CAST(v AS DOUBLE)) AND TRY_CAST(v AS DOUBLE) < 0), 0) AS negative, coalesce(count_if(TRY_CAST(v AS DOUBLE) = 0), 0) AS zero, coalesce(count_if(NOT isfinite(TRY_CAST(v AS DOUBLE))), 0) AS non_finite, "
+    "\"column\" = 'customer_id' AND count(*) = count(v) AND count(DISTINCT v) / count(*) >= 0.95 AS id_candidate FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM c" for c in PROFILED)
     + ") GROUP BY 1"
 )
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.column_profile(table(spark, sf_dir, "customer"), *PROFILED)
+    """With a column of every kind of text that stands for nothing."""
+    customer = table(spark, sf_dir, "customer")
+    return profiles.column_profile(customer.withColumn("note", F.expr(NOTE)).withColumn("customer_id", F.col("c_custkey")), *PROFILED)
 
 
 MEASURED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -249,26 +261,67 @@ def relation_con(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "c AS (SELECT a.id AS a, b.id AS b, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d FROM points a JOIN points b ON a.id <> b.id AND abs(a.x - b.x) <= 50 AND abs(a.y - b.y) <= 50 WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2500), "
-    "k AS (SELECT a, b, d FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 8) SELECT DISTINCT 'SN' AS kind, 'poi' AS src_type, src, 'poi' AS dst_type, dst, sqrt(d) AS distance FROM (SELECT a AS src, b AS dst, d FROM k UNION ALL SELECT b, a, d FROM k)".replace("c AS (SELECT a.id", ", c AS (SELECT a.id", 1)
+    f", {NUMBERS}, w AS MATERIALIZED ({WINDOWED}), c AS (SELECT a.col, a.row, a.id AS a, b.id AS b, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d FROM w a JOIN w b ON a.col = b.col AND a.row = b.row AND a.id <> b.id WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2500), "
+    "k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY col, row, a ORDER BY d, b) <= 8) SELECT DISTINCT col, row, 'SN' AS kind, 'poi' AS src_type, src, 'poi' AS dst_type, dst, sqrt(d) AS distance FROM (SELECT col, row, a AS src, b AS dst, d FROM k UNION ALL SELECT col, row, b, a, d FROM k)"
 )
 def relation_sn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = layout(spark, sf_dir, "points").select(F.lit("poi").alias("object_type"), "id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    return relations.nearest(points, {"poi": 50}, {"poi": 8})
+    """Nearest points of each window, ranked within it."""
+    return relations.nearest(seen_points(spark, sf_dir), {"poi": 50}, {"poi": 8}, ["col", "row"])
+
+
+def seen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = observations.points_in_windows(layout(spark, sf_dir, "points"))
+    return points.select("col", "row", F.lit("poi").alias("object_type"), "id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
 
 
-GAP = "greatest(a.x0 - b.x1, b.x0 - a.x1, 0) ** 2 + greatest(a.y0 - b.y1, b.y0 - a.y1, 0) ** 2"
+# Clipped shapes, each as its edges; pairs are judged edge by edge and point by point, with no use of boxes' sides.
+STREET_CUT = """SELECT id, col, row, xa + (xb - xa) * t0 AS px, ya + (yb - ya) * t0 AS py, xa + (xb - xa) * t1 AS qx, ya + (yb - ya) * t1 AS qy FROM (
+SELECT *, greatest(0e0, CASE WHEN xb <> xa THEN least((col * 250 - 250 - xa) / (xb - xa)::DOUBLE, (col * 250 + 250 - xa) / (xb - xa)::DOUBLE) ELSE 0 END, CASE WHEN yb <> ya THEN least((row * 250 - 250 - ya) / (yb - ya)::DOUBLE, (row * 250 + 250 - ya) / (yb - ya)::DOUBLE) ELSE 0 END) AS t0,
+least(1e0, CASE WHEN xb <> xa THEN greatest((col * 250 - 250 - xa) / (xb - xa)::DOUBLE, (col * 250 + 250 - xa) / (xb - xa)::DOUBLE) ELSE 1 END, CASE WHEN yb <> ya THEN greatest((row * 250 - 250 - ya) / (yb - ya)::DOUBLE, (row * 250 + 250 - ya) / (yb - ya)::DOUBLE) ELSE 1 END) AS t1
+FROM (SELECT s.*, c.i AS col, r.i AS row FROM streets s JOIN span c ON least(xa, xb) <= c.i * 250 + 250 AND greatest(xa, xb) >= c.i * 250 - 250 JOIN span r ON least(ya, yb) <= r.i * 250 + 250 AND greatest(ya, yb) >= r.i * 250 - 250)) WHERE t0 < t1"""
+SHAPES = f"""c AS MATERIALIZED ({CLIPPED}), e AS MATERIALIZED (SELECT * FROM ({STREET_CUT}) WHERE sqrt((qx - px) ** 2 + (qy - py) ** 2) > 0),
+o AS MATERIALIZED (SELECT col, row, 'building' AS t, id, cx0::DOUBLE AS x0, cy0::DOUBLE AS y0, cx1::DOUBLE AS x1, cy1::DOUBLE AS y1, [[cx0, cy0, cx1, cy0], [cx1, cy0, cx1, cy1], [cx1, cy1, cx0, cy1], [cx0, cy1, cx0, cy0]]::DOUBLE[][] AS edges FROM c
+UNION ALL SELECT col, row, 'road', id, least(px, qx), least(py, qy), greatest(px, qx), greatest(py, qy), [[px, py, qx, qy]] FROM e)"""
+JOINED = """p AS MATERIALIZED (SELECT a.col, a.row, a.t AS ta, a.id AS a, b.t AS tb, b.id AS b, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1, a.edges AS ea, b.edges AS eb
+FROM o a JOIN o b ON a.col = b.col AND a.row = b.row AND (a.t, a.id) < (b.t, b.id) AND a.x0 <= b.x1 + REACH AND b.x0 <= a.x1 + REACH AND a.y0 <= b.y1 + REACH AND b.y0 <= a.y1 + REACH),
+f AS (SELECT *, unnest(ea) AS u, eb FROM p), g AS (SELECT *, unnest(eb) AS v FROM f),
+m AS (SELECT *, (u[3] - u[1]) * (v[2] - u[2]) - (u[4] - u[2]) * (v[1] - u[1]) AS s1, (u[3] - u[1]) * (v[4] - u[2]) - (u[4] - u[2]) * (v[3] - u[1]) AS s2, (v[3] - v[1]) * (u[2] - v[2]) - (v[4] - v[2]) * (u[1] - v[1]) AS s3, (v[3] - v[1]) * (u[4] - v[2]) - (v[4] - v[2]) * (u[3] - v[1]) AS s4 FROM g),
+x AS (SELECT *, (s1 >= 0 AND s2 <= 0 OR s1 <= 0 AND s2 >= 0) AND (s3 >= 0 AND s4 <= 0 OR s3 <= 0 AND s4 >= 0) AND least(u[1], u[3]) <= greatest(v[1], v[3]) AND least(v[1], v[3]) <= greatest(u[1], u[3]) AND least(u[2], u[4]) <= greatest(v[2], v[4]) AND least(v[2], v[4]) <= greatest(u[2], u[4]) AS crossing FROM m)"""
+A_HOLDS, B_HOLDS = ("(ax0 <= bx0 AND ay0 <= by0 AND ax1 >= bx1 AND ay1 >= by1)", "(bx0 <= ax0 AND by0 <= ay0 AND bx1 >= ax1 AND by1 >= ay1)")
+INT_PAIRS = f"""SELECT col, row, ta, a, tb, b FROM x GROUP BY ALL HAVING (bool_or(crossing) OR bool_or(ta = 'building' AND {A_HOLDS}) OR bool_or(tb = 'building' AND {B_HOLDS}))
+AND NOT bool_or(ta = 'building' AND {A_HOLDS}) AND NOT bool_or(tb = 'building' AND {B_HOLDS}) AND NOT (bool_and(s1 = 0 AND s2 = 0) AND ta = 'road' AND tb = 'road' AND (bool_or({A_HOLDS}) OR bool_or({B_HOLDS})))"""
+
+
+def street_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buildings and slanting streets, as far as they lie in each window."""
+    return relations.pieces(observations.clip_boxes(layout(spark, sf_dir, "boxes")), observations.clip_segments(layout(spark, sf_dir, "streets")))
 
 
 @query(
-    f", o AS (SELECT 'building' AS t, id, x0, y0, x1, y1 FROM boxes UNION ALL SELECT 'road', id, xa, ya, xb, yb FROM links), c AS (SELECT a.t AS ta, a.id AS a, b.t AS tb, b.id AS b, {GAP} AS d FROM o a JOIN o b ON (a.t <> b.t OR a.id <> b.id) AND a.x0 <= b.x1 + 100 AND b.x0 <= a.x1 + 100 AND a.y0 <= b.y1 + 100 AND b.y0 <= a.y1 + 100 WHERE {GAP} <= 10000), "
-    "k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY ta, a ORDER BY d, tb, b) <= 16) SELECT DISTINCT 'SN' AS kind, st AS src_type, s AS src, dt AS dst_type, e AS dst, sqrt(d) AS distance FROM (SELECT ta AS st, a AS s, tb AS dt, b AS e, d FROM k UNION ALL SELECT tb, b, ta, a, d FROM k)"
+    f", {WIDE}, {ROADS}, {SHAPES}, {JOINED.replace('REACH', '0')}, i AS ({INT_PAIRS}) SELECT col, row, 'INT' AS kind, ta AS src_type, a AS src, tb AS dst_type, b AS dst, NULL::DOUBLE AS distance FROM i UNION ALL SELECT col, row, 'INT', tb, b, ta, a, NULL FROM i"
+)
+def relation_int(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.shape_intersections(street_pieces(spark, sf_dir))
+
+
+POINT_EDGE = "CASE WHEN L2 = 0 THEN 0 ELSE greatest(0, least(1, ((PX - E[1]) * (E[3] - E[1]) + (PY - E[2]) * (E[4] - E[2])) / L2)) END"
+
+
+def _from_edge(px: str, py: str, e: str) -> str:
+    length = f"(({e}[3] - {e}[1]) * ({e}[3] - {e}[1]) + ({e}[4] - {e}[2]) * ({e}[4] - {e}[2]))"
+    t = POINT_EDGE.replace("PX", px).replace("PY", py).replace("L2", length).replace("E[", f"{e}[")
+    return f"(({px} - ({e}[1] + ({t}) * ({e}[3] - {e}[1]))) ** 2 + ({py} - ({e}[2] + ({t}) * ({e}[4] - {e}[2]))) ** 2)"
+
+
+@query(
+    f", {WIDE}, {ROADS}, {SHAPES}, {JOINED.replace('REACH', '100')}, d AS (SELECT col, row, ta, a, tb, b, CASE WHEN bool_or(crossing) OR bool_or(ta = 'building' AND {A_HOLDS}) OR bool_or(tb = 'building' AND {B_HOLDS}) THEN 0 ELSE min(least({_from_edge('u[1]', 'u[2]', 'v')}, {_from_edge('u[3]', 'u[4]', 'v')}, {_from_edge('v[1]', 'v[2]', 'u')}, {_from_edge('v[3]', 'v[4]', 'u')})) END AS d FROM x GROUP BY ALL), "
+    "h AS (SELECT col, row, ta, a, tb, b, d FROM d WHERE d <= 10000 UNION ALL SELECT col, row, tb, b, ta, a, d FROM d WHERE d <= 10000), k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY col, row, ta, a ORDER BY round(d, 6), tb, b) <= 16) "
+    "SELECT DISTINCT col, row, 'SN' AS kind, st AS src_type, s AS src, dt AS dst_type, e AS dst, round(sqrt(d), 6) AS distance FROM (SELECT col, row, ta AS st, a AS s, tb AS dt, b AS e, d FROM k UNION ALL SELECT col, row, tb, b, ta, a, d FROM k)"
 )
 def relation_sn_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buildings and roads in one pool of candidates; links run along the axes, so that they are their own boxes."""
-    boxes = layout(spark, sf_dir, "boxes").select(F.lit("building").alias("object_type"), "id", "x0", "y0", "x1", "y1")
-    links = layout(spark, sf_dir, "links").select(F.lit("road").alias("object_type"), "id", F.col("xa").alias("x0"), F.col("ya").alias("y0"), F.col("xb").alias("x1"), F.col("yb").alias("y1"))
-    return relations.nearest(boxes.unionByName(links), {"building": 100, "road": 100}, {"building": 16, "road": 16})
+    """Buildings and slanting streets of each window in one pool of candidates, by the distance of the clipped shapes."""
+    found = relations.nearest(street_pieces(spark, sf_dir), {"building": 100, "road": 100}, {"building": 16, "road": 16}, ["col", "row"])
+    return found.withColumn("distance", F.round("distance", 6))
 
 
 CONTAINED = "SELECT c.col, c.row, c.id AS a, p.id AS b FROM c JOIN w p ON p.col = c.col AND p.row = c.row AND p.x BETWEEN cx0 AND cx1 AND p.y BETWEEN cy0 AND cy1"
@@ -283,20 +336,58 @@ MEETING = """SELECT a.col, a.row, 'INT' AS kind, 'building' AS src_type, a.id AS
 WHERE NOT (a.cx0 <= b.cx0 AND a.cy0 <= b.cy0 AND a.cx1 >= b.cx1 AND a.cy1 >= b.cy1) AND NOT (b.cx0 <= a.cx0 AND b.cy0 <= a.cy0 AND b.cx1 >= a.cx1 AND b.cy1 >= a.cy1)"""
 
 
-@query(f", {WIDE}, c AS ({CLIPPED}) {MEETING}")
-def relation_int(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.intersections(observations.clip_boxes(layout(spark, sf_dir, "boxes")))
-
-
 @query(
-    f", {WIDE}, {ROADS}, c AS ({CLIPPED}), e AS ({EDGES}), rel AS (({MEETING}) UNION ALL ({CONNECTED})), n AS (SELECT col, row, 'building' AS t, id FROM c UNION ALL SELECT col, row, 'road', id FROM e), ends AS (SELECT DISTINCT col, row, src_type AS t, src AS id FROM rel) "
+    f", {NUMBERS}, {WIDE}, {ROADS}, w AS MATERIALIZED ({WINDOWED}), c AS MATERIALIZED ({CLIPPED}), e AS MATERIALIZED ({EDGES}), p AS ({CONTAINED}), rel AS MATERIALIZED (({MEETING}) UNION ALL ({CONNECTED}) UNION ALL SELECT col, row, 'CNT', 'building', a, 'poi', b, NULL FROM p UNION ALL SELECT col, row, 'WIT', 'poi', b, 'building', a, NULL FROM p), "
+    "n AS (SELECT col, row, 'building' AS t, id FROM c UNION ALL SELECT col, row, 'road', id FROM e UNION ALL SELECT col, row, 'poi', id FROM w), ends AS (SELECT DISTINCT col, row, src_type AS t, src AS id FROM rel) "
     "SELECT 'nodes' AS metric, count(*) AS value FROM n UNION ALL SELECT 'duplicate_nodes', count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM n)) FROM n UNION ALL SELECT 'isolated_nodes', count(*) FROM (SELECT * FROM n EXCEPT SELECT * FROM ends) UNION ALL SELECT 'dangling_nodes', count(*) FROM (SELECT * FROM ends EXCEPT SELECT * FROM n) "
-    "UNION ALL SELECT 'edges', count(*) FROM rel UNION ALL SELECT 'duplicate_edges', count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM rel)) FROM rel UNION ALL SELECT 'self_loops', count(*) FROM rel WHERE src = dst AND src_type = dst_type UNION ALL SELECT 'forbidden_pairs', 0"
+    "UNION ALL SELECT 'edges', count(*) FROM rel UNION ALL SELECT 'duplicate_edges', count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM rel)) FROM rel UNION ALL SELECT 'self_loops', count(*) FROM rel WHERE src = dst AND src_type = dst_type UNION ALL SELECT 'forbidden_pairs', count(*) FROM rel WHERE src_type IN ('poi', 'road') AND dst_type IN ('poi', 'road') AND src_type <> dst_type"
 )
 def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes, roads = observations.clip_boxes(layout(spark, sf_dir, "boxes")), edges(spark, sf_dir)
-    nodes = boxes.select("col", "row", F.lit("building").alias("object_type"), "id").union(roads.select("col", "row", F.lit("road"), "id"))
-    return relations.graph_metrics(nodes, relations.intersections(boxes).unionByName(relations.connections(roads)))
+    boxes, roads, points = observations.clip_boxes(layout(spark, sf_dir, "boxes")), edges(spark, sf_dir), observations.points_in_windows(layout(spark, sf_dir, "points"))
+    nodes = boxes.select("col", "row", F.lit("building").alias("object_type"), "id").union(roads.select("col", "row", F.lit("road"), "id")).union(points.select("col", "row", F.lit("poi"), "id"))
+    return relations.graph_metrics(nodes, relations.intersections(boxes).unionByName(relations.connections(roads)).unionByName(relations.containment(boxes, points)))
+
+
+OWN = lambda side: f"sha256({WINDOW_ID} || '|' || {side}_type || '|' || {side})"
+
+
+@query(
+    f", {ROADS}, e AS ({EDGES}), r AS ({CONNECTED}), i AS (SELECT *, {WINDOW_ID} AS w FROM r), o AS (SELECT *, {canonical_sql(repr('relation_context_id'), 'w', repr('original'), 'NULL::VARCHAR', repr('g1'))} AS context, {OWN('src')} AS s, {OWN('dst')} AS d FROM i) SELECT col, row, src, dst, {canonical_sql(repr('relation_id'), 'context', 's', 'd', 'kind')} AS relation_id FROM o"
+)
+def relation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities of connections, under the context of their window, in the order of relations."""
+    return relations.in_order(relations.connections(edges(spark, sf_dir)), window_id(), "g1").select("col", "row", "src", "dst", "relation_id")
+
+
+JUDGED = """n AS (SELECT w.col, w.row, d.split, u.i * 1000 < w.col * 250 + 250 AND (u.i + 1) * 1000 > w.col * 250 - 250 AND v.i * 1000 < w.row * 250 + 250 AND (v.i + 1) * 1000 > w.row * 250 - 250 AS inside,
+greatest(u.i * 1000 - (w.col * 250 + 250), w.col * 250 - 250 - (u.i + 1) * 1000, 0) ** 2 + greatest(v.i * 1000 - (w.row * 250 + 250), w.row * 250 - 250 - (v.i + 1) * 1000, 0) ** 2 AS square
+FROM w JOIN numbers u ON u.i * 1000 <= w.col * 250 + 375 AND (u.i + 1) * 1000 >= w.col * 250 - 375 JOIN numbers v ON v.i * 1000 <= w.row * 250 + 375 AND (v.i + 1) * 1000 >= w.row * 250 - 375
+JOIN districts d ON d.cx = ((u.i % 5) + 5) % 5 AND d.cy = ((v.i % 5) + 5) % 5),
+j AS (SELECT col, row, count(DISTINCT split) FILTER (inside) AS own, count(DISTINCT split) FILTER (inside OR square < 15625) AS near, min(split) FILTER (inside) AS first FROM n GROUP BY 1, 2),
+q AS (SELECT col, row, CASE WHEN own > 1 THEN 'across splits' WHEN near > 1 THEN 'too near another split' END AS reason, CASE WHEN near = 1 THEN first END AS split FROM j)"""
+
+
+@query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})), {JUDGED} SELECT col, row, split, reason FROM q")
+def allowable_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that their split's region covers when a margin of 125 around all other splits is taken off; the others with what rules them out."""
+    windows = observations.points_in_windows(layout(spark, sf_dir, "points")).select("col", "row").distinct()
+    return observations.allowable_windows(windows, layout(spark, sf_dir, "districts"))
+
+
+@query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})), {JUDGED} SELECT split, reason, count(*) AS windows FROM q GROUP BY 1, 2")
+def window_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations.rejections(allowable_windows(spark, sf_dir))
+
+
+NAMED = "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey END"
+
+
+@query(f", {WIDE}, c AS (SELECT DISTINCT id, col, row FROM (SELECT b.id, c.i AS col, r.i AS row FROM boxes b JOIN wide c ON b.x0 <= c.i * 250 + 250 AND b.x1 >= c.i * 250 - 250 JOIN wide r ON b.y0 <= r.i * 250 + 250 AND b.y1 >= r.i * 250 - 250) WHERE col = row) SELECT col, row, id, sha256('b|' || k) AS object_id FROM c LEFT JOIN (SELECT {NAMED} AS k FROM orders) ON k = id")
+def candidate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes that meet the windows of the diagonal, with their identities; every fifth has none."""
+    boxes, known = layout(spark, sf_dir, "boxes"), table(spark, sf_dir, "orders").select(F.expr(NAMED).alias("id")).filter("id IS NOT NULL")
+    diagonal = grid.windows_of(boxes, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).filter("col = row").select("col", "row")
+    return observations.query_candidates(boxes, diagonal, known.withColumn("object_id", ids.observation_hash(F.lit("b"), F.col("id"))))
 
 
 @query(
@@ -316,10 +407,15 @@ def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.leakage(seen, observations.split_of_windows(mapped(spark, sf_dir)))
 
 
-@query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})), m AS ({MAPPED}), s AS ({SPLITS}) SELECT count(*) AS rows, count_if(s.split IS NULL) AS unknown, coalesce(count_if(s.split <> m.split), 0) AS mismatched, 0 AS duplicates FROM m LEFT JOIN s USING (col, row)")
+@query(
+    f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})), m AS ({MAPPED}), s AS (SELECT col + CASE WHEN split = 'test' THEN 1000000 ELSE 0 END AS col, row, split FROM m QUALIFY row_number() OVER (PARTITION BY m.col, m.row ORDER BY area DESC, district) = 1), t AS (SELECT col, row, district, split FROM m UNION ALL SELECT col, row, district, split FROM m WHERE split = 'validation') "
+    "SELECT count(*) AS rows, count_if(s.split IS NULL) AS unknown, coalesce(count_if(s.split <> t.split), 0) AS mismatched, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS duplicates FROM t LEFT JOIN s USING (col, row)"
+)
 def split_mapping_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping that lists one split's rows twice, against splits by primary district of which the test windows lie elsewhere."""
     mapping_ = mapped(spark, sf_dir)
-    return audits.split_mapping_audit(mapping_, observations.split_of_windows(mapping_))
+    expected = mapping_.filter("is_primary").select((F.col("col") + F.when(F.col("split") == "test", 1_000_000).otherwise(0)).alias("col"), "row", "split")
+    return audits.split_mapping_audit(mapping_.union(mapping_.filter("split = 'validation'")), expected)
 
 
 @query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})), m AS ({MAPPED}), s AS (SELECT col, row, split FROM m QUALIFY row_number() OVER (PARTITION BY col, row ORDER BY area DESC, district) = 1) SELECT a.split AS split_a, b.split AS split_b, count(*) AS pairs FROM s a JOIN s b ON a.split < b.split AND abs(a.col - b.col) < 2 AND abs(a.row - b.row) < 2 GROUP BY 1, 2")
@@ -342,37 +438,52 @@ def endpoint_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.endpoint_integrity(links, layout(spark, sf_dir, "nodes"))
 
 
-@query(f", {NUMBERS}, {WIDE}, {ROADS}, w AS ({WINDOWED}), c AS ({CLIPPED}), e AS ({EDGES}), u AS (SELECT 'building' AS object_type, id, col, row FROM c UNION ALL SELECT 'road', id, col, row FROM e UNION ALL SELECT 'poi', id, col, row FROM w) SELECT *, sha256(object_type || '|' || id || '|' || col || '|' || row) AS observation_id FROM u")
+PART_ID = canonical_sql(repr("clip_part_id"), repr("LineString"), "sha256(concat_ws('|', CAST(px AS BIGINT), CAST(py AS BIGINT), CAST(qx AS BIGINT), CAST(qy AS BIGINT)))", "'0'")
+
+
+@query(
+    f", {NUMBERS}, {WIDE}, {ROADS}, w AS ({WINDOWED}), c AS ({CLIPPED}), e AS ({EDGES}), u AS (SELECT 'building' AS object_type, id, col, row, '' AS part FROM c UNION ALL SELECT 'road', id, col, row, '|' || {PART_ID} FROM e UNION ALL SELECT 'poi', id, col, row, '' FROM w) SELECT object_type, id, col, row, sha256({WINDOW_ID} || '|' || object_type || '|' || id || part) AS observation_id FROM u"
+)
 def provenance_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations.provenance(building=observations.clip_boxes(layout(spark, sf_dir, "boxes")), road=edges(spark, sf_dir), poi=observations.points_in_windows(layout(spark, sf_dir, "points")))
+    corners = F.concat_ws("|", *(F.col(c).cast("long") for c in ("px", "py", "qx", "qy")))
+    roads = edges(spark, sf_dir).withColumn("part_id", ids.clip_part_id(F.lit("LineString"), F.sha2(corners, 256), F.lit(0)))
+    return observations.provenance(window_id(), building=observations.clip_boxes(layout(spark, sf_dir, "boxes")), road=roads, poi=observations.points_in_windows(layout(spark, sf_dir, "points")))
+
+
+BEFORE, AFTER = ("CASE WHEN KEY % 9 = 2 THEN -KEY ELSE KEY END", "CASE WHEN KEY % 9 = 4 THEN -KEY ELSE KEY END")
+BEFORE_ORDER, AFTER_ORDER = (e.replace("KEY", "o_orderkey") for e in (BEFORE, AFTER))
 
 
 @query(
-    "b AS (SELECT sha256('o|' || o_orderkey) AS k, o_orderstatus || chr(31) || o_orderpriority AS l FROM orders WHERE o_orderkey % 10 <> 3), a AS (SELECT sha256('o|' || o_orderkey) AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END || chr(31) || o_orderpriority AS r FROM orders WHERE o_orderkey % 10 <> 7) "
+    f"b AS (SELECT sha256('o|' || {BEFORE_ORDER}) AS k, o_orderstatus || chr(31) || o_orderpriority AS l FROM orders), a AS (SELECT sha256('o|' || {AFTER_ORDER}) AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END || chr(31) || o_orderpriority AS r FROM orders) "
     "SELECT substr(k, 1, 2) AS bucket, count_if(r IS NULL) AS missing, count_if(l IS NULL) AS extra, coalesce(count_if(l <> r), 0) AS different FROM b FULL JOIN a USING (k) GROUP BY 1"
 )
 def provenance_lineage_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", ids.observation_hash(F.lit("o"), F.col("o_orderkey")).alias("k"))
-    found = orders.filter("o_orderkey % 10 <> 7").withColumn("o_orderstatus", F.expr("CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END"))
-    return audits.lineage_diff(orders.filter("o_orderkey % 10 <> 3"), found, "k", ["o_orderstatus", "o_orderpriority"])
+    """Both sides hold every order; some go by another key on one of them, so that they are missing there and extra here."""
+    orders = table(spark, sf_dir, "orders")
+    side = lambda key: orders.withColumn("k", ids.observation_hash(F.lit("o"), F.expr(key)))
+    found = side(AFTER_ORDER).withColumn("o_orderstatus", F.expr("CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END"))
+    return audits.lineage_diff(side(BEFORE_ORDER), found, "k", ["o_orderstatus", "o_orderpriority"])
 
 
 CHANGED = {"s_acctbal": "CASE WHEN s_suppkey % 4 = 1 THEN s_acctbal + 1 ELSE s_acctbal END", "s_name": "CASE WHEN s_suppkey % 6 = 5 THEN NULL ELSE s_name END"}
+BEFORE_KEY, AFTER_KEY = (e.replace("KEY", "s_suppkey") for e in (BEFORE, AFTER))
 
 
 @query(
-    f"b AS (SELECT s_suppkey AS k, s_name, s_acctbal FROM supplier WHERE s_suppkey % 9 <> 2), a AS (SELECT s_suppkey AS k, {CHANGED['s_name']} AS s_name, {CHANGED['s_acctbal']} AS s_acctbal FROM supplier WHERE s_suppkey % 9 <> 4), "
+    f"b AS (SELECT {BEFORE_KEY} AS k, s_name, s_acctbal FROM supplier), a AS (SELECT {AFTER_KEY} AS k, {CHANGED['s_name']} AS s_name, {CHANGED['s_acctbal']} AS s_acctbal FROM supplier), "
     "j AS (SELECT coalesce(b.k, a.k) AS key, CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' WHEN a.s_name IS DISTINCT FROM b.s_name OR a.s_acctbal IS DISTINCT FROM b.s_acctbal THEN 'changed' END AS change, "
     "array_to_string(list_filter([CASE WHEN a.s_name IS DISTINCT FROM b.s_name THEN 's_name' END, CASE WHEN a.s_acctbal IS DISTINCT FROM b.s_acctbal THEN 's_acctbal' END], lambda x: x IS NOT NULL), ',') AS f FROM b FULL JOIN a ON a.k = b.k) SELECT key, change, CASE WHEN change = 'changed' THEN f ELSE '' END AS fields FROM j WHERE change IS NOT NULL"
 )
 def inventory_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    after = supplier.filter("s_suppkey % 9 <> 4").select("s_suppkey", *(F.expr(e).alias(c) for c, e in CHANGED.items()))
-    return audits.snapshot_diff(supplier.filter("s_suppkey % 9 <> 2"), after, "s_suppkey", ["s_name", "s_acctbal"])
+    """Both sides hold every supplier; some go by another key on one of them."""
+    supplier = table(spark, sf_dir, "supplier")
+    before = supplier.select(F.expr(BEFORE_KEY).alias("k"), "s_name", "s_acctbal")
+    return audits.snapshot_diff(before, supplier.select(F.expr(AFTER_KEY).alias("k"), *(F.expr(e).alias(c) for c, e in CHANGED.items())), "k", ["s_name", "s_acctbal"])
 
 
 @query(f", {NUMBERS}, w AS (SELECT DISTINCT col, row FROM ({WINDOWED})), m AS ({MAPPED}), s AS ({SPLITS}) SELECT col, row, split, row_number() OVER (PARTITION BY split ORDER BY col, row) AS rank FROM s QUALIFY rank <= 3")
-def scene_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+def window_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.select_windows(observations.split_of_windows(mapped(spark, sf_dir)), 3)
 
 
@@ -419,7 +530,7 @@ def relative_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.select("id", F.transform(code, lambda v: F.round(v, 6) + F.lit(0.0)).alias("code"))
 
 
-FEW = [(u, v) for u, v in codes.FREQUENCIES[:48:6]]
+ALL = list(codes.FREQUENCIES)
 
 
 def _turn(u: float, v: float) -> str:
@@ -433,17 +544,17 @@ def _wave(u: float, v: float) -> str:
 
 @query(
     ", s AS (SELECT id, (xb - xa) / 500e0 AS dx, (yb - ya) / 500e0 AS dy, (xa % 500 + (xb - xa) / 2e0) / 500e0 AS mx, (ya % 500 + (yb - ya) / 2e0) / 500e0 AS my, sqrt((xb - xa) ** 2 + (yb - ya) ** 2) / 500e0 AS len FROM links) "
-    f"SELECT id, list_transform([{', '.join(f'{_wave(u, v)} * cos({_turn(u, v)})' for u, v in FEW)}], lambda v: round(v, 6) + 0e0) AS re, list_transform([{', '.join(f'{_wave(u, v)} * sin({_turn(u, v)})' for u, v in FEW)}], lambda v: round(v, 6) + 0e0) AS im FROM s"
+    f"SELECT id, list_transform([{', '.join(f'{_wave(u, v)} * cos({_turn(u, v)})' for u, v in ALL)}], lambda v: round(v, 6) + 0e0) AS re, list_transform([{', '.join(f'{_wave(u, v)} * sin({_turn(u, v)})' for u, v in ALL)}], lambda v: round(v, 6) + 0e0) AS im FROM s"
 )
 def segment_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transforms of links at eight frequencies, from the corner of the square that holds their start."""
+    """Transforms of links at all frequencies, from the corner of the square that holds their start."""
     x, y = F.col("xa") % 500, F.col("ya") % 500
-    z = codes.segment_transform(x / 500, y / 500, (x + F.col("xb") - F.col("xa")) / 500, (y + F.col("yb") - F.col("ya")) / 500, FEW)
+    z = codes.segment_transform(x / 500, y / 500, (x + F.col("xb") - F.col("xa")) / 500, (y + F.col("yb") - F.col("ya")) / 500, ALL)
     rounded = lambda part: F.transform(z, lambda w: F.round(w[part], 6) + F.lit(0.0))
     return layout(spark, sf_dir, "links").select("id", rounded("re").alias("re"), rounded("im").alias("im"))
 
 
-PAIRS = 16
+PAIRS = 32
 
 
 @query(
@@ -469,9 +580,10 @@ def identity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.identity_audit(table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), v.alias("v")), "brand", "v")
 
 
-@query(f"d AS (SELECT {canonical_sql('CAST(p_partkey AS VARCHAR)', 'p_name', 'p_brand')} AS digest FROM part), n AS (SELECT digest, (row_number() OVER (ORDER BY digest) - 1) // 500 AS chunk FROM d), c AS (SELECT chunk, count(*) AS lines, sha256(string_agg(digest, chr(10) ORDER BY digest)) AS h FROM n GROUP BY 1) SELECT CAST(sum(lines) AS BIGINT) AS rows, count(*) AS chunks, sha256(sha256('part' || chr(10) || 'v1') || chr(10) || string_agg(h, chr(10) ORDER BY chunk)) AS content_hash FROM c")
+@query(f"d AS (SELECT {canonical_sql('CAST(p_partkey AS VARCHAR)', 'p_name', 'p_brand', 'p_type', 'CAST(p_size AS VARCHAR)', 'CAST(CAST(p_retailprice AS DECIMAL(18, 4)) AS VARCHAR)')} AS digest FROM part), n AS (SELECT digest, (row_number() OVER (ORDER BY digest) - 1) // 500 AS chunk FROM d), c AS (SELECT chunk, count(*) AS lines, sha256(string_agg(digest, chr(10) ORDER BY digest)) AS h FROM n GROUP BY 1) SELECT CAST(sum(lines) AS BIGINT) AS rows, count(*) AS chunks, sha256(sha256('part' || chr(10) || 'v1') || chr(10) || string_agg(h, chr(10) ORDER BY chunk)) AS content_hash FROM c")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ids.content_hash(table(spark, sf_dir, "part"), ["part", "v1"], ["p_partkey", "p_name", "p_brand"], most_lines=500)
+    part = table(spark, sf_dir, "part").withColumn("p_retailprice", F.col("p_retailprice").cast("decimal(18, 4)"))
+    return ids.content_hash(part, ["part", "v1"], ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], most_lines=500)
 
 
 @query(f", {WIDE}, c AS ({CLIPPED}) SELECT id, col, row, round(((cx1 - cx0) * (cy1 - cy0))::DOUBLE, 6) AS area, round((cx0 + cx1) / 2, 6) AS x, round((cy0 + cy1) / 2, 6) AS y FROM c")
@@ -491,13 +603,14 @@ def _sinc(x: str) -> str:
 
 @query(
     ", s AS (SELECT id, (x1 - x0) / 500e0 AS w, (y1 - y0) / 500e0 AS h FROM boxes) SELECT id, list_transform(["
-    + ", ".join(f"w * h * ({_sinc(f'({u!r}::DOUBLE * w)')}) * ({_sinc(f'({v!r}::DOUBLE * h)')})" for u, v in FEW)
-    + "], lambda v: round(v, 6) + 0e0) AS re FROM s"
+    + ", ".join(f"w * h * ({_sinc(f'({u!r}::DOUBLE * w)')}) * ({_sinc(f'({v!r}::DOUBLE * h)')})" for u, v in ALL)
+    + f"], lambda v: round(v, 6) + 0e0) AS re, list_transform(range({len(ALL)}), lambda v: 0e0) AS im FROM s"
 )
 def polygon_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transforms of the boxes, summed over triangles; the SQL has the closed form of a rectangle about its centre."""
+    """Transforms of the boxes, summed over triangles; the SQL has the closed form of a rectangle about its centre, which has no imaginary part."""
     boxes = layout(spark, sf_dir, "boxes").withColumn("wkb", geometry.rectangle_wkb(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
-    return boxes.select("id", F.transform(geometry.fourier(F.col("wkb"), FEW)["re"], lambda v: F.round(v, 6) + F.lit(0.0)).alias("re"))
+    z = boxes.select("id", geometry.fourier(F.col("wkb"), ALL).alias("z"))
+    return z.select("id", *(F.transform(F.col("z")[part], lambda v: F.round(v, 6) + F.lit(0.0)).alias(part) for part in ("re", "im")))
 
 
 @query("SELECT count(*) AS features, 0 AS null_geometries, 0 AS unreadable, 'polygon' AS kinds, 0 AS multipart, CAST(5 * count(*) AS BIGINT) AS vertices, sum((x1 - x0) * (y1 - y0))::DOUBLE AS measure, min(x0)::DOUBLE AS xmin, min(y0)::DOUBLE AS ymin, max(x1)::DOUBLE AS xmax, max(y1)::DOUBLE AS ymax FROM boxes")

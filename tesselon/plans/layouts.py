@@ -20,9 +20,10 @@ BOXES = f"""SELECT id, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM (SELECT CAST(o_or
 NODES = f"""SELECT id, chain, j, (chain * 1733) % 4000 + 20 * CAST(floor((j + 1) / 2e0) AS BIGINT) + {_tile("chain", 20)} AS x, (chain * 2749) % 4000 + 20 * CAST(floor(j / 2e0) AS BIGINT) AS y
 FROM (SELECT CAST(c_custkey AS BIGINT) AS id, CAST(floor(c_custkey / 100e0) AS BIGINT) AS chain, CAST(c_custkey % 100 AS BIGINT) AS j FROM customer)"""
 LINKS = f"""SELECT a.id AS id, a.id AS from_node, b.id AS to_node, a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb FROM ({NODES}) a JOIN ({NODES}) b ON b.id = a.id + 1 AND b.chain = a.chain"""
+STREETS = f"""SELECT id, xa, ya, xa + (id * 37) % 161 - 80 AS xb, ya + (id * 53) % 141 - 70 AS yb FROM (SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey * 6007) % {TILE} + {_tile("c_custkey", 2000)} AS xa, (c_custkey * 3203) % {TILE} AS ya FROM customer)"""
 DISTRICTS = """SELECT CAST(n_nationkey AS BIGINT) AS district, n_name AS name, CAST(n_nationkey % 5 AS BIGINT) AS cx, CAST(floor(n_nationkey / 5e0) AS BIGINT) AS cy,
 CASE WHEN n_nationkey % 5 < 3 THEN 'train' WHEN n_nationkey % 5 = 3 THEN 'validation' ELSE 'test' END AS split FROM nation"""
-LAYOUTS = {"points": (POINTS, "part"), "boxes": (BOXES, "orders"), "nodes": (NODES, "customer"), "links": (LINKS, "customer"), "districts": (DISTRICTS, "nation")}
+LAYOUTS = {"points": (POINTS, "part"), "boxes": (BOXES, "orders"), "nodes": (NODES, "customer"), "links": (LINKS, "customer"), "streets": (STREETS, "customer"), "districts": (DISTRICTS, "nation")}
 
 
 def layout(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

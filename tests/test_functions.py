@@ -50,7 +50,9 @@ def test_category_path(spark):
 def test_text_rules(spark):
     df = spark.createDataFrame([(" n/a ",), ("007",), ("7",), (None,)], "v string")
     assert [tuple(r) for r in df.select(text.is_missing_token(F.col("v")), text.has_leading_zero(F.col("v"))).collect()] == [(True, False), (False, True), (False, False), (None, None)]
-    assert text.is_identifier_name("LINK_ID") and text.is_identifier_name("id") and not text.is_identifier_name("width")
+    odd = spark.createDataFrame([("",), ("  ",), (" 007 ",), ("none",), ("-",)], "v string")
+    assert [tuple(r) for r in odd.select(text.is_missing_token(F.col("v")), text.has_leading_zero(F.col("v"))).collect()] == [(True, False), (True, False), (False, True), (False, False), (False, False)]
+    assert all(map(text.is_identifier_name, ("LINK_ID", "id", "F_NODE", "t_node", "MyIdentifierCode"))) and not any(map(text.is_identifier_name, ("width", "KEY", "sortkey", "paid", "fid")))
     row = spark.sql("SELECT TIMESTAMP '2026-01-31 15:30:00' AS t").select(text.run_id(F.col("t"))).first()
     assert row[0] == "20260201_003000_KST"
 
@@ -168,3 +170,51 @@ def test_encoder(spark):
     m, p = geometry.features(geometry.transform(geometry.intrinsic(SHAPE)))
     row = spark.createDataFrame([(m.tolist(), p.tolist())], "m array<double>, p array<double>").select(encoder.shape_embedding(spark, F.col("m"), F.col("p"), weights)).first()[0]
     assert len(row) == 128 and abs(np.mean(row)) < 1e-5 and abs(np.std(row) - 1) < 1e-2
+
+
+def plain_hash(*fields):
+    """SHA-256 of fields, each as N or as S, its length in 8 bytes and its UTF-8."""
+    import hashlib
+
+    return hashlib.sha256(b"".join(b"N" if f is None else b"S" + len(f.encode()).to_bytes(8, "big") + f.encode() for f in fields)).hexdigest()
+
+
+def test_identities_hash_their_fields(spark):
+    """Each identity against a digest of its list of fields, worked out without the library."""
+    import hashlib
+
+    row = spark.range(1).select(
+        ids.window_id("d", "v1", "EPSG:5186", (0, "-12.50"), (500, 400.0), (250, 125), F.lit(-3), F.lit(7)).alias("window"),
+        ids.block_id("b", "EPSG:5186", 2000.0, F.lit(1), F.lit(-2)).alias("block"),
+        ids.observation_id(F.lit("w"), F.lit("poi"), F.lit("o")).alias("poi"), ids.observation_id(F.lit("w"), F.lit("road"), F.lit("o"), F.lit("p")).alias("road"),
+        ids.clip_part_id(F.lit("LineString"), F.lit("a" * 64), F.lit(2)).alias("part"), ids.district_id(F.lit("s"), F.lit("gu"), F.lit("11010")).alias("district"),
+        ids.node_id("n", F.lit("w"), F.lit("source"), F.lit("x"), F.lit(None)).alias("node"), ids.edge_id("e", F.lit("w"), F.lit("o"), F.lit("a"), F.lit("b")).alias("edge"),
+        ids.relation_context_id(F.lit("w"), "g1").alias("context"), ids.relation_context_id(F.lit("w"), "g1", 2).alias("view"), ids.relation_id(F.lit("c"), F.lit("s"), F.lit("t"), F.lit("SN")).alias("relation"),
+        ids.source_geometry_id(F.lit("o"), F.lit("f"), F.lit("g")).alias("geometry"),
+    ).first()
+    piped = lambda *f: hashlib.sha256("|".join(f).encode()).hexdigest()
+    assert row.asDict() == {
+        "window": plain_hash("d", "v1", "EPSG:5186", "0", "-12.5", "500", "400", "250", "125", "-3", "7"), "block": piped("b", "EPSG:5186", "2000", "1", "-2"), "poi": piped("w", "poi", "o"), "road": piped("w", "road", "o", "p"),
+        "part": plain_hash("clip_part_id", "LineString", "a" * 64, "2"), "district": plain_hash("district_id", "s", "gu", "11010"), "node": plain_hash("n", "w", "source", "x", None), "edge": plain_hash("e", "w", "o", "a", "b"),
+        "context": plain_hash("relation_context_id", "w", "original", None, "g1"), "view": plain_hash("relation_context_id", "w", "augmented", "2", "g1"), "relation": plain_hash("relation_id", "c", "s", "t", "SN"), "geometry": plain_hash("source_geometry_id", "o", "f", "g"),
+    }
+
+
+def test_array_paths_agree_with_the_parser(spark):
+    """Boxes, other convex quadrilaterals, reversed ones and concave shapes: transforms, clips, measures and points inside."""
+    shapes = [[(0, 0), (30, 0), (30, 20), (0, 20)], [(5, 5), (5, 45), (25, 45), (25, 5)], [(0, 0), (40, 10), (50, 60), (-10, 30)], [(0, 0), (40, 0), (10, 10), (0, 40)], [(0, 0), (10, 0), (10, 10)]]
+    data = [geometry.write_wkb(("polygon", [[np.array([*s, s[0]], float)]])) for s in shapes] + [None]
+    df = spark.createDataFrame([(i, d, 7.0, 9.0) for i, d in enumerate(data)], "i int, wkb binary, x double, y double").coalesce(1)
+    w = np.array(geometry.FREQUENCIES)
+    out = {r["i"]: r for r in df.select("i", geometry.fourier(F.col("wkb")).alias("z"), geometry.inspect(F.col("wkb")).alias("g"), geometry.clip_wkb(F.col("wkb"), F.lit(-1), F.lit(-1), F.lit(20), F.lit(15)).alias("cut"), geometry.covers_point(F.col("wkb"), F.col("x"), F.col("y")).alias("p")).collect()}
+    for i, d in enumerate(data[:-1]):
+        shape = geometry.read_wkb(d)
+        z = geometry.transform(geometry.intrinsic(shape), w)
+        assert np.allclose(out[i]["z"]["re"], z.real, atol=1e-9) and np.allclose(out[i]["z"]["im"], z.imag, atol=1e-9)
+        assert [out[i]["g"][c] for c in ("kind", "parts", "vertices")] == ["polygon", 1, len(shapes[i]) + 1]
+        assert [out[i]["g"][c] for c in ("measure", "x", "y", "xmin", "ymin", "xmax", "ymax")] == pytest.approx([geometry.area(shape), *geometry.representative(shape), *geometry.box(shape)])
+        cut = geometry.clip(shape, -1, -1, 20, 15)
+        assert bytes(out[i]["cut"]) == geometry.write_wkb(geometry.normalized(cut))
+        assert out[i]["p"] == (geometry.locate(np.array([[7.0, 9.0]]), shape)[0] >= 0)
+    assert out[5]["z"]["re"] is None or out[5]["z"] is None
+    assert (out[5]["cut"], out[5]["p"]) == (None, None)

@@ -16,7 +16,7 @@ def rows(df):
 
 
 @pytest.fixture(scope="module")
-def scene(spark):
+def town(spark):
     """Two boxes, two road parts and four points of one window, with the relations worked out by hand."""
     boxes = spark.createDataFrame([(0, 0, 1, 0, 0, 10, 10), (0, 0, 2, 20, 0, 30, 10)], "col long, row long, id long, cx0 long, cy0 long, cx1 long, cy1 long")
     points = spark.createDataFrame([(0, 0, 1, 5, 5), (0, 0, 2, 10, 5), (0, 0, 3, 100, 100), (0, 0, 4, 102, 100)], "col long, row long, id long, x long, y long")
@@ -24,13 +24,13 @@ def scene(spark):
     return boxes, points, roads
 
 
-def test_containment_holds_the_boundary(scene):
-    boxes, points, _ = scene
+def test_containment_holds_the_boundary(town):
+    boxes, points, _ = town
     assert rows(relations.containment(boxes, points).select("kind", "src", "dst")) == [("CNT", 1, 1), ("CNT", 1, 2), ("WIT", 1, 1), ("WIT", 2, 1)]
 
 
-def test_connection_by_node_within_a_window(scene):
-    assert rows(relations.connections(scene[2]).select("col", "src", "dst")) == [(0, 1, 2), (0, 2, 1)]
+def test_connection_by_node_within_a_window(town):
+    assert rows(relations.connections(town[2]).select("col", "src", "dst")) == [(0, 1, 2), (0, 2, 1)]
 
 
 def test_intersection_leaves_out_containment(spark):
@@ -57,15 +57,15 @@ def test_nearest_matches_brute_force(spark):
     assert rows(relations.nearest(df, radius, k).select("src_type", "src", "dst_type", "dst", "distance")) == sorted(expected, key=repr)
 
 
-def test_pois_have_their_own_pool(scene):
-    points = scene[1].select(F.lit("poi").alias("object_type"), "id", *(F.col(c[0]).alias(c) for c in ("x0", "y0", "x1", "y1")))
+def test_pois_have_their_own_pool(town):
+    points = town[1].select(F.lit("poi").alias("object_type"), "id", *(F.col(c[0]).alias(c) for c in ("x0", "y0", "x1", "y1")))
     assert rows(relations.nearest(points, {"poi": 50}, {"poi": 8}).select("src", "dst")) == [(1, 2), (2, 1), (3, 4), (4, 3)]
 
 
-def test_graph_metrics(scene, spark):
+def test_graph_metrics(town, spark):
     nodes = spark.createDataFrame([(0, 0, "road", 1), (0, 0, "road", 2), (0, 0, "road", 2), (0, 0, "road", 9)], "col long, row long, object_type string, id long")
     extra = spark.createDataFrame([(0, 0, "SN", "poi", 1, "road", 1, 1.0), (0, 0, "SN", "road", 2, "road", 2, 0.0), (0, 0, "SN", "road", 2, "road", 2, 0.0)], "col long, row long, kind string, src_type string, src long, dst_type string, dst long, distance double")
-    got = dict(rows(relations.graph_metrics(nodes, relations.connections(scene[2]).unionByName(extra))))
+    got = dict(rows(relations.graph_metrics(nodes, relations.connections(town[2]).unionByName(extra))))
     assert got == {"nodes": 4, "duplicate_nodes": 1, "isolated_nodes": 1, "dangling_nodes": 1, "edges": 5, "duplicate_edges": 1, "self_loops": 2, "forbidden_pairs": 1}
 
 
@@ -95,7 +95,7 @@ def test_attribute_join_is_strict(spark):
 def test_profiles_on_odd_values(spark):
     df = spark.createDataFrame([(None,), ("",), (" a",), ("NULL",), ("007",), ("-1",), ("0",), ("x",), ("x",)], "v string")
     r = profiles.column_profile(df, "v").first()
-    assert (r["rows"], r["nulls"], r["distinct"], r["duplicates"], r["empty"], r["padded"], r["missing_tokens"], r["leading_zeros"], r["negative"], r["zero"], r["id_candidate"]) == (9, 1, 7, 1, 1, 1, 1, 1, 1, 1, False)
+    assert (r["rows"], r["nulls"], r["distinct"], r["duplicates"], r["empty"], r["padded"], r["missing_tokens"], r["leading_zeros"], r["negative"], r["zero"], r["id_candidate"]) == (9, 1, 7, 1, 1, 1, 2, 1, 1, 1, False)
     assert profiles.column_profile(df.limit(0), "v").count() == 0
     n = profiles.numeric_summary(spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (None,), (3.0,)], "v double"), "v").first()
     assert (n["n"], n["mean"], n["std"], n["q50"]) == (2, 2.0, 1.0, 2.0)
@@ -207,3 +207,76 @@ def test_split_search_finds_the_brute_force_best(spark):
     assigned = splits.assignment(found)
     assert all(r["ok"] for r in splits.validate(assigned, plan).collect()) and assigned.count() == 25
     assert rows(splits.assignment(splits.search(spark, o, block=71))) == rows(assigned)
+
+
+def test_quantiles_match_numpy(spark):
+    """Groups of one value, of equal values, of a few and of many."""
+    rng = np.random.default_rng(8)
+    groups = {"one": [5.0], "equal": [2.0] * 9, "few": [1.0, 2.0, 10.0], "many": rng.normal(size=3000).round(2).tolist(), "wide": (10 ** rng.uniform(-9, 9, 500)).tolist()}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    got = {r["g"]: r for r in profiles.exact_quantiles(df, ["g"], "v", profiles.QUANTILES, cells=16).collect()}
+    for g, values in groups.items():
+        assert [got[g][n] for n in profiles.QUANTILES] == pytest.approx(np.quantile(values, list(profiles.QUANTILES.values())))
+
+
+def test_shapes_meet_and_lie_apart(spark):
+    """Boxes and segments, touching and slanting, against a plain walk over edges and fine steps along them."""
+    rng = np.random.default_rng(12)
+    objects = []
+    for i in range(70):
+        a, d = rng.integers(0, 60, 2).tolist(), rng.integers(0, 14, 2).tolist()
+        if i % 2:
+            objects.append((0, 0, "building", i, *map(float, (a[0], a[1], a[0] + d[0] + 1, a[1] + d[1] + 1)), None, None, None, None))
+        else:
+            b = [a[0] + d[0] - 7, a[1] + d[1] - 7]
+            objects.append((0, 0, "road", i, *map(float, (min(a[0], b[0]), min(a[1], b[1]), max(a[0], b[0]), max(a[1], b[1]), *a, *b))))
+    df = spark.createDataFrame(objects, "col long, row long, object_type string, id long, x0 double, y0 double, x1 double, y1 double, ax double, ay double, bx double, by double")
+
+    def points(o):
+        t = np.linspace(0, 1, 201)[:, None]
+        if o[8] is not None:
+            return np.array(o[8:10]) * (1 - t) + np.array(o[10:12]) * t
+        x, y = np.meshgrid(np.linspace(o[4], o[6], 31), np.linspace(o[5], o[7], 31))
+        return np.stack([x.ravel(), y.ravel()], axis=1)
+
+    held = {(r["src"], r["dst"]): r["distance"] for r in relations.nearest(df, {"building": 30, "road": 30}, {"building": 999, "road": 999}, ["col", "row"]).collect()}
+    met = {(r["src"], r["dst"]) for r in relations.shape_intersections(df).collect()}
+    clouds = {o[3]: points(o) for o in objects}
+    for o in objects[:30]:
+        for p in objects[:30]:
+            if o[3] < p[3]:
+                near = np.sqrt(((clouds[o[3]][:, None] - clouds[p[3]][None]) ** 2).sum(2).min())
+                exact = held.get((o[3], p[3]))
+                assert (near > 29.3) if exact is None else (exact - 1e-9 <= near <= exact + 0.7)
+                if (o[3], p[3]) in met:
+                    assert exact == 0
+    assert met and all((b, a) in met for a, b in met)
+
+
+def test_a_segment_within_a_box_or_on_another_is_no_intersection(spark):
+    seg = lambda i, *e: (0, 0, "road", i, float(min(e[0], e[2])), float(min(e[1], e[3])), float(max(e[0], e[2])), float(max(e[1], e[3])), *map(float, e))
+    box = (0, 0, "building", 1, 0.0, 0.0, 10.0, 10.0, None, None, None, None)
+    df = spark.createDataFrame([box, seg(2, 1, 1, 9, 9), seg(3, 5, 5, 20, 20), seg(4, 10, 10, 12, 30), seg(5, 0, 12, 12, 24), seg(6, 2, 2, 3, 3), seg(7, 30, 30, 40, 35)], "col long, row long, object_type string, id long, x0 double, y0 double, x1 double, y1 double, ax double, ay double, bx double, by double")
+    pairs = {(r["src"], r["dst"]) for r in relations.shape_intersections(df).collect() if r["src"] < r["dst"]}
+    assert pairs == {(1, 3), (1, 4), (2, 3), (3, 4), (4, 5)}
+
+
+def test_allowable_windows_keep_their_distance(spark):
+    """Squares of 1,000: a window just the margin away from another split is in, one nearer is not."""
+    districts = spark.createDataFrame([(c, r, "train" if c < 3 else "test") for c in range(5) for r in range(5)], "cx long, cy long, split string")
+    windows = spark.createDataFrame([(c, 8) for c in range(6, 16)], "col long, row long")
+    got = {r["col"]: (r["split"], r["reason"]) for r in observations.allowable_windows(windows, districts, size=250, stride=250).collect()}
+    assert got[10] == got[11] == ("train", None) and got[12] == (None, "across splits") and got[13] == got[14] == ("test", None)
+    got = {r["col"]: (r["split"], r["reason"]) for r in observations.allowable_windows(windows, districts, margin=126, size=250, stride=250).collect()}
+    assert got[10] == ("train", None) and got[11] == got[13] == (None, "too near another split") and got[12] == (None, "across splits")
+    some = districts.filter("cx <> 2")
+    assert {r["col"]: r["reason"] for r in observations.allowable_windows(windows, some, size=250, stride=250).collect()}[10] == "no district"
+
+
+def test_candidates_want_sound_identities(spark):
+    boxes = spark.createDataFrame([(1, 0, 0, 10, 10), (2, 5, 5, 9, 9), (3, 2000, 0, 2010, 10)], "id long, x0 long, y0 long, x1 long, y1 long")
+    windows = spark.createDataFrame([(0, 0), (0, 0)], "col long, row long")
+    found = observations.query_candidates(boxes, windows, spark.createDataFrame([(2, "b"), (3, "c")], "id long, object_id string")).collect()
+    assert [(r["id"], r["object_id"]) for r in found] == [(2, "b"), (1, None)]
+    with pytest.raises(Exception, match="identities must be unique"):
+        observations.query_candidates(boxes, windows, spark.createDataFrame([(2, "b"), (2, "c")], "id long, object_id string")).collect()
