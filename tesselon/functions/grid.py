@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIZE, STRIDE, BLOCK = 500, 250, 2000
+#: Windows a side of a group: what one call of a kernel works out. The columns that name a row's group, where it has one.
+GROUP, GROUPED = 10, ["_group_col", "_group_row"]
 
 
 def lo(value: Column, size: float = SIZE, stride: float = STRIDE) -> Column:
@@ -21,8 +23,35 @@ def hi(value: Column, size: float = SIZE, stride: float = STRIDE) -> Column:
 
 
 def windows_of(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float = SIZE, stride: float = STRIDE) -> DataFrame:
-    """A row for each window that a bounding box reaches, boundary included: adds col and row. No join, no shuffle."""
-    return df.withColumn("col", F.explode(F.sequence(lo(x0, size, stride), hi(x1, size, stride)))).withColumn("row", F.explode(F.sequence(lo(y0, size, stride), hi(y1, size, stride))))
+    """A row for each window that a bounding box reaches, boundary included: adds col and row. No join, no shuffle.
+
+    Rows of ``in_groups`` get the windows of their group."""
+    out = df
+    for name, group, a, b in (("col", GROUPED[0], x0, x1), ("row", GROUPED[1], y0, y1)):
+        first, last = lo(a, size, stride), hi(b, size, stride)
+        if group in df.columns:
+            first, last = F.greatest(first, F.col(group) * GROUP), F.least(last, F.col(group) * GROUP + (GROUP - 1))
+        out = out.withColumn(name, F.explode(F.sequence(first, last)))
+    return out
+
+
+def in_groups(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float = SIZE, stride: float = STRIDE) -> DataFrame:
+    """A row for each group of ``GROUP`` x ``GROUP`` windows that a bounding box reaches, partitioned by group.
+
+    Rows are exchanged before they are repeated for their windows, so the exchange holds each about 1.2 times and what is
+    worked out of a window needs no other. The number of partitions is fixed: few bytes here are much work later."""
+    spread = lambda a, b: F.explode(F.sequence(cell(lo(a, size, stride), GROUP), cell(hi(b, size, stride), GROUP)))
+    return spread_out(df.withColumn(GROUPED[0], spread(x0, x1)).withColumn(GROUPED[1], spread(y0, y1)), *GROUPED)
+
+
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Partitioned by the keys over as many tasks as shuffles have, whatever the bytes: for rows that are much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def grouped(df: DataFrame) -> DataFrame:
+    """With the groups of rows that have a window (col, row)."""
+    return df if GROUPED[0] in df.columns else df.withColumns({g: cell(F.col(c), GROUP) for g, c in zip(GROUPED, ("col", "row"))})
 
 
 def bounds(size: float = SIZE, stride: float = STRIDE) -> list[Column]:

@@ -21,7 +21,7 @@ def clip_boxes(boxes: DataFrame, size: float = grid.SIZE, stride: float = grid.S
     half = size / 2
     col, row = F.col("col") * stride, F.col("row") * stride
     cut = wide.select(
-        "id", "col", "row", F.greatest(F.col("x0"), col - half).alias("cx0"), F.greatest(F.col("y0"), row - half).alias("cy0"),
+        "id", "col", "row", *(c for c in grid.GROUPED if c in boxes.columns), F.greatest(F.col("x0"), col - half).alias("cx0"), F.greatest(F.col("y0"), row - half).alias("cy0"),
         F.least(F.col("x1"), col + half).alias("cx1"), F.least(F.col("y1"), row + half).alias("cy1"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("double").alias("source_area"),
     )
     area = (F.col("cx1") - F.col("cx0")) * (F.col("cy1") - F.col("cy0"))

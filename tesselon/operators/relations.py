@@ -6,14 +6,16 @@ covers the other; CON: road parts with a node in common. Directed rows (kind, sr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids, shapes
+from ..functions import grid, ids, near, shapes
 
 COLUMNS = ["kind", "src_type", "src", "dst_type", "dst", "distance"]
 BOTH = [("a", "b"), ("b", "a")]
-CELL = 125
 
 
 def nearest(objects: DataFrame, radius: dict[str, float], k: dict[str, int], keys: list[str] | None = None) -> DataFrame:
@@ -21,10 +23,13 @@ def nearest(objects: DataFrame, radius: dict[str, float], k: dict[str, int], key
 
     objects: (object_type, id, x0, y0, x1, y1), points having x0 = x1 and y0 = y1; and, where some are segments, their
     ends (ax, ay, bx, by), null for boxes. Distances are between the shapes themselves. With ``keys`` (col, row) objects
-    meet only within a window and are ranked for each. Objects meet in cells as wide as the greatest radius, each source in the one cell of its lower corner and each candidate in
+    meet only within a window and are ranked for each, all windows of a group in one kernel; rows without an id, a type or a place
+    are left out. Otherwise objects meet in cells as wide as the greatest radius, each source in the one cell of its lower corner and each candidate in
     every cell that its surroundings reach, so that no pair is found twice and nothing is compared across the plane.
     """
-    keys = keys or []
+    if keys:
+        return in_windows(objects, keys, "SN", lambda t: near.nearest(t, keys, radius, k))
+    keys = []
     side = max(radius.values())
     reach = F.coalesce(*(F.when(F.col("object_type") == t, F.lit(float(r))) for t, r in radius.items()))
     most = F.coalesce(*(F.when(F.col("object_type") == t, F.lit(n)) for t, n in k.items()))
@@ -50,6 +55,16 @@ def nearest(objects: DataFrame, radius: dict[str, float], k: dict[str, int], key
     return distinct_relations(both_ways(chosen.withColumn("distance", F.sqrt("square")), "SN", keys), keys)
 
 
+def in_windows(objects: DataFrame, keys: list[str], kind: str, kernel: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """Relations that a kernel finds in the windows of each group. Objects of ``grid.in_groups`` aren't exchanged again."""
+    used = ["object_type", "id", *near.BOX, *(near.LINE if "ax" in objects.columns else ())]
+    sound = objects.filter(F.col("object_type").isNotNull() & F.col("id").isNotNull() & (F.abs(F.col("x0") + F.col("y0") + F.col("x1") + F.col("y1")).cast("double") < float("inf")))
+    types = {f.name: f.dataType.simpleString() for f in objects.schema}
+    schema = ", ".join([*(f"{c} {types[c]}" for c in keys), "src_type string", f"src {types['id']}", "dst_type string", f"dst {types['id']}", "distance double"])
+    found = grid.grouped(sound).select(*grid.GROUPED, *keys, *used).groupBy(*grid.GROUPED).applyInArrow(lambda t: kernel(t), schema)
+    return found.select(*keys, F.lit(kind).alias("kind"), "src_type", "src", "dst_type", "dst", "distance")
+
+
 def both_ways(pairs: DataFrame, kind: str, keys: list[str] | None = None, back: str | None = None) -> DataFrame:
     """Each pair (a_type, a, b_type, b, distance) as two directed rows, the second of kind ``back`` if that is given."""
     rows = [F.struct(F.lit(kind if (a, b) == BOTH[0] else back or kind).alias("kind"), F.col(f"{a}_type").alias("src_type"), F.col(a).alias("src"), F.col(f"{b}_type").alias("dst_type"), F.col(b).alias("dst")) for a, b in BOTH]
@@ -71,41 +86,25 @@ def containment(boxes: DataFrame, points: DataFrame) -> DataFrame:
 
 def intersections(boxes: DataFrame) -> DataFrame:
     """INT of clipped boxes of a window: they meet, edges included, and neither covers the other."""
-    a, b = boxes.alias("a"), boxes.alias("b")
-    c = lambda s, n: F.col(f"{s}.{n}")
-    meets = (c("a", "cx0") <= c("b", "cx1")) & (c("b", "cx0") <= c("a", "cx1")) & (c("a", "cy0") <= c("b", "cy1")) & (c("b", "cy0") <= c("a", "cy1"))
-    covers = lambda s, t: (c(s, "cx0") <= c(t, "cx0")) & (c(s, "cy0") <= c(t, "cy0")) & (c(s, "cx1") >= c(t, "cx1")) & (c(s, "cy1") >= c(t, "cy1"))
-    on = (c("a", "col") == c("b", "col")) & (c("a", "row") == c("b", "row")) & (c("a", "id") < c("b", "id")) & meets & ~covers("a", "b") & ~covers("b", "a")
-    pairs = a.join(b, on).select(c("a", "col").alias("col"), c("a", "row").alias("row"), F.lit("building").alias("a_type"), c("a", "id").alias("a"), F.lit("building").alias("b_type"), c("b", "id").alias("b"), F.lit(None).cast("double").alias("distance"))
-    return both_ways(pairs, "INT", ["col", "row"])
+    return shape_intersections(boxes.select("col", "row", *(c for c in grid.GROUPED if c in boxes.columns), F.lit("building").alias("object_type"), "id", *(F.col(f"c{c}").alias(c) for c in near.BOX)))
 
 
 def pieces(boxes: DataFrame, segments: DataFrame) -> DataFrame:
-    """(col, row, object_type, id, x0, y0, x1, y1, ax, ay, bx, by): clipped boxes and clipped segments as shapes of their windows."""
+    """(col, row, object_type, id, x0, y0, x1, y1, ax, ay, bx, by): clipped boxes and clipped segments as shapes of their windows, with their groups if they have any."""
+    groups = [c for c in grid.GROUPED if c in boxes.columns]
     none = [F.lit(None).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")]
-    building = boxes.select("col", "row", F.lit("building").alias("object_type"), "id", *(F.col(f"c{c}").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), *none)
+    building = boxes.select(*groups, "col", "row", F.lit("building").alias("object_type"), "id", *(F.col(f"c{c}").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), *none)
     road = segments.select(
-        "col", "row", F.lit("road"), "id", F.least("px", "qx").cast("double"), F.least("py", "qy").cast("double"), F.greatest("px", "qx").cast("double"), F.greatest("py", "qy").cast("double"),
+        *groups, "col", "row", F.lit("road"), "id", F.least("px", "qx").cast("double"), F.least("py", "qy").cast("double"), F.greatest("px", "qx").cast("double"), F.greatest("py", "qy").cast("double"),
         *(F.col(c).cast("double") for c in ("px", "py", "qx", "qy")),
     )
     return building.union(road)
 
 
 def shape_intersections(objects: DataFrame) -> DataFrame:
-    """INT of the shapes of a window, buildings and roads alike: they meet, touching included, and neither covers the other.
-
-    Shapes meet in cells of ``CELL`` within their window, each pair in the one cell of its greater lower corner."""
-    spread = lambda a, b: F.sequence(F.floor(F.col(a) / CELL).cast("long"), F.floor(F.col(b) / CELL).cast("long"))
-    placed = objects.withColumn("cx", F.explode(spread("x0", "x1"))).withColumn("cy", F.explode(spread("y0", "y1")))
-    a, b, s, t = placed.alias("a"), placed.alias("b"), shapes.Shape("a"), shapes.Shape("b")
-    same = F.lit(True)
-    for c in ("col", "row", "cx", "cy"):
-        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    owner = (F.floor(F.greatest(s.x0, t.x0) / CELL) == F.col("a.cx")) & (F.floor(F.greatest(s.y0, t.y0) / CELL) == F.col("a.cy"))
-    order = F.struct("a.object_type", "a.id") < F.struct("b.object_type", "b.id")
-    pairs = a.join(b, same & owner & order & shapes.meet(s, t) & ~shapes.cover(s, t) & ~shapes.cover(t, s))
-    pairs = pairs.select("a.col", "a.row", F.col("a.object_type").alias("a_type"), F.col("a.id").alias("a"), F.col("b.object_type").alias("b_type"), F.col("b.id").alias("b"), F.lit(None).cast("double").alias("distance"))
-    return both_ways(pairs, "INT", ["col", "row"])
+    """INT of the shapes of a window, buildings and roads alike: they meet, touching included, and neither covers the other."""
+    keys = ["col", "row"]
+    return in_windows(objects, keys, "INT", lambda t: near.intersections(t, keys))
 
 
 def in_order(relations: DataFrame, context: Column, geometry_version: str) -> DataFrame:

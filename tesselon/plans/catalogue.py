@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codes, geometry, grid, ids, text
+from ..functions import codes, geometry, grid, ids, near, text
 from ..operators import audits, observations, planning, profiles, relations, spatial, splits, zonal
 from ..sources import layers, mapping
 from .layouts import TILE, layout, with_layouts
@@ -270,8 +270,8 @@ def relation_sn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = observations.points_in_windows(layout(spark, sf_dir, "points"))
-    return points.select("col", "row", F.lit("poi").alias("object_type"), "id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    points = observations.points_in_windows(grid.in_groups(layout(spark, sf_dir, "points"), *map(F.col, "xyxy")))
+    return points.select(*grid.GROUPED, "col", "row", F.lit("poi").alias("object_type"), "id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
 
 
 # Clipped shapes, each as its edges; pairs are judged edge by edge and point by point, with no use of boxes' sides.
@@ -294,7 +294,9 @@ AND NOT bool_or(ta = 'building' AND {A_HOLDS}) AND NOT bool_or(tb = 'building' A
 
 def street_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buildings and slanting streets, as far as they lie in each window."""
-    return relations.pieces(observations.clip_boxes(layout(spark, sf_dir, "boxes")), observations.clip_segments(layout(spark, sf_dir, "streets")))
+    boxes = grid.in_groups(layout(spark, sf_dir, "boxes"), *map(F.col, near.BOX))
+    streets = grid.in_groups(layout(spark, sf_dir, "streets"), *(f(a, b) for f in (F.least, F.greatest) for a, b in (("xa", "xb"), ("ya", "yb"))))
+    return relations.pieces(observations.clip_boxes(boxes), observations.clip_segments(streets))
 
 
 @query(
