@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,51 @@ def segment_transform(xa: Column, ya: Column, xb: Column, yb: Column, frequencie
     return F.transform(waves, at)
 
 
+def rounded(v: np.ndarray, places: int = 6) -> np.ndarray:
+    """To so many decimals, halves away from 0; never -0."""
+    t = v * 10.0**places
+    t += np.copysign(0.5, t)
+    np.trunc(t, out=t)
+    t /= 10.0**places
+    t += 0.0
+    return t
+
+
+def sinc_of(x: np.ndarray) -> np.ndarray:
+    """``sinc`` of an array."""
+    small = np.abs(x) < 1e-12
+    x = np.where(small, 1.0, x * math.pi)
+    return np.where(small, 1.0, np.sin(x) / x)
+
+
+def lists(rows: np.ndarray, known: np.ndarray | None = None) -> pa.Array:
+    """The rows of an array as lists, null where they aren't known."""
+    bounds = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
+    return pa.ListArray.from_arrays(bounds, pa.array(np.ascontiguousarray(rows).reshape(-1)), mask=None if known is None or known.all() else pa.array(~known))
+
+
+def segment_fourier(xa: Column, ya: Column, xb: Column, yb: Column, frequencies: list[tuple[float, float]] = FREQUENCIES, places: int | None = None) -> Column:
+    """struct(re, im): ``segment_transform`` at all frequencies as two arrays, rounded to ``places``. Worked out on arrays of a
+    batch: as native array functions, whose bodies are interpreted, it took over a millisecond a segment."""
+    u, v = np.array(frequencies).T
+
+    @F.arrow_udf("re array<double>, im array<double>")
+    def run(*ends: pa.Array) -> pa.Array:
+        ax, ay, bx, by = (c.to_numpy(zero_copy_only=False)[:, None] for c in ends)
+        known = ~np.isnan(ax + ay + bx + by)[:, 0]
+        re, im = (np.empty((len(ax), len(u))) for _ in "ri")
+        for k in range(0, len(ax), 1024):
+            x0, y0, x1, y1 = (c[k : k + 1024] for c in (ax, ay, bx, by))
+            size = np.hypot(x1 - x0, y1 - y0) * sinc_of(u * (x1 - x0) + v * (y1 - y0))
+            turn = (u * ((x0 + x1) / 2) + v * ((y0 + y1) / 2)) * (-2 * math.pi)
+            for out, part in ((re, np.cos), (im, np.sin)):
+                found = size * part(turn)
+                out[k : k + 1024] = found if places is None else rounded(found, places)
+        return pa.StructArray.from_arrays([lists(re, known), lists(im, known)], ["re", "im"])
+
+    return run(*(c.cast("double") for c in (xa, ya, xb, yb)))
+
+
 def magnitude(values: Column) -> Column:
     """ln(1 + |z|) of (re, im) values."""
     return F.transform(values, lambda z: F.log1p(F.hypot(z["re"], z["im"])))

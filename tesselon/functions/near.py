@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .codes import rounded
 from .shapes import _cross, _from_segment
 
 MOST = 1 << 19
@@ -131,13 +132,6 @@ def line_gap(s: dict, t: dict) -> np.ndarray:
     return out
 
 
-def rounded(v: np.ndarray, places: int = 6) -> np.ndarray:
-    """To so many decimals, halves away from 0; never -0."""
-    scale = 10.0**places
-    t = v * scale
-    return np.trunc(t + np.copysign(0.5, t)) / scale + 0.0
-
-
 def nearest(table: pa.Table, keys: list[str], radius: dict[str, float], k: dict[str, int], most: int = MOST) -> pa.Table:
     """``relations.nearest`` of the windows of a table."""
     s = Shapes(table, keys)

@@ -551,9 +551,8 @@ def _wave(u: float, v: float) -> str:
 def segment_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transforms of links at all frequencies, from the corner of the square that holds their start."""
     x, y = F.col("xa") % 500, F.col("ya") % 500
-    z = codes.segment_transform(x / 500, y / 500, (x + F.col("xb") - F.col("xa")) / 500, (y + F.col("yb") - F.col("ya")) / 500, ALL)
-    rounded = lambda part: F.transform(z, lambda w: F.round(w[part], 6) + F.lit(0.0))
-    return layout(spark, sf_dir, "links").select("id", rounded("re").alias("re"), rounded("im").alias("im"))
+    z = codes.segment_fourier(x / 500, y / 500, (x + F.col("xb") - F.col("xa")) / 500, (y + F.col("yb") - F.col("ya")) / 500, ALL, 6)
+    return layout(spark, sf_dir, "links").select("id", z.alias("z")).select("id", "z.re", "z.im")
 
 
 PAIRS = 32

@@ -7,6 +7,9 @@ of 5,000 units a side as keys grow: density, and so the work for a row, stays th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import grid
 
 TILE = 5000
 
@@ -27,10 +30,21 @@ LAYOUTS = {"points": (POINTS, "part"), "boxes": (BOXES, "orders"), "nodes": (NOD
 
 
 def layout(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "links":
+        return _links(layout(spark, sf_dir, "nodes"))
     sql, table = LAYOUTS[name]
     return spark.sql(sql.replace(f"FROM {table}", "FROM {source}"), source=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def _links(nodes: DataFrame) -> DataFrame:
+    """``LINKS`` of nodes. As SQL the join would broadcast the nodes, however many, and leave the links in as few tasks as the
+    file has row groups; here both sides are exchanged, and the links lie in as many as shuffles have."""
+    a = grid.spread_out(nodes.withColumn("next", F.col("id") + 1), "next", "chain").alias("a")
+    b = grid.spread_out(nodes, "id", "chain").alias("b")
+    joined = a.join(b.hint("merge"), (F.col("b.id") == F.col("a.next")) & (F.col("b.chain") == F.col("a.chain")))
+    return joined.select("a.id", F.col("a.id").alias("from_node"), F.col("b.id").alias("to_node"), F.col("a.x").alias("xa"), F.col("a.y").alias("ya"), F.col("b.x").alias("xb"), F.col("b.y").alias("yb"))
+
+
 def with_layouts(sql: str) -> str:
     """DuckDB SQL that may name the layouts as tables. SQL that begins with ", name AS (" goes on with the WITH clause."""
     import re
