@@ -609,9 +609,8 @@ def _sinc(x: str) -> str:
 )
 def polygon_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transforms of the boxes, summed over triangles; the SQL has the closed form of a rectangle about its centre, which has no imaginary part."""
-    boxes = layout(spark, sf_dir, "boxes").withColumn("wkb", geometry.rectangle_wkb(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
-    z = boxes.select("id", geometry.fourier(F.col("wkb"), ALL).alias("z"))
-    return z.select("id", *(F.transform(F.col("z")[part], lambda v: F.round(v, 6) + F.lit(0.0)).alias(part) for part in ("re", "im")))
+    boxes = grid.spread_out(layout(spark, sf_dir, "boxes"), "id").withColumn("wkb", geometry.rectangle_wkb(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
+    return boxes.select("id", geometry.fourier(F.col("wkb"), ALL, 6).alias("z")).select("id", "z.re", "z.im")
 
 
 @query("SELECT count(*) AS features, 0 AS null_geometries, 0 AS unreadable, 'polygon' AS kinds, 0 AS multipart, CAST(5 * count(*) AS BIGINT) AS vertices, sum((x1 - x0) * (y1 - y0))::DOUBLE AS measure, min(x0)::DOUBLE AS xmin, min(y0)::DOUBLE AS ymin, max(x1)::DOUBLE AS xmax, max(y1)::DOUBLE AS ymax FROM boxes")
