@@ -18,20 +18,21 @@ def exact_quantiles(values: DataFrame, by: list[str], v: str, probabilities: dic
     """by and a column for each quantile, interpolated between neighbours; v must hold finite numbers.
 
     Values are counted in ``cells`` equal parts of each group's range; then only the parts in which a wanted rank lies are
-    counted by value. So no task holds all values of a group, and no value is estimated.
+    counted by value. So no task holds all values of a group, and no value is estimated. Ranges and wanted parts, a few rows
+    a group, are broadcast: joined by exchange, all values of a group would go through one task. Groups should be fewer than a million.
     """
     span = values.groupBy(*by).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count("*").alias("_n"))
     part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(v) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells), F.lit(cells - 1))).otherwise(F.lit(0)).cast("int")
-    placed = values.select(*by, v).join(span.select(*by, "_lo", "_hi"), by).select(*by, v, part.alias("_cell"))
+    placed = values.select(*by, v).join(F.broadcast(span.select(*by, "_lo", "_hi")), by).select(*by, v, part.alias("_cell"))
     up_to = lambda keys, order, count: F.sum(count).over(Window.partitionBy(*keys).orderBy(order)) - F.col(count)
     counts = placed.groupBy(*by, "_cell").agg(F.count("*").alias("_c")).withColumn("_before", up_to(by, "_cell", "_c"))
     asked = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), ((F.col("_n") - 1) * F.lit(float(p))).alias("at")) for n, p in probabilities.items())))
     ranks = span.select(*by, asked.alias("_q")).select(*by, F.col("_q.name").alias("_name"), F.col("_q.at").alias("_at"))
     ranks = ranks.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
-    wanted = ranks.join(counts, by).filter("_rank >= _before AND _rank < _before + _c").select(*by, "_name", "_at", "_rank", "_cell", "_before")
-    inside = placed.join(wanted.select(*by, "_cell").distinct(), [*by, "_cell"], "left_semi").groupBy(*by, "_cell", v).agg(F.count("*").alias("_m"))
+    wanted = counts.join(F.broadcast(ranks), by).filter("_rank >= _before AND _rank < _before + _c").select(*by, "_name", "_at", "_rank", "_cell", "_before")
+    inside = placed.join(F.broadcast(wanted.select(*by, "_cell").distinct()), [*by, "_cell"], "left_semi").groupBy(*by, "_cell", v).agg(F.count("*").alias("_m"))
     inside = inside.withColumn("_within", up_to([*by, "_cell"], v, "_m"))
-    found = wanted.join(inside, [*by, "_cell"]).filter("_rank >= _before + _within AND _rank < _before + _within + _m")
+    found = inside.join(F.broadcast(wanted), [*by, "_cell"]).filter("_rank >= _before + _within AND _rank < _before + _within + _m")
     low, high = F.min_by(v, "_rank"), F.max_by(v, "_rank")
     each = found.groupBy(*by, "_name").agg((low + (high - low) * (F.first("_at") - F.min("_rank"))).alias("_value"))
     return each.groupBy(*by).agg(*(F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in probabilities))
