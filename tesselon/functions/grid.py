@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 SIZE, STRIDE, BLOCK = 500, 250, 2000
 #: Windows a side of a group: what one call of a kernel works out. The columns that name a row's group, where it has one.
 GROUP, GROUPED = 10, ["_group_col", "_group_row"]
+PART = 1 << 19
 
 
 def lo(value: Column, size: float = SIZE, stride: float = STRIDE) -> Column:
@@ -35,18 +36,31 @@ def windows_of(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, si
     return out
 
 
-def in_groups(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float = SIZE, stride: float = STRIDE) -> DataFrame:
+def in_groups(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float = SIZE, stride: float = STRIDE, parts: int | None = None) -> DataFrame:
     """A row for each group of ``GROUP`` x ``GROUP`` windows that a bounding box reaches, partitioned by group.
 
     Rows are exchanged before they are repeated for their windows, so the exchange holds each about 1.2 times and what is
-    worked out of a window needs no other. The number of partitions is fixed: few bytes here are much work later."""
+    worked out of a window needs no other. Frames with the same number of ``parts`` can be put together with no exchange."""
     spread = lambda a, b: F.explode(F.sequence(cell(lo(a, size, stride), GROUP), cell(hi(b, size, stride), GROUP)))
-    return spread_out(df.withColumn(GROUPED[0], spread(x0, x1)).withColumn(GROUPED[1], spread(y0, y1)), *GROUPED)
+    return spread_out(df.withColumn(GROUPED[0], spread(x0, x1)).withColumn(GROUPED[1], spread(y0, y1)), *GROUPED, parts=parts)
 
 
-def spread_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Partitioned by the keys over as many tasks as shuffles have, whatever the bytes: for rows that are much work."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def parts_of(*frames: DataFrame) -> int:
+    """As many parts as shuffles have, or one for each ``PART`` bytes of the files that the frames read, if those are more.
+
+    So a task's work and memory don't grow with the input. Frames that read no files count as nothing."""
+    held = 0
+    for df in frames:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+        held += sum(n for n in sizes if n < 1 << 60)
+    return max(int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), min(held // PART, 10_000))
+
+
+def spread_out(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
+    """Partitioned by the keys into ``parts``, or ``parts_of`` the frame: for rows whose work is greater than their bytes show,
+    which Spark would put into few tasks."""
+    return df.repartition(parts or parts_of(df), *keys)
 
 
 def grouped(df: DataFrame) -> DataFrame:

@@ -294,8 +294,10 @@ AND NOT bool_or(ta = 'building' AND {A_HOLDS}) AND NOT bool_or(tb = 'building' A
 
 def street_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buildings and slanting streets, as far as they lie in each window."""
-    boxes = grid.in_groups(layout(spark, sf_dir, "boxes"), *map(F.col, near.BOX))
-    streets = grid.in_groups(layout(spark, sf_dir, "streets"), *(f(a, b) for f in (F.least, F.greatest) for a, b in (("xa", "xb"), ("ya", "yb"))))
+    boxes, streets = layout(spark, sf_dir, "boxes"), layout(spark, sf_dir, "streets")
+    parts = grid.parts_of(boxes, streets)
+    boxes = grid.in_groups(boxes, *map(F.col, near.BOX), parts=parts)
+    streets = grid.in_groups(streets, *(f(a, b) for f in (F.least, F.greatest) for a, b in (("xa", "xb"), ("ya", "yb"))), parts=parts)
     return relations.pieces(observations.clip_boxes(boxes), observations.clip_segments(streets))
 
 
