@@ -112,8 +112,10 @@ def in_order(relations: DataFrame, context: Column, geometry_version: str) -> Da
 
     context: a window's identity from col and row. Sources and targets are identified as observations of the window."""
     own = lambda side: ids.observation_id(context, F.col(f"{side}_type"), F.col(side))
-    named = relations.withColumn("relation_id", ids.relation_id(ids.relation_context_id(context, geometry_version), own("src"), own("dst"), F.col("kind")))
-    return named.orderBy("col", "row", "src_type", "src", "dst_type", "dst", "kind", "relation_id")
+    # The identity follows from what comes before it in the order, so it is worked out afterwards, once for each row and in many tasks.
+    order = ["col", "row", "src_type", "src", "dst_type", "dst", "kind"]
+    ordered = relations.repartitionByRange(grid.parts_of(relations), *order).sortWithinPartitions(*order)
+    return ordered.withColumn("relation_id", ids.relation_id(ids.relation_context_id(context, geometry_version), own("src"), own("dst"), F.col("kind")))
 
 
 def connections(edges: DataFrame) -> DataFrame:
