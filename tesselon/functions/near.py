@@ -194,3 +194,17 @@ def intersections(table: pa.Table, keys: list[str], most: int = MOST) -> pa.Tabl
             kept[at] = meet(first, second) & ~cover(first, second) & ~cover(second, first)
         found.append((a[kept], b[kept]))
     return s.relations(keys, *(np.concatenate(x) for x in zip(*found)), None)
+
+
+def containment(table: pa.Table, keys: list[str], holder: str, most: int = MOST) -> pa.Table:
+    """Pairs of a box of type ``holder`` and a point of another type that it covers, boundary included."""
+    s = Shapes(table, keys)
+    held = s.by_type({holder: 1.0}, 0.0) > 0
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a, b in sweep(s, 0.0, most):
+        at = held[a] != held[b]
+        a, b = a[at], b[at]
+        a, b = np.where(held[a], a, b), np.where(held[a], b, a)
+        inside = (s.x0[a] <= s.x0[b]) & (s.x0[b] <= s.x1[a]) & (s.y0[a] <= s.y0[b]) & (s.y0[b] <= s.y1[a])
+        found.append((a[inside], b[inside]))
+    return s.relations(keys, *(np.concatenate(x) for x in zip(*found)), None)

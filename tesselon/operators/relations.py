@@ -28,7 +28,7 @@ def nearest(objects: DataFrame, radius: dict[str, float], k: dict[str, int], key
     every cell that its surroundings reach, so that no pair is found twice and nothing is compared across the plane.
     """
     if keys:
-        return in_windows(objects, keys, "SN", lambda t: near.nearest(t, keys, radius, k))
+        return in_windows(objects, keys, F.lit("SN"), lambda t: near.nearest(t, keys, radius, k))
     keys = []
     side = max(radius.values())
     reach = F.coalesce(*(F.when(F.col("object_type") == t, F.lit(float(r))) for t, r in radius.items()))
@@ -55,14 +55,14 @@ def nearest(objects: DataFrame, radius: dict[str, float], k: dict[str, int], key
     return distinct_relations(both_ways(chosen.withColumn("distance", F.sqrt("square")), "SN", keys), keys)
 
 
-def in_windows(objects: DataFrame, keys: list[str], kind: str, kernel: Callable[[pa.Table], pa.Table]) -> DataFrame:
+def in_windows(objects: DataFrame, keys: list[str], kind: Column, kernel: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """Relations that a kernel finds in the windows of each group. Objects of ``grid.in_groups`` aren't exchanged again."""
     used = ["object_type", "id", *near.BOX, *(near.LINE if "ax" in objects.columns else ())]
     sound = objects.filter(F.col("object_type").isNotNull() & F.col("id").isNotNull() & (F.abs(F.col("x0") + F.col("y0") + F.col("x1") + F.col("y1")).cast("double") < float("inf")))
     types = {f.name: f.dataType.simpleString() for f in objects.schema}
     schema = ", ".join([*(f"{c} {types[c]}" for c in keys), "src_type string", f"src {types['id']}", "dst_type string", f"dst {types['id']}", "distance double"])
     found = grid.grouped(sound).select(*grid.GROUPED, *keys, *used).groupBy(*grid.GROUPED).applyInArrow(lambda t: kernel(t), schema)
-    return found.select(*keys, F.lit(kind).alias("kind"), "src_type", "src", "dst_type", "dst", "distance")
+    return found.select(*keys, kind.alias("kind"), "src_type", "src", "dst_type", "dst", "distance")
 
 
 def both_ways(pairs: DataFrame, kind: str, keys: list[str] | None = None, back: str | None = None) -> DataFrame:
@@ -78,10 +78,10 @@ def distinct_relations(relations: DataFrame, keys: list[str] | None = None) -> D
 
 def containment(boxes: DataFrame, points: DataFrame) -> DataFrame:
     """CNT and WIT of clipped boxes and points that share a window (col, row); a box covers its boundary too."""
-    a, b = boxes.alias("a"), points.alias("b")
-    on = (F.col("a.col") == F.col("b.col")) & (F.col("a.row") == F.col("b.row")) & F.col("b.x").between(F.col("a.cx0"), F.col("a.cx1")) & F.col("b.y").between(F.col("a.cy0"), F.col("a.cy1"))
-    pairs = a.join(b, on).select(F.col("a.col").alias("col"), F.col("a.row").alias("row"), F.lit("building").alias("a_type"), F.col("a.id").alias("a"), F.lit("poi").alias("b_type"), F.col("b.id").alias("b"), F.lit(None).cast("double").alias("distance"))
-    return both_ways(pairs, "CNT", ["col", "row"], "WIT")
+    keys, groups = ["col", "row"], [c for c in grid.GROUPED if c in boxes.columns and c in points.columns]
+    shape = lambda df, kind, *corners: df.select(*groups, *keys, F.lit(kind).alias("object_type"), "id", *(F.col(c).cast("double").alias(n) for c, n in zip(corners, near.BOX)))
+    both = shape(boxes, "building", "cx0", "cy0", "cx1", "cy1").union(shape(points, "poi", "x", "y", "x", "y"))
+    return in_windows(both, keys, F.when(F.col("src_type") == "building", "CNT").otherwise("WIT"), lambda t: near.containment(t, keys, "building"))
 
 
 def intersections(boxes: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def pieces(boxes: DataFrame, segments: DataFrame) -> DataFrame:
 def shape_intersections(objects: DataFrame) -> DataFrame:
     """INT of the shapes of a window, buildings and roads alike: they meet, touching included, and neither covers the other."""
     keys = ["col", "row"]
-    return in_windows(objects, keys, "INT", lambda t: near.intersections(t, keys))
+    return in_windows(objects, keys, F.lit("INT"), lambda t: near.intersections(t, keys))
 
 
 def in_order(relations: DataFrame, context: Column, geometry_version: str) -> DataFrame:
@@ -129,23 +129,26 @@ def connections(edges: DataFrame) -> DataFrame:
 
 
 def graph_metrics(nodes: DataFrame, relations: DataFrame) -> DataFrame:
-    """(metric, value) of a graph: nodes (col, row, object_type, id) and relations; one pass over each and one join."""
-    ends = relations.select("col", "row", F.explode(F.array(F.struct(F.col("src_type").alias("object_type"), F.col("src").alias("id")), F.struct(F.col("dst_type").alias("object_type"), F.col("dst").alias("id")))).alias("e")).select("col", "row", "e.object_type", "e.id")
-    known = nodes.groupBy("col", "row", "object_type", "id").agg(F.count("*").alias("copies"))
-    used = ends.groupBy("col", "row", "object_type", "id").agg(F.count("*").alias("degree"))
-    both = known.join(used, ["col", "row", "object_type", "id"], "full_outer")
-    node_metrics = both.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("nodes"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_nodes"),
-        F.count_if(F.col("degree").isNull()).alias("isolated_nodes"), F.count_if(F.col("copies").isNull()).alias("dangling_nodes"),
+    """(metric, value) of a graph: nodes (col, row, object_type, id) and relations; one pass over each and one exchange.
+
+    Nodes, ends and edges are counted together: a node as itself, a relation as its two ends and as an edge. Unknown fields equal each other."""
+    keys = ["edge", "col", "row", "object_type", "id", "kind", "dst_type", "dst"]
+    kinds = {f.name: f.dataType for f in relations.schema}
+    none = [F.lit(None).cast(kinds[c]).alias(c) for c in ("kind", "dst_type", "dst")]
+    counts = lambda **of: [F.lit(of.get(c, 0)).cast("long").alias(c) for c in ("copies", "degree", "n")]
+    end = lambda side: F.struct(F.lit(False).alias("edge"), F.col(f"{side}_type").alias("object_type"), F.col(side).alias("id"), *none, *counts(degree=1))
+    edge = F.struct(F.lit(True).alias("edge"), F.col("src_type").alias("object_type"), F.col("src").alias("id"), "kind", "dst_type", "dst", *counts(n=1))
+    parts = relations.select("col", "row", F.explode(F.array(end("src"), end("dst"), edge)).alias("e")).select("col", "row", "e.*")
+    whole = nodes.select(F.lit(False).alias("edge"), "col", "row", "object_type", "id", *none, *counts(copies=1)).unionByName(parts)
+    each = whole.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("copies", "degree", "n")))
+    edge, known, n = F.col("edge"), F.col("copies") > 0, F.col("n")
+    total = lambda condition, value: F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
+    one = each.agg(
+        total(~edge, F.col("copies")).alias("nodes"), total(~edge & known, F.col("copies") - 1).alias("duplicate_nodes"), F.count_if(~edge & known & (F.col("degree") == 0)).alias("isolated_nodes"), F.count_if(~edge & ~known).alias("dangling_nodes"),
+        total(edge, n).alias("edges"), total(edge, n - 1).alias("duplicate_edges"), total(edge & (F.col("object_type") == F.col("dst_type")) & (F.col("id") == F.col("dst")), n).alias("self_loops"),
+        total(edge & (F.array_sort(F.array("object_type", "dst_type")) == F.array(F.lit("poi"), F.lit("road"))), n).alias("forbidden_pairs"),
     )
-    copies = relations.groupBy("col", "row", "kind", "src_type", "src", "dst_type", "dst").agg(F.count("*").alias("n"))
-    edge_metrics = copies.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_edges"),
-        F.coalesce(F.sum(F.when((F.col("src_type") == F.col("dst_type")) & (F.col("src") == F.col("dst")), F.col("n"))), F.lit(0)).alias("self_loops"),
-        F.coalesce(F.sum(F.when(F.array_sort(F.array("src_type", "dst_type")) == F.array(F.lit("poi"), F.lit("road")), F.col("n"))), F.lit(0)).alias("forbidden_pairs"),
-    )
-    melt = lambda df: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("value")) for c in df.columns))).alias("m")).select("m.*")
-    return melt(node_metrics).union(melt(edge_metrics))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("value")) for c in one.columns))).alias("m")).select("m.*")
 
 
 def relation_costs(nodes: DataFrame, ends: DataFrame) -> DataFrame:

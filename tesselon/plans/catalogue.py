@@ -333,7 +333,14 @@ CONTAINED = "SELECT c.col, c.row, c.id AS a, p.id AS b FROM c JOIN w p ON p.col
 
 @query(f", {NUMBERS}, {WIDE}, w AS ({WINDOWED}), c AS ({CLIPPED}), p AS ({CONTAINED}) SELECT col, row, 'CNT' AS kind, 'building' AS src_type, a AS src, 'poi' AS dst_type, b AS dst, NULL::DOUBLE AS distance FROM p UNION ALL SELECT col, row, 'WIT', 'poi', b, 'building', a, NULL FROM p")
 def relation_cnt_wit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.containment(observations.clip_boxes(layout(spark, sf_dir, "boxes")), observations.points_in_windows(layout(spark, sf_dir, "points")))
+    return relations.containment(*boxes_and_points(spark, sf_dir))
+
+
+def boxes_and_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both in their windows, and with the groups of those."""
+    boxes, points = layout(spark, sf_dir, "boxes"), layout(spark, sf_dir, "points")
+    parts = grid.parts_of(boxes, points)
+    return observations.clip_boxes(grid.in_groups(boxes, *map(F.col, near.BOX), parts=parts)), observations.points_in_windows(grid.in_groups(points, *map(F.col, "xyxy"), parts=parts))
 
 
 MEETING = """SELECT a.col, a.row, 'INT' AS kind, 'building' AS src_type, a.id AS src, 'building' AS dst_type, b.id AS dst, NULL::DOUBLE AS distance FROM c a JOIN c b ON a.col = b.col AND a.row = b.row AND a.id <> b.id AND a.cx0 <= b.cx1 AND b.cx0 <= a.cx1 AND a.cy0 <= b.cy1 AND b.cy0 <= a.cy1
@@ -347,7 +354,7 @@ WHERE NOT (a.cx0 <= b.cx0 AND a.cy0 <= b.cy0 AND a.cx1 >= b.cx1 AND a.cy1 >= b.c
     "UNION ALL SELECT 'edges', count(*) FROM rel UNION ALL SELECT 'duplicate_edges', count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM rel)) FROM rel UNION ALL SELECT 'self_loops', count(*) FROM rel WHERE src = dst AND src_type = dst_type UNION ALL SELECT 'forbidden_pairs', count(*) FROM rel WHERE src_type IN ('poi', 'road') AND dst_type IN ('poi', 'road') AND src_type <> dst_type"
 )
 def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes, roads, points = observations.clip_boxes(layout(spark, sf_dir, "boxes")), edges(spark, sf_dir), observations.points_in_windows(layout(spark, sf_dir, "points"))
+    (boxes, points), roads = boxes_and_points(spark, sf_dir), edges(spark, sf_dir)
     nodes = boxes.select("col", "row", F.lit("building").alias("object_type"), "id").union(roads.select("col", "row", F.lit("road"), "id")).union(points.select("col", "row", F.lit("poi"), "id"))
     return relations.graph_metrics(nodes, relations.intersections(boxes).unionByName(relations.connections(roads)).unionByName(relations.containment(boxes, points)))
 
