@@ -53,6 +53,11 @@ def clip_segments(links: DataFrame, size: float = grid.SIZE, stride: float = gri
     return cut.withColumns({"length": length, "mid_x": (F.col("px") + F.col("qx")) / 2, "mid_y": (F.col("py") + F.col("qy")) / 2}).filter("length > 0")
 
 
+def segments_in_groups(links: DataFrame, parts: int | None = None) -> DataFrame:
+    """Segments (xa, ya, xb, yb) partitioned by ``grid.in_groups``."""
+    return grid.in_groups(links, *(f(a, b) for f in (F.least, F.greatest) for a, b in (("xa", "xb"), ("ya", "yb"))), parts=parts)
+
+
 def order_parts(parts: DataFrame, *keys: str) -> DataFrame:
     """Adds part (from 0): within the keys by length, longest first, then by least x, least y and id."""
     x, y = F.least("px", "qx"), F.least("py", "qy")
@@ -74,9 +79,10 @@ def road_edges(parts: DataFrame) -> DataFrame:
 
 
 def road_nodes(edges: DataFrame) -> DataFrame:
-    """(col, row, node, x, y, kind), one row a node of a window."""
-    ends = edges.select("col", "row", F.explode(F.array(F.struct(F.col("start_node").alias("node"), F.col("px").alias("x"), F.col("py").alias("y")), F.struct(F.col("end_node").alias("node"), F.col("qx").alias("x"), F.col("qy").alias("y")))).alias("e"))
-    nodes = ends.groupBy("col", "row", "e.node").agg(F.min(F.struct("e.x", "e.y")).alias("at"))
+    """(col, row, node, x, y, kind), one row a node of a window. Parts of links of ``grid.in_groups`` aren't exchanged again."""
+    keys = [*(c for c in grid.GROUPED if c in edges.columns), "col", "row"]
+    ends = edges.select(*keys, F.explode(F.array(F.struct(F.col("start_node").alias("node"), F.col("px").alias("x"), F.col("py").alias("y")), F.struct(F.col("end_node").alias("node"), F.col("qx").alias("x"), F.col("qy").alias("y")))).alias("e"))
+    nodes = ends.groupBy(*keys, "e.node").agg(F.min(F.struct("e.x", "e.y")).alias("at"))
     return nodes.select("col", "row", "node", "at.x", "at.y", F.when(F.col("node").startswith("n"), "source").otherwise("boundary").alias("kind"))
 
 

@@ -248,7 +248,8 @@ def road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f", {ROADS}, e AS ({EDGES}) SELECT DISTINCT col, row, node, x, y, CASE WHEN starts_with(node, 'n') THEN 'source' ELSE 'boundary' END AS kind FROM (SELECT col, row, start_node AS node, px AS x, py AS y FROM e UNION ALL SELECT col, row, end_node, qx, qy FROM e)")
 def road_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations.road_nodes(edges(spark, sf_dir))
+    links = observations.segments_in_groups(layout(spark, sf_dir, "links"))
+    return observations.road_nodes(observations.road_edges(observations.clip_segments(links)))
 
 
 CONNECTED = """SELECT DISTINCT a.col, a.row, 'CON' AS kind, 'road' AS src_type, a.id AS src, 'road' AS dst_type, b.id AS dst, 0e0 AS distance FROM e a JOIN e b ON a.col = b.col AND a.row = b.row AND a.id <> b.id
@@ -297,7 +298,7 @@ def street_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes, streets = layout(spark, sf_dir, "boxes"), layout(spark, sf_dir, "streets")
     parts = grid.parts_of(boxes, streets)
     boxes = grid.in_groups(boxes, *map(F.col, near.BOX), parts=parts)
-    streets = grid.in_groups(streets, *(f(a, b) for f in (F.least, F.greatest) for a, b in (("xa", "xb"), ("ya", "yb"))), parts=parts)
+    streets = observations.segments_in_groups(streets, parts)
     return relations.pieces(observations.clip_boxes(boxes), observations.clip_segments(streets))
 
 
