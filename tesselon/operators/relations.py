@@ -120,12 +120,14 @@ def in_order(relations: DataFrame, context: Column, geometry_version: str) -> Da
 
 def connections(edges: DataFrame) -> DataFrame:
     """CON of road parts of a window that share a node; a boundary node belongs to one part, so it connects nothing."""
-    ends = edges.select("col", "row", "id", F.explode(F.array("start_node", "end_node")).alias("node")).filter("node LIKE 'n%'")
-    ends = grid.spread_out(ends, "col", "row", "node").distinct()
+    keys, parts = ["col", "row"], grid.parts_of(edges)
+    ends = edges.select(*keys, "id", F.explode(F.array("start_node", "end_node")).alias("node")).filter("node LIKE 'n%'")
+    ends = grid.spread_out(ends, *keys, "node", parts=parts).distinct()
     a, b = ends.alias("a"), ends.alias("b")
     pairs = a.join(b, (F.col("a.col") == F.col("b.col")) & (F.col("a.row") == F.col("b.row")) & (F.col("a.node") == F.col("b.node")) & (F.col("a.id") < F.col("b.id")))
-    pairs = pairs.select(F.col("a.col").alias("col"), F.col("a.row").alias("row"), F.lit("road").alias("a_type"), F.col("a.id").alias("a"), F.lit("road").alias("b_type"), F.col("b.id").alias("b"), F.lit(0.0).alias("distance"))
-    return distinct_relations(both_ways(pairs, "CON", ["col", "row"]), ["col", "row"])
+    # Parts may share both nodes. A pair is made distinct before it becomes two relations.
+    pairs = grid.spread_out(pairs.select(*(F.col(f"a.{c}").alias(c) for c in keys), F.col("a.id").alias("a"), F.col("b.id").alias("b")), *keys, "a", "b", parts=parts).distinct()
+    return both_ways(pairs.withColumns({"a_type": F.lit("road"), "b_type": F.lit("road"), "distance": F.lit(0.0)}), "CON", keys)
 
 
 def graph_metrics(nodes: DataFrame, relations: DataFrame) -> DataFrame:
